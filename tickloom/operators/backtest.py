@@ -14,11 +14,17 @@ ANNUAL = math.sqrt(252.0)
 
 
 def market_path(bars: DataFrame, s: Series = Series()) -> DataFrame:
-    """Return, five-row realised volatility in points, its change, and a regime label."""
-    df = bars.withColumn("ret", F.coalesce(safe_div("close", s.lag("close")) - 1, F.lit(0.0)))
-    df = df.withColumn("rv", F.coalesce(s.std("ret", 5, 2), F.lit(0.0)) * ANNUAL * 100)
-    size = F.abs("ret")
-    return df.withColumns({
-        "d_iv": F.coalesce(F.col("rv") - s.lag("rv"), F.lit(0.0)),
-        "regime": F.when(size >= 0.03, "stress").when(size >= 0.015, "elevated").otherwise("calm"),
+    """Spot moves, change of five-row realised volatility in points, derived shocks, regime."""
+    df = bars.withColumns({
+        "ret": F.coalesce(safe_div("close", s.lag("close")) - 1, F.lit(0.0)),
+        "dspot": F.coalesce(F.col("close") - s.lag("close"), F.lit(0.0)),
     })
+    df = df.withColumn("rv5", F.coalesce(s.std("ret", 5, 2), F.lit(0.0)) * 100)
+    df = df.withColumn("iv_change_points", F.coalesce(F.col("rv5") - s.lag("rv5"), F.lit(0.0)))
+    size = F.abs("ret")
+    return df.select(
+        *s.keys, *s.order, F.col("close").alias("spot"), "dspot", "ret", "iv_change_points",
+        (F.col("iv_change_points") * 0.5).alias("skew_shift_points"),
+        (F.col("iv_change_points") * 0.3).alias("term_twist_points"),
+        (F.col("iv_change_points") * 0.8).alias("vol_of_vol_shock_points"),
+        F.when(size > 0.03, "crisis").when(size > 0.015, "stress").otherwise("normal").alias("regime"))

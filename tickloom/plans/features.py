@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import safe_div
+from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
 from tickloom.operators.asof import align_to_spine
 from tickloom.operators.frames import Ewm, Series, add_ewm, number_rows, with_halo
@@ -57,12 +58,12 @@ _AVG_SQL = f"""WITH {v.BARS}, {v.RET}, f AS (SELECT symbol, date,
   {v.gate('avg(close)', 'close', 200)} AS sma_200, {v.gate('stddev_samp(close)', 'close', 20)} AS sd,
   sum(coalesce(sign(delta), 0) * volume) OVER {v.SOFAR} AS obv FROM ret),
 g AS (SELECT *, sma_20 + 2 * sd AS bb_upper, sma_20 - 2 * sd AS bb_lower FROM f)
-SELECT {sql_rounded(KEY, _AVG_COLS, 4)} FROM g"""
+SELECT {sql_rounded(KEY, _AVG_COLS, 5)} FROM g"""
 
 
 @query("moving_averages", "W1 W5 W7", _AVG_SQL)
 def moving_averages(spark, d):
-    return rounded(ind.add_averages(ind.add_returns(t.bars_daily(spark, d))), KEY, _AVG_COLS, 4)
+    return rounded(ind.add_averages(ind.add_returns(t.bars_daily(spark, d))), KEY, _AVG_COLS, 5)
 
 
 _SMOOTH = ["ema_20", "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist"]
@@ -276,15 +277,19 @@ def macd_crossovers(spark, d):
                    ["price", "stop_loss", "position_size", "macd", "signal", "histogram"], 4)
 
 
-@query("market_path", "W34", f"""WITH {v.BARS}, f AS (SELECT symbol, date, close,
-  coalesce(close / lag(close) OVER {v.LINE} - 1, 0) AS ret FROM bars),
-g AS (SELECT *, coalesce({v.gate('stddev_samp(ret)', 'ret', 5, 2)}, 0) * {A!r} * 100 AS rv FROM f),
-h AS (SELECT symbol, date, close, ret, rv, coalesce(rv - lag(rv) OVER {v.LINE}, 0) AS d_iv,
-  CASE WHEN abs(ret) >= 0.03 THEN 'stress' WHEN abs(ret) >= 0.015 THEN 'elevated' ELSE 'calm' END AS regime FROM g)
-SELECT {sql_rounded(['symbol', 'date', 'regime'], ['close', 'ret', 'rv', 'd_iv'], 3)} FROM h""")
+_PATH = ["spot", "ret", "iv_change_points", "skew_shift_points"]
+PATH_CTE = f"""path0 AS (SELECT symbol, date, close, coalesce(close / lag(close) OVER {v.LINE} - 1, 0) AS ret,
+  coalesce(close - lag(close) OVER {v.LINE}, 0) AS dspot FROM bars),
+path1 AS (SELECT *, coalesce({v.gate('stddev_samp(ret)', 'ret', 5, 2)}, 0) * 100 AS rv5 FROM path0),
+path AS (SELECT symbol, date, close AS spot, dspot, ret, coalesce(rv5 - lag(rv5) OVER {v.LINE}, 0) AS iv_change_points,
+  CASE WHEN abs(ret) > 0.03 THEN 'crisis' WHEN abs(ret) > 0.015 THEN 'stress' ELSE 'normal' END AS regime FROM path1)"""
+
+
+@query("market_path", "W34", f"""WITH {v.BARS}, {PATH_CTE},
+x AS (SELECT *, iv_change_points * 0.5 AS skew_shift_points FROM path)
+SELECT {sql_rounded(['symbol', 'date', 'regime'], _PATH, 3)} FROM x""")
 def market_path(spark, d):
-    from tickloom.operators.backtest import market_path as path
-    return rounded(path(t.bars_daily(spark, d)), ["symbol", "date", "regime"], ["close", "ret", "rv", "d_iv"], 3)
+    return rounded(bt.market_path(t.bars_daily(spark, d)), ["symbol", "date", "regime"], _PATH, 3)
 
 
 @query("tick_rolling_mean", "W1 S3 R9", """WITH f AS (SELECT event_type AS symbol, event_id,

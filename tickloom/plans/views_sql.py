@@ -46,8 +46,10 @@ def _stat(name: str, source: str) -> str:
   FROM {source})"""
 
 
-FUND_RAW = """fraw AS (
-  SELECT o_orderstatus AS symbol,
+STATUS_SYMBOL = "CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END"
+
+FUND_RAW = f"""fraw AS (
+  SELECT {STATUS_SYMBOL} AS symbol,
     CAST(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS DATE) AS period_end,
     CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS orders,
     CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS cost,
@@ -60,7 +62,6 @@ annual_raw AS (
   FROM fraw GROUP BY 1, 2)"""
 STATEMENT = FUND_RAW + ",\n" + _stat("stq", "fraw") + ",\n" + _stat("sta", "annual_raw")
 
-STATUS_SYMBOL = "CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END"
 
 REPORTS = f"""reports AS (
   SELECT symbol, event_date FROM (
@@ -105,3 +106,54 @@ def sd(a: str, b: str) -> str:
 
 LINE = "(PARTITION BY symbol ORDER BY date)"
 SOFAR = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+# The normal-tail approximation the price columns use.
+_N = "0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376"
+_D = "0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752"
+
+
+def _horner(z: str, coefs: str) -> str:
+    acc = ""
+    for c in coefs.split(", "):
+        c = f"CAST({c} AS DOUBLE)"
+        acc = f"({acc} * {z} + {c})" if acc else c
+    return acc
+
+
+def ncdf(c: str) -> str:
+    """Normal CDF of a plain column name."""
+    z = f"abs({c})"
+    tail = (f"CASE WHEN {z} > 37 THEN 0.0 WHEN {z} < 7.07106781186547 "
+            f"THEN exp(-{z} * {z} / 2) * {_horner(z, _N)} / {_horner(z, _D)} "
+            f"ELSE exp(-{z} * {z} / 2) / (({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65))))) * 2.5066282746310002) END")
+    return f"(CASE WHEN {c} > 0 THEN 1 - ({tail}) ELSE ({tail}) END)"
+
+
+def bs(call: str = "option_type = 'call'", s: str = "spot", k: str = "strike", t: str = "time_to_maturity",
+       r: str = "0.04e0", d1: str = "d1", d2: str = "d2", q: str = "0.0e0") -> str:
+    """Black-Scholes price from columns that already hold d1, d2 and their negatives n1, n2."""
+    return (f"CASE WHEN {call} THEN {s} * exp(-{q} * {t}) * {ncdf(d1)} - {k} * exp(-{r} * {t}) * {ncdf(d2)} "
+            f"ELSE {k} * exp(-{r} * {t}) * {ncdf('n2')} - {s} * exp(-{q} * {t}) * {ncdf('n1')} END")
+
+
+def d12(vol: str, s: str = "spot", k: str = "strike", t: str = "time_to_maturity", r: str = "0.04e0", q: str = "0.0e0") -> str:
+    d1 = f"((ln({s} / {k}) + ({r} - {q} + {vol} * {vol} / 2) * {t}) / ({vol} * sqrt({t})))"
+    d2 = f"({d1} - {vol} * sqrt({t}))"
+    return f"{d1} AS d1, {d2} AS d2, -{d1} AS n1, -{d2} AS n2"
+
+
+CHAIN = f"""ch0 AS (SELECT p_brand AS symbol, CAST(ceil(p_size / 10.0) * 10 AS INTEGER) AS days_to_expiry,
+    p_retailprice AS strike, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n
+  FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) l ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+ch1 AS (SELECT *, 935.0e0 + CAST(regexp_extract(symbol, '(\\d+)$', 1) AS DOUBLE) AS spot, days_to_expiry / 365.0e0 AS time_to_maturity,
+    CAST(floor(strike * 10 + 0.5e0) AS BIGINT) AS grid FROM ch0 CROSS JOIN (VALUES ('call'), ('put')) o(option_type)),
+ch2 AS (SELECT *, floor((0.2e0 + 0.5e0 * abs(ln(strike / spot)) + 0.05e0 * sqrt(time_to_maturity) + (grid % 7) / 200.0e0) * 10000 + 0.5e0) / 10000.0e0 AS true_vol,
+    CASE WHEN grid % 29 = 0 THEN 0.4e0 WHEN grid % 5 = 0 THEN 0.08e0 ELSE 0.02e0 END AS half FROM ch1),
+ch3 AS (SELECT *, {d12('true_vol')} FROM ch2),
+ch4 AS (SELECT *, {bs()} AS fair FROM ch3),
+chain AS (SELECT symbol, DATE '2024-01-31' AS snapshot_date, days_to_expiry, CAST(DATE '2024-01-31' + days_to_expiry AS DATE) AS expiry,
+    strike, option_type, spot, time_to_maturity, floor(fair * (1 - half) * 100 + 0.5e0) / 100.0e0 AS bid,
+    floor(fair * (1 + half) * 100 + 0.5e0) / 100.0e0 AS ask, n * 3 AS volume,
+    CASE WHEN grid % 31 <> 0 THEN n * CASE WHEN option_type = 'call' THEN 10 ELSE 7 END END AS open_interest,
+    CASE WHEN grid % 11 = 0 THEN 0.125e0 ELSE true_vol END AS quoted_vol, true_vol FROM ch4)"""

@@ -86,11 +86,16 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", F.col("n_chars").cast("double").alias("weight"))
 
 
+def status_symbol() -> Column:
+    """Bar symbol of an order status."""
+    return F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+
+
 def fundamentals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly statement figures per symbol (order status)."""
     o = table(spark, sf_dir, "orders")
     q = F.last_day(F.add_months(F.trunc("o_orderdate", "quarter"), 2))
-    return o.groupBy(F.col("o_orderstatus").alias("symbol"), q.alias("period_end")).agg(
+    return o.groupBy(status_symbol().alias("symbol"), q.alias("period_end")).agg(
         exact_sum("o_totalprice").alias("revenue"),
         F.count(F.lit(1)).cast("double").alias("orders"),
         exact_sum(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice"))).alias("cost"),
@@ -116,8 +121,7 @@ def statement(spark: SparkSession, sf_dir: str, tier: str = "quarter") -> DataFr
 def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First order date of each quarter per status, mapped onto bar symbols."""
     o = table(spark, sf_dir, "orders")
-    sym = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
-    return o.groupBy(sym.alias("symbol"), F.trunc("o_orderdate", "quarter").alias("_q")).agg(
+    return o.groupBy(status_symbol().alias("symbol"), F.trunc("o_orderdate", "quarter").alias("_q")).agg(
         F.min(F.to_date("o_orderdate")).alias("event_date")).drop("_q")
 
 
@@ -127,9 +131,8 @@ def insider_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1-URGENT"), F.lit("Purchase at price"), F.lit("2-HIGH"), F.lit("Sale at price"),
         F.lit("3-MEDIUM"), F.lit("Stock Award(Grant)"), F.lit("5-LOW"), F.lit("Sell to cover")),
         F.col("o_orderpriority"))
-    sym = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
     return table(spark, sf_dir, "orders").select(
-        sym.alias("symbol"), F.col("o_orderkey").alias("txn_id"), F.to_date("o_orderdate").alias("date"),
+        status_symbol().alias("symbol"), F.col("o_orderkey").alias("txn_id"), F.to_date("o_orderdate").alias("date"),
         F.coalesce(text, F.lit("Gift")).alias("text"), F.col("o_totalprice").alias("shares"))
 
 
@@ -152,3 +155,43 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 3).alias("order_id"), action.alias("action"),
         F.when(F.pmod("event_id", F.lit(2)) == 0, "bid").otherwise("ask").alias("side"),
         F.round("value", 0).alias("price"), (F.pmod("event_id", F.lit(97)) + 1).cast("long").alias("qty"))
+
+
+RATE = 0.04
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option chain: parts give strike and expiry per brand, line items give interest.
+
+    Parts with the same contract are added up, so there is one row per
+    (symbol, days, strike, option_type). Quotes surround a model price with a known volatility.
+    """
+    from tickloom.operators.options import bs_price
+
+    lots = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    parts = table(spark, sf_dir, "part").join(lots, "p_partkey", "left").select(
+        F.col("p_brand").alias("symbol"), (F.ceil(F.col("p_size") / 10) * 10).cast("int").alias("days_to_expiry"),
+        F.col("p_retailprice").alias("strike"), F.coalesce("n", F.lit(0)).alias("n"))
+    c = parts.groupBy("symbol", "days_to_expiry", "strike").agg(F.sum("n").alias("n"))
+    c = c.withColumn("option_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
+    grid = F.floor(F.col("strike") * 10 + 0.5).cast("long")
+    c = c.withColumns({
+        "spot": F.lit(935.0) + F.regexp_extract("symbol", r"(\d+)$", 1).cast("double"),
+        "time_to_maturity": F.col("days_to_expiry") / 365.0,
+        "grid": grid,
+    })
+    c = c.withColumn("true_vol", F.floor((
+        0.2 + 0.5 * F.abs(F.ln(F.col("strike") / F.col("spot"))) + 0.05 * F.sqrt("time_to_maturity")
+        + F.pmod("grid", F.lit(7)) / 200.0) * 10000 + 0.5) / 10000.0)
+    fair = bs_price(F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(RATE), F.col("true_vol"),
+                    F.col("option_type") == "call")
+    half = F.when(F.pmod("grid", F.lit(29)) == 0, 0.4).when(F.pmod("grid", F.lit(5)) == 0, 0.08).otherwise(0.02)
+    c = c.withColumns({"_fair": fair, "_half": half})
+    return c.select(
+        "symbol", F.lit("2024-01-31").cast("date").alias("snapshot_date"), "days_to_expiry",
+        F.date_add(F.lit("2024-01-31").cast("date"), F.col("days_to_expiry")).alias("expiry"),
+        "strike", "option_type", "spot", "time_to_maturity",
+        cents(F.col("_fair") * (1 - F.col("_half"))).alias("bid"), cents(F.col("_fair") * (1 + F.col("_half"))).alias("ask"),
+        (F.col("n") * 3).cast("long").alias("volume"),
+        F.when(F.pmod("grid", F.lit(31)) != 0, F.col("n") * F.when(F.col("option_type") == "call", 10).otherwise(7)).cast("long").alias("open_interest"),
+        F.when(F.pmod("grid", F.lit(11)) == 0, 0.125).otherwise(F.col("true_vol")).alias("quoted_vol"), "true_vol")
