@@ -173,6 +173,16 @@ def add_ewm(df: DataFrame, specs: Sequence[Ewm], series: Series, block: int = 12
     return base.drop("_pos", "_blk", "_off", *seen.values(), *run, *trail)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point.
+
+    Catalyst rewrites a filter on a computed column into a filter on the whole expression. For
+    long pricing formulas that grows the plan far more than it saves; the always-true filter on a
+    random number stops the rewrite.
+    """
+    return df.where(F.rand(0) >= 0.0)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                 out: str = "_pos") -> DataFrame:
     """0-based row number per series without holding a series in one task.

@@ -21,12 +21,15 @@ def d1_d2(s, k, t, r, vol, q=None) -> tuple[Column, Column]:
     return d1, d1 - vol * F.sqrt(t)
 
 
-def bs_price(s, k, t, r, vol, is_call, q=None) -> Column:
+def with_bs_price(df: DataFrame, out: str, s, k, t, r, vol, is_call, q=None) -> DataFrame:
+    """Black-Scholes price in three projections, so that each formula refers to short columns."""
     q0 = F.lit(0.0) if q is None else q
     d1, d2 = d1_d2(s, k, t, r, vol, q)
-    fwd, pv = s * F.exp(-q0 * t), k * F.exp(-r * t)
-    return F.when(is_call, fwd * norm_cdf(d1) - pv * norm_cdf(d2)).otherwise(
-        pv * norm_cdf(-d2) - fwd * norm_cdf(-d1))
+    sign = F.when(is_call, 1.0).otherwise(-1.0)
+    df = df.withColumns({"_x1": sign * d1, "_x2": sign * d2, "_sg": sign, "_fw": s * F.exp(-q0 * t), "_pv": k * F.exp(-r * t)})
+    df = df.withColumns({"_c1": norm_cdf("_x1"), "_c2": norm_cdf("_x2")})
+    price = F.col("_sg") * (F.col("_fw") * F.col("_c1") - F.col("_pv") * F.col("_c2"))
+    return df.withColumn(out, price).drop("_x1", "_x2", "_sg", "_fw", "_pv", "_c1", "_c2")
 
 
 def add_greeks(df: DataFrame, vol: str, rate: float, div: float = 0.0) -> DataFrame:
@@ -222,7 +225,7 @@ def implied_vol_udf(rate: float, low: float = 1e-4, high: float = 4.0, steps: in
             lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
         return pd.Series(np.where(ok, (lo + hi) / 2, np.nan))
 
-    return solve
+    return solve.asNondeterministic()  # a later filter must not run the solver twice
 
 
 def add_implied_vol(quotes: DataFrame, rate: float, price: str = "mid_price") -> DataFrame:
@@ -255,11 +258,12 @@ def sabr_vol(f, k, t, alpha, beta, rho, nu) -> Column:
     return F.when(mid < 1e-10, F.lit(0.0)).otherwise(F.coalesce(F.when(finite(vol) > 0, vol), F.lit(0.0)))
 
 
-def sabr_price(s, k, t, r, vol, is_call) -> Column:
-    """Black price at a SABR volatility; intrinsic value when the volatility is 0."""
+def with_sabr_price(df: DataFrame, out: str, s, k, t, r, vol: str, is_call) -> DataFrame:
+    """Black price at the SABR volatility in column ``vol``; intrinsic value where it is 0."""
     pv = k * F.exp(-r * t)
     floor = F.when(is_call, F.greatest(s - pv, F.lit(0.0))).otherwise(F.greatest(pv - s, F.lit(0.0)))
-    return F.when(vol <= 0, floor).otherwise(bs_price(s, k, t, r, F.greatest(vol, F.lit(1e-12)), is_call))
+    df = with_bs_price(df, "_bs", s, k, t, r, F.greatest(F.col(vol), F.lit(1e-12)), is_call)
+    return df.withColumn(out, F.when(F.col(vol) <= 0, floor).otherwise(F.col("_bs"))).drop("_bs")
 
 
 def sabr_penalty(alpha, rho, nu, weight: float = 1000.0, buffer: float = 0.01) -> Column:
@@ -285,10 +289,9 @@ def _errors(quotes: DataFrame, params: Column, rate: float, beta: float, huber:
     p = quotes.withColumn("p", F.explode(params))
     s, k, t, r = F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(float(rate))
     vol = sabr_vol(s * F.exp(r * t), k, t, F.col("p.alpha"), F.lit(float(beta)), F.col("p.rho"), F.col("p.nu"))
-    p = p.withColumn("_vol", vol)
-    price = sabr_price(s, k, t, r, F.col("_vol"), F.col("option_type") == "call")
-    ev = F.col("_vol") - F.col("implied_volatility")
-    ep = (price - F.col("mid_price")) / F.col("spot")
+    p = with_sabr_price(p.withColumn("_vol", vol), "_px", s, k, t, r, "_vol", F.col("option_type") == "call")
+    p = p.withColumns({"_ev": F.col("_vol") - F.col("implied_volatility"), "_ep": (F.col("_px") - F.col("mid_price")) / F.col("spot")})
+    ev, ep = F.col("_ev"), F.col("_ep")
 
     def loss(e):
         if huber is None:
@@ -342,21 +345,20 @@ def calibrate_sabr(quotes: DataFrame, rate: float, beta: float = 1.0, huber: flo
 def sabr_greeks(chain: DataFrame, rate: float, alpha, rho, nu, beta: float = 1.0) -> DataFrame:
     """Finite-difference SABR greeks next to Black-Scholes ones, with absolute differences.
 
-    Each quote is repeated for a fixed list of bumps (spot, alpha, time) as columns, so nothing is shuffled.
+    The bumps of spot, alpha and time are a fixed list of extra columns, so nothing is shuffled.
     """
     s, k, t, r = F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(float(rate))
     b, call = F.lit(float(beta)), F.col("option_type") == "call"
 
-    def px(sp, al, tt):
-        return sabr_price(sp, k, tt, r, sabr_vol(sp * F.exp(r * tt), k, tt, al, b, rho, nu), call)
-
     h, ha, ht = 0.01 * s, 0.01 * alpha, 1.0 / 365.0
-    df = chain.withColumns({
-        "_p0": px(s, alpha, t), "_up": px(s + h, alpha, t), "_dn": px(s - h, alpha, t), "_pa": px(s, alpha + ha, t),
-        "_ua": px(s + h, alpha + ha, t), "_da": px(s - h, alpha + ha, t),
-        "_pt": F.when(t > ht, px(s, alpha, F.greatest(t - ht, F.lit(1e-9)))),
-        "sabr_vol": sabr_vol(s, k, t, alpha, b, rho, nu),
-    })
+    late = F.greatest(t - ht, F.lit(1e-9))
+    bumps = {"_p0": (s, alpha, t), "_up": (s + h, alpha, t), "_dn": (s - h, alpha, t), "_pa": (s, alpha + ha, t),
+             "_ua": (s + h, alpha + ha, t), "_da": (s - h, alpha + ha, t), "_pt": (s, alpha, late)}
+    df = chain.withColumn("sabr_vol", sabr_vol(s, k, t, alpha, b, rho, nu))
+    for name, (sp, al, tt) in bumps.items():
+        df = df.withColumn("_v", sabr_vol(sp * F.exp(r * tt), k, tt, al, b, rho, nu))
+        df = with_sabr_price(df, name, sp, k, tt, r, "_v", call)
+    df = df.withColumn("_pt", F.when(t > ht, F.col("_pt"))).drop("_v")
     df = df.withColumns({
         "sabr_delta": (F.col("_up") - F.col("_dn")) / (2 * h),
         "sabr_gamma": (F.col("_up") - 2 * F.col("_p0") + F.col("_dn")) / (h * h),

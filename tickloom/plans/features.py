@@ -277,19 +277,20 @@ def macd_crossovers(spark, d):
                    ["price", "stop_loss", "position_size", "macd", "signal", "histogram"], 4)
 
 
-_PATH = ["spot", "ret", "iv_change_points", "skew_shift_points"]
+_PATH = ["spot", "dspot", "ret", "iv_change_points", "skew_shift_points"]
 PATH_CTE = f"""path0 AS (SELECT symbol, date, close, coalesce(close / lag(close) OVER {v.LINE} - 1, 0) AS ret,
   coalesce(close - lag(close) OVER {v.LINE}, 0) AS dspot FROM bars),
-path1 AS (SELECT *, coalesce({v.gate('stddev_samp(ret)', 'ret', 5, 2)}, 0) * 100 AS rv5 FROM path0),
-path AS (SELECT symbol, date, close AS spot, dspot, ret, coalesce(rv5 - lag(rv5) OVER {v.LINE}, 0) AS iv_change_points,
-  CASE WHEN abs(ret) > 0.03 THEN 'crisis' WHEN abs(ret) > 0.015 THEN 'stress' ELSE 'normal' END AS regime FROM path1)"""
+path1 AS (SELECT *, coalesce(list_stddev_samp(list(ret) OVER {v.w(5)}), 0) * 100 AS rv5 FROM path0),
+path2 AS (SELECT *, coalesce(rv5 - lag(rv5) OVER {v.LINE}, 0) AS mv FROM path1),
+path AS (SELECT symbol, date, close AS spot, round(dspot, 4) + 0.0 AS dspot, ret, round(mv, 4) + 0.0 AS iv_change_points,
+  round(mv * 0.5, 4) + 0.0 AS skew_shift_points,
+  CASE WHEN abs(ret) > 0.03 THEN 'crisis' WHEN abs(ret) > 0.015 THEN 'stress' ELSE 'normal' END AS regime FROM path2)"""
 
 
-@query("market_path", "W34", f"""WITH {v.BARS}, {PATH_CTE},
-x AS (SELECT *, iv_change_points * 0.5 AS skew_shift_points FROM path)
-SELECT {sql_rounded(['symbol', 'date', 'regime'], _PATH, 3)} FROM x""")
+@query("market_path", "W34", f"""WITH {v.BARS}, {PATH_CTE}
+SELECT {sql_rounded(['symbol', 'date', 'regime'], _PATH, 4)} FROM path""")
 def market_path(spark, d):
-    return rounded(bt.market_path(t.bars_daily(spark, d)), ["symbol", "date", "regime"], _PATH, 3)
+    return rounded(bt.market_path(t.bars_daily(spark, d)), ["symbol", "date", "regime"], _PATH, 4)
 
 
 @query("tick_rolling_mean", "W1 S3 R9", """WITH f AS (SELECT event_type AS symbol, event_id,

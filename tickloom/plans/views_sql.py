@@ -150,8 +150,8 @@ ch1 AS (SELECT *, 935.0e0 + CAST(regexp_extract(symbol, '(\\d+)$', 1) AS DOUBLE)
     CAST(floor(strike * 10 + 0.5e0) AS BIGINT) AS grid FROM ch0 CROSS JOIN (VALUES ('call'), ('put')) o(option_type)),
 ch2 AS (SELECT *, floor((0.2e0 + 0.5e0 * abs(ln(strike / spot)) + 0.05e0 * sqrt(time_to_maturity) + (grid % 7) / 200.0e0) * 10000 + 0.5e0) / 10000.0e0 AS true_vol,
     CASE WHEN grid % 29 = 0 THEN 0.4e0 WHEN grid % 5 = 0 THEN 0.08e0 ELSE 0.02e0 END AS half FROM ch1),
-ch3 AS (SELECT *, {d12('true_vol')} FROM ch2),
-ch4 AS (SELECT *, {bs()} AS fair FROM ch3),
+ch3 AS (SELECT *, true_vol * true_vol * time_to_maturity AS width, CASE WHEN option_type = 'call' THEN 1.0e0 ELSE -1.0e0 END AS sgn FROM ch2),
+ch4 AS (SELECT *, greatest(sgn * (spot - strike * exp(-0.04e0 * time_to_maturity)), 0) + 0.4e0 * spot * sqrt(width) * exp(-pow(ln(strike / spot), 2) / (2 * width)) AS fair FROM ch3),
 chain AS (SELECT symbol, DATE '2024-01-31' AS snapshot_date, days_to_expiry, CAST(DATE '2024-01-31' + days_to_expiry AS DATE) AS expiry,
     strike, option_type, spot, time_to_maturity, floor(fair * (1 - half) * 100 + 0.5e0) / 100.0e0 AS bid,
     floor(fair * (1 + half) * 100 + 0.5e0) / 100.0e0 AS ask, n * 3 AS volume,

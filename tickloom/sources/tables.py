@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import fence
+
 MONEY = "decimal(18,2)"
 
 
@@ -164,10 +166,9 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option chain: parts give strike and expiry per brand, line items give interest.
 
     Parts with the same contract are added up, so there is one row per
-    (symbol, days, strike, option_type). Quotes surround a model price with a known volatility.
+    (symbol, days, strike, option_type). Quotes surround intrinsic value plus a bell-shaped time
+    value, equal for call and put, so put-call parity holds.
     """
-    from tickloom.operators.options import bs_price
-
     lots = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
     parts = table(spark, sf_dir, "part").join(lots, "p_partkey", "left").select(
         F.col("p_brand").alias("symbol"), (F.ceil(F.col("p_size") / 10) * 10).cast("int").alias("days_to_expiry"),
@@ -183,11 +184,14 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("true_vol", F.floor((
         0.2 + 0.5 * F.abs(F.ln(F.col("strike") / F.col("spot"))) + 0.05 * F.sqrt("time_to_maturity")
         + F.pmod("grid", F.lit(7)) / 200.0) * 10000 + 0.5) / 10000.0)
-    fair = bs_price(F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(RATE), F.col("true_vol"),
-                    F.col("option_type") == "call")
+    pv = F.col("strike") * F.exp(-F.lit(RATE) * F.col("time_to_maturity"))
+    side = F.when(F.col("option_type") == "call", 1.0).otherwise(-1.0)
+    width = F.col("true_vol") * F.col("true_vol") * F.col("time_to_maturity")
+    fair = F.greatest(side * (F.col("spot") - pv), F.lit(0.0)) + 0.4 * F.col("spot") * F.sqrt(width) * F.exp(
+        -F.pow(F.ln(F.col("strike") / F.col("spot")), 2) / (2 * width))
     half = F.when(F.pmod("grid", F.lit(29)) == 0, 0.4).when(F.pmod("grid", F.lit(5)) == 0, 0.08).otherwise(0.02)
     c = c.withColumns({"_fair": fair, "_half": half})
-    return c.select(
+    return fence(c).select(
         "symbol", F.lit("2024-01-31").cast("date").alias("snapshot_date"), "days_to_expiry",
         F.date_add(F.lit("2024-01-31").cast("date"), F.col("days_to_expiry")).alias("expiry"),
         "strike", "option_type", "spot", "time_to_maturity",

@@ -10,6 +10,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -58,6 +59,7 @@ def compare(got_cols, got, want_cols, want) -> str:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--dir", default="/root/testdata/sf0.01")
+    ap.add_argument("--limit", type=float, default=90, help="seconds before a query is given up")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     plans.load_all()
@@ -66,6 +68,14 @@ def main() -> int:
     failed = 0
     for n in names:
         t0 = time.time()
+
+        def give_up():
+            print(f"SLOW  {n}: over {a.limit}s", flush=True)
+            con.interrupt()
+            spark.sparkContext.cancelAllJobs()
+
+        timer = threading.Timer(a.limit, give_up)
+        timer.start()
         try:
             df = plans.QUERIES[n](spark, a.dir)
             got = [tuple(r) for r in df.collect()]
@@ -84,6 +94,8 @@ def main() -> int:
         except Exception as e:  # report and go on with the next query
             failed += 1
             print(f"ERROR {n}: {type(e).__name__}: {str(e)[:1500]}", flush=True)
+        finally:
+            timer.cancel()
     print("failed", failed, "of", len(names))
     return 1 if failed else 0
 
