@@ -66,8 +66,9 @@ def cohort_totals(targets: DataFrame, fills: DataFrame, cands: DataFrame, cfg: C
     as it builds up position by position.
     """
     f = fills.where("accepted and filled_contracts > 0").select("intent_id", "filled_contracts", "fill_price")
-    c = cands.select("intent_id", "bid", "ask", "mid")
-    j = targets.join(f, "intent_id").join(c, "intent_id")
+    c = cands.select("intent_id", *[F.col(x).alias(f"_{x}") for x in ("bid", "ask", "mid")])
+    j = targets.drop("bid", "ask", "mid").join(f, "intent_id").join(c, "intent_id")
+    j = j.withColumnsRenamed({"_bid": "bid", "_ask": "ask", "_mid": "mid"})
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
     scale = sign * F.col("filled_contracts") / F.greatest(F.abs("contracts"), F.lit(1))
     n = F.col("filled_contracts")
@@ -262,14 +263,14 @@ def rolling_reentry(path: DataFrame, strategy: str, capital: float = 250000.0, c
             legs, spot = win["legs"].iloc[0], win["spot"].iloc[0]
             if margin is None:
                 debit = max(legs[0]["raw"] - legs[1]["raw"], 0.50)
-                n = max(1, int(equity * share / (debit * 100)))
+                n = max(1.0, float(np.floor(equity * share / (debit * 100))))
             else:
-                n = max(1, int(equity * share / (spot * margin * 100)))
+                n = max(1.0, float(np.floor(equity * share / (spot * margin * 100))))
             net = {g: sum(x["sign"] * x[g] * n for x in legs) for g in ("delta", "gamma", "vega", "theta")}
             shares, gross, run = 0.0, 0.0, 0.0
             for x in legs:
                 run += x["sign"] * x["delta"] * n
-                q = float(round(-run)) if mode != "threshold" or abs(run) >= limit else 0.0
+                q = float(np.rint(-run)) if mode != "threshold" or abs(run) >= limit else 0.0
                 shares, gross = shares + q, gross + abs(q)
             ds = win["dspot"].to_numpy(dtype=float).copy()
             ds[0] = 0.0

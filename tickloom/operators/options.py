@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import HART_DEN, HART_NUM, finite, norm_cdf, norm_pdf, safe_div
+from tickloom.operators.frames import fence
 
 GROUP = ("symbol", "snapshot_date")
 
@@ -104,7 +104,7 @@ def clean_quotes(quotes: DataFrame, **limits) -> DataFrame:
     keep = F.lit(True)
     for c in quote_filters(**limits).values():
         keep = keep & c
-    return quotes.where(keep)
+    return fence(quotes).where(keep)
 
 
 def cleaning_funnel(quotes: DataFrame, keys: Sequence[str] = ("symbol",), **limits) -> DataFrame:
@@ -240,22 +240,30 @@ def valid_vol(quotes: DataFrame) -> DataFrame:
 
 # ---- SABR -------------------------------------------------------------------------------
 
-def sabr_vol(f, k, t, alpha, beta, rho, nu) -> Column:
+def with_sabr_vol(df: DataFrame, out: str, f, k, t, alpha, beta, rho, nu) -> DataFrame:
     """Hagan expansion in the form this engine's surfaces use (x(z)/z multiplies); 0 if unusable."""
-    at = F.abs(f - k) < 1e-10
     one_b = 1 - beta
-    log_fk = F.ln(f / k)
-    mid = F.when(at, F.pow(f, one_b)).otherwise(F.pow(f * k, one_b / 2))
-    z = (nu / alpha) * mid * log_fk
-    arg = F.sqrt(1 - 2 * rho * z + z * z) + z - rho
-    den = 1 - rho
-    x = F.when((F.abs(z) < 1e-10) | (F.abs(den) < 1e-10) | (arg <= 0), F.lit(1.0)).otherwise(F.ln(arg / den) / z)
+    df = df.withColumns({"_f": f, "_k": k})
+    f, k = F.col("_f"), F.col("_k")
+    at = F.abs(f - k) < 1e-10
+    df = df.withColumns({
+        "_lf": F.ln(f / k), "_mid": F.when(at, F.pow(f, one_b)).otherwise(F.pow(f * k, one_b / 2)), "_at": at})
+    log_fk, mid = F.col("_lf"), F.col("_mid")
+    df = df.withColumn("_z", (nu / alpha) * mid * log_fk)
+    z = F.col("_z")
+    df = df.withColumn("_arg", F.sqrt(1 - 2 * rho * z + z * z) + z - rho)
+    arg, den = F.col("_arg"), 1 - rho
     wing = 1 + (F.pow(one_b, 2) / 24) * F.pow(log_fk, 2) + (F.pow(one_b, 4) / 1920) * F.pow(log_fk, 4)
     time = 1 + (
         (F.pow(one_b, 2) / 24) * (alpha * alpha / (mid * mid)) + (rho * beta * nu * alpha) / (4 * mid)
         + ((2 - 3 * rho * rho) / 24) * (nu * nu)) * t
-    vol = F.when(at, alpha / mid * time).otherwise(alpha / (mid * wing) * x * time)
-    return F.when(mid < 1e-10, F.lit(0.0)).otherwise(F.coalesce(F.when(finite(vol) > 0, vol), F.lit(0.0)))
+    df = df.withColumns({
+        "_x": F.when((F.abs(z) < 1e-10) | (F.abs(den) < 1e-10) | (arg <= 0), F.lit(1.0)).otherwise(F.ln(arg / den) / z),
+        "_wing": F.when(F.col("_at"), F.lit(1.0)).otherwise(wing), "_time": time})
+    vol = alpha / (mid * F.col("_wing")) * F.when(F.col("_at"), F.lit(1.0)).otherwise(F.col("_x")) * F.col("_time")
+    df = df.withColumn("_raw", vol)
+    good = F.when((mid >= 1e-10) & (F.col("_raw") > 0) & (F.col("_raw") < float("inf")) & ~F.isnan("_raw"), F.col("_raw"))
+    return df.withColumn(out, F.coalesce(good, F.lit(0.0))).drop("_f", "_k", "_lf", "_mid", "_at", "_z", "_arg", "_x", "_wing", "_time", "_raw")
 
 
 def with_sabr_price(df: DataFrame, out: str, s, k, t, r, vol: str, is_call) -> DataFrame:
@@ -283,13 +291,12 @@ def add_quote_weights(quotes: DataFrame) -> DataFrame:
     return df.join(tot, list(GROUP)).withColumn("weight", safe_div("_w", "_mean")).drop("_w", "_mean")
 
 
-def _errors(quotes: DataFrame, params: Column, rate: float, beta: float, huber: float | None,
+def _errors(points: DataFrame, rate: float, beta: float, huber: float | None,
             vol_weight: float, price_weight: float) -> DataFrame:
-    """Weighted volatility and price error of every (surface, parameter set)."""
-    p = quotes.withColumn("p", F.explode(params))
+    """Weighted volatility and price error of every (surface, parameter set in p_alpha, p_rho, p_nu)."""
     s, k, t, r = F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(float(rate))
-    vol = sabr_vol(s * F.exp(r * t), k, t, F.col("p.alpha"), F.lit(float(beta)), F.col("p.rho"), F.col("p.nu"))
-    p = with_sabr_price(p.withColumn("_vol", vol), "_px", s, k, t, r, "_vol", F.col("option_type") == "call")
+    p = with_sabr_vol(points, "_vol", s * F.exp(r * t), k, t, F.col("p_alpha"), F.lit(float(beta)), F.col("p_rho"), F.col("p_nu"))
+    p = with_sabr_price(p, "_px", s, k, t, r, "_vol", F.col("option_type") == "call")
     p = p.withColumns({"_ev": F.col("_vol") - F.col("implied_volatility"), "_ep": (F.col("_px") - F.col("mid_price")) / F.col("spot")})
     ev, ep = F.col("_ev"), F.col("_ep")
 
@@ -299,45 +306,49 @@ def _errors(quotes: DataFrame, params: Column, rate: float, beta: float, huber:
         a = F.abs(e)
         return F.when(a <= huber, e * e).otherwise(2 * huber * (a - 0.5 * huber))
 
-    g = p.groupBy(*GROUP, "p").agg(
+    g = p.groupBy(*GROUP, "p_alpha", "p_rho", "p_nu").agg(
         F.sqrt(F.sum(F.col("weight") * loss(ev)) / F.sum("weight")).alias("vol_rmse"),
         F.sqrt(F.sum(F.col("weight") * loss(ep)) / F.sum("weight")).alias("price_rmse"))
-    pen = sabr_penalty(F.col("p.alpha"), F.col("p.rho"), F.col("p.nu"))
+    pen = sabr_penalty(F.col("p_alpha"), F.col("p_rho"), F.col("p_nu"))
     return g.withColumn("objective", vol_weight * F.col("vol_rmse") + price_weight * F.col("price_rmse") + pen)
 
 
 def _best(errors: DataFrame) -> DataFrame:
-    order = F.struct("objective", "p")
-    return errors.groupBy(*GROUP).agg(F.min_by(F.struct("p", "vol_rmse", "price_rmse", "objective"), order).alias("b")).select(
-        *GROUP, F.col("b.p.alpha").alias("alpha"), F.col("b.p.rho").alias("rho"), F.col("b.p.nu").alias("nu"),
+    row = F.struct("objective", "p_alpha", "p_rho", "p_nu", "vol_rmse", "price_rmse")
+    return errors.groupBy(*GROUP).agg(F.min(row).alias("b")).select(
+        *GROUP, F.col("b.p_alpha").alias("alpha"), F.col("b.p_rho").alias("rho"), F.col("b.p_nu").alias("nu"),
         F.col("b.vol_rmse").alias("vol_rmse"), F.col("b.price_rmse").alias("price_rmse"), F.col("b.objective").alias("objective"))
 
 
+def _spread(df: DataFrame, name: str, values: Column) -> DataFrame:
+    return df.withColumn(name, F.explode(values))
+
+
 def calibrate_sabr(quotes: DataFrame, rate: float, beta: float = 1.0, huber: float | None = None,
                    alphas: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.6), rhos: Sequence[float] = (-0.6, -0.3, 0.0, 0.3, 0.6),
                    nus: Sequence[float] = (0.3, 0.8, 1.5), rounds: int = 2, vol_weight: float = 0.7,
                    price_weight: float = 0.3) -> DataFrame:
     """Grid calibration of every surface in one job, refined around the best point.
 
-    The grid is a fixed list of parameter sets, exploded next to each quote and summed on the
+    The grid is three short fixed lists, exploded next to each quote and summed on the
     map side, so the shuffle carries (surfaces x parameter sets) rows, not quotes.
     """
-    def lits(points):
-        return F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(r)).alias("rho"), F.lit(float(n)).alias("nu"))
-                         for a, r, n in points])
-
-    best = _best(_errors(quotes, lits(itertools.product(alphas, rhos, nus)), rate, beta, huber, vol_weight, price_weight))
-    da, dr, dn = (max(np.diff(g)) for g in (alphas, rhos, nus))
+    lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    need = [*GROUP, "spot", "strike", "time_to_maturity", "option_type", "implied_volatility", "mid_price", "weight"]
+    quotes = quotes.select(*need)
+    grid = _spread(_spread(_spread(quotes, "p_alpha", lits(alphas)), "p_rho", lits(rhos)), "p_nu", lits(nus))
+    best = _best(_errors(grid, rate, beta, huber, vol_weight, price_weight))
+    da, dr, dn = (float(max(np.diff(g))) for g in (alphas, rhos, nus))
     for i in range(1, rounds):
-        h = 2.0 ** i
-        steps = [-2, -1, 0, 1, 2]
-        near = F.array(*[F.struct(
-            F.round(F.greatest(F.col("alpha") + a * da / (2 * h), F.lit(0.001)), 6).alias("alpha"),
-            F.round(F.greatest(F.least(F.col("rho") + r * dr / (2 * h), F.lit(0.99)), F.lit(-0.99)), 6).alias("rho"),
-            F.round(F.greatest(F.col("nu") + n * dn / (2 * h), F.lit(0.001)), 6).alias("nu"))
-            for a, r, n in itertools.product(steps, steps, (-1, 0, 1))])
-        again = quotes.join(best.select(*GROUP, "alpha", "rho", "nu"), list(GROUP))
-        best = _best(_errors(again, F.array_distinct(near), rate, beta, huber, vol_weight, price_weight))
+        h = 2.0 * 2.0 ** i
+        near = best.select(*GROUP, "alpha", "rho", "nu")
+        for name, steps in (("_a", (-2, -1, 0, 1, 2)), ("_r", (-2, -1, 0, 1, 2)), ("_n", (-1, 0, 1))):
+            near = _spread(near, name, lits(steps))
+        near = near.select(
+            *GROUP, F.round(F.greatest(F.col("alpha") + F.col("_a") * (da / h), F.lit(0.001)), 6).alias("p_alpha"),
+            F.round(F.greatest(F.least(F.col("rho") + F.col("_r") * (dr / h), F.lit(0.99)), F.lit(-0.99)), 6).alias("p_rho"),
+            F.round(F.greatest(F.col("nu") + F.col("_n") * (dn / h), F.lit(0.001)), 6).alias("p_nu")).distinct()
+        best = _best(_errors(quotes.join(near, list(GROUP)), rate, beta, huber, vol_weight, price_weight))
     return best.withColumns({
         "alpha_ok": F.col("alpha") > 0, "nu_ok": F.col("nu") > 0, "rho_ok": F.abs("rho") < 1})
 
@@ -345,20 +356,21 @@ def calibrate_sabr(quotes: DataFrame, rate: float, beta: float = 1.0, huber: flo
 def sabr_greeks(chain: DataFrame, rate: float, alpha, rho, nu, beta: float = 1.0) -> DataFrame:
     """Finite-difference SABR greeks next to Black-Scholes ones, with absolute differences.
 
-    The bumps of spot, alpha and time are a fixed list of extra columns, so nothing is shuffled.
+    Each quote is repeated for seven fixed bumps of spot, alpha and time; the bumped prices meet
+    again in the partial aggregation of the same task.
     """
     s, k, t, r = F.col("spot"), F.col("strike"), F.col("time_to_maturity"), F.lit(float(rate))
-    b, call = F.lit(float(beta)), F.col("option_type") == "call"
-
-    h, ha, ht = 0.01 * s, 0.01 * alpha, 1.0 / 365.0
-    late = F.greatest(t - ht, F.lit(1e-9))
-    bumps = {"_p0": (s, alpha, t), "_up": (s + h, alpha, t), "_dn": (s - h, alpha, t), "_pa": (s, alpha + ha, t),
-             "_ua": (s + h, alpha + ha, t), "_da": (s - h, alpha + ha, t), "_pt": (s, alpha, late)}
-    df = chain.withColumn("sabr_vol", sabr_vol(s, k, t, alpha, b, rho, nu))
-    for name, (sp, al, tt) in bumps.items():
-        df = df.withColumn("_v", sabr_vol(sp * F.exp(r * tt), k, tt, al, b, rho, nu))
-        df = with_sabr_price(df, name, sp, k, tt, r, "_v", call)
-    df = df.withColumn("_pt", F.when(t > ht, F.col("_pt"))).drop("_v")
+    b, call, day = F.lit(float(beta)), F.col("option_type") == "call", 1.0 / 365.0
+    moves = {"p0": (0, 0, 0), "up": (1, 0, 0), "dn": (-1, 0, 0), "pa": (0, 1, 0), "ua": (1, 1, 0), "da": (-1, 1, 0), "pt": (0, 0, 1)}
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(float(x)).alias(c) for c, x in zip(("ds", "da", "dt"), m)]) for n, m in moves.items()])
+    x = chain.withColumn("_m", F.explode(rows)).withColumns({
+        "_s": s * (1 + 0.01 * F.col("_m.ds")), "_al": alpha * (1 + 0.01 * F.col("_m.da")), "_t": F.greatest(t - day * F.col("_m.dt"), F.lit(1e-9))})
+    x = with_sabr_vol(x, "_v", F.col("_s") * F.exp(r * F.col("_t")), k, F.col("_t"), F.col("_al"), b, rho, nu)
+    x = with_sabr_price(x, "_price", F.col("_s"), k, F.col("_t"), r, "_v", call)
+    df = x.groupBy(*chain.columns).agg(*[F.max(F.when(F.col("_m.n") == n, F.col("_price"))).alias(f"_{n}") for n in moves])
+    df = df.withColumn("_pt", F.when(t > day, F.col("_pt")))
+    df = with_sabr_vol(df, "sabr_vol", s, k, t, alpha, b, rho, nu)
+    h, ha, ht = 0.01 * s, 0.01 * alpha, day
     df = df.withColumns({
         "sabr_delta": (F.col("_up") - F.col("_dn")) / (2 * h),
         "sabr_gamma": (F.col("_up") - 2 * F.col("_p0") + F.col("_dn")) / (h * h),

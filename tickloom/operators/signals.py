@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import safe_div
+from tickloom.operators.frames import fence
 
 COMMISSION_BPS = 130.0
 DEFAULT_SPREAD_BPS = 500.0
@@ -65,7 +66,7 @@ def single_leg_signals(df: DataFrame, edge: str = "absolute") -> DataFrame:
 
 
 def tradeable(signals: DataFrame, min_edge: float = 50.0) -> DataFrame:
-    return signals.where((F.col("net_edge_bps") >= min_edge) & F.col("liquidity_ok") & F.col("spread_ok")
+    return fence(signals).where((F.col("net_edge_bps") >= min_edge) & F.col("liquidity_ok") & F.col("spread_ok")
                          & F.col("strike_ok") & (F.col("signal_type") != "no_trade"))
 
 

@@ -164,8 +164,7 @@ sb AS (SELECT *, 0.25e0 * xz * (1 + ((-0.3e0 * 0.8e0 * 0.25e0) / 4 + ((2 - 3 * 0
 
 def sabr_fixed(df):
     f = F.col("spot") * F.exp(F.lit(R) * F.col("time_to_maturity"))
-    vol = op.sabr_vol(f, F.col("strike"), F.col("time_to_maturity"), *[F.lit(x) for x in (0.25, 1.0, -0.3, 0.8)])
-    return fence(df.withColumn("model_iv", vol))
+    return fence(op.with_sabr_vol(df, "model_iv", f, F.col("strike"), F.col("time_to_maturity"), *[F.lit(x) for x in (0.25, 1.0, -0.3, 0.8)]))
 
 
 @query("sabr_surface", "Q4", f"""WITH {v.CHAIN}, {SABR_SQL.format(src='chain')}, sp AS (SELECT * EXCLUDE (d1, d2, n1, n2), {v.bs()} AS model_price FROM (SELECT *, {v.d12('model_iv')} FROM sb) q)

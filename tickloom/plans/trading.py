@@ -194,10 +194,10 @@ def rule_fills(spark, d):
     return tg, pf.simulate_fills(tg, tg)
 
 
-@query("simulated_fills", "P13 Q16 J20", f"WITH {FILL_SQL} SELECT {sql_rounded(['intent_id', 'accepted', 'reason', 'filled_contracts'], ['fill_price', 'estimated_fees', 'total_cash_impact'], 4)} FROM fl")
+@query("simulated_fills", "P13 Q16 J20", f"WITH {FILL_SQL} SELECT {sql_rounded(['intent_id', 'accepted', 'reason', 'filled_contracts'], ['fill_price', 'estimated_fees', 'total_cash_impact'], 8)} FROM fl")
 def simulated_fills(spark, d):
     _, f = rule_fills(spark, d)
-    return rounded(f, ["intent_id", "accepted", "reason", "filled_contracts"], ["fill_price", "estimated_fees", "total_cash_impact"], 4)
+    return rounded(f, ["intent_id", "accepted", "reason", "filled_contracts"], ["fill_price", "estimated_fees", "total_cash_impact"], 8)
 
 
 # the positions of every brand are run on the path of one bar symbol each
@@ -243,26 +243,27 @@ DAY_SQL = _day_sql("CASE WHEN abs(net_delta) >= 25 THEN round_even(-net_delta, 0
 _PNL = ["mtm_pnl", "realized_pnl", "hedge_pnl", "hedge_costs", "transaction_costs", "total_pnl", "equity"]
 
 
-@query("backtest_daily", "Q17 J12 J20 W35", f"WITH {DAY_SQL} SELECT {sql_rounded(['symbol', 'date', 'regime'], _PNL, 2)}, round(drawdown_pct, 6) + 0.0 AS drawdown_pct FROM daily")
+@query("backtest_daily", "Q17 J12 J20 W35", f"WITH {DAY_SQL} SELECT symbol, date, regime, {', '.join(f'round({c} / 1e6, 4) + 0.0 AS {c}' for c in _PNL)}, round(drawdown_pct, 6) + 0.0 AS drawdown_pct FROM daily")
 def backtest_daily(spark, d):
     b = backtest(spark, d)
-    return b.select("symbol", "date", "regime", *[F.round(c, 2).alias(c) for c in _PNL], F.round("drawdown_pct", 6).alias("drawdown_pct"))
+    return b.select("symbol", "date", "regime", *[F.round(F.col(c) / 1e6, 4).alias(c) for c in _PNL], F.round("drawdown_pct", 6).alias("drawdown_pct"))
 
 
-@query("backtest_running_hedge", "Q17 Q15", f"WITH {_day_sql('rsh AS shares, rab AS ab')} SELECT {sql_rounded(['symbol', 'date'], ['hedge_pnl', 'hedge_costs', 'total_pnl'], 2)} FROM daily")
+@query("backtest_running_hedge", "Q17 Q15", f"WITH {_day_sql('rsh AS shares, rab AS ab')} SELECT symbol, date, {', '.join(f'round({c} / 1e6, 4) + 0.0 AS {c}' for c in ('hedge_pnl', 'hedge_costs', 'total_pnl'))} FROM daily")
 def backtest_running_hedge(spark, d):
-    return rounded(backtest(spark, d, bt.Config(running_hedge=True)), ["symbol", "date"], ["hedge_pnl", "hedge_costs", "total_pnl"], 2)
+    b = backtest(spark, d, bt.Config(running_hedge=True))
+    return b.select("symbol", "date", *[F.round(F.col(c) / 1e6, 4).alias(c) for c in ("hedge_pnl", "hedge_costs", "total_pnl")])
 
 
-@query("pnl_attribution", "A18", f"""WITH {DAY_SQL} SELECT symbol, round(sum(mtm_pnl - (delta_pnl + gamma_pnl + vega_pnl + theta_pnl + hedge_pnl)), 2) + 0.0 AS model_edge_capture,
-  round(sum(hedge_pnl - hedge_costs), 2) + 0.0 AS delta_hedge_contribution, round(sum(vega_pnl), 2) + 0.0 AS vega_exposure, round(sum(theta_pnl), 2) + 0.0 AS theta_carry,
-  round(sum(transaction_costs + hedge_costs), 2) AS execution_cost, round(sum(transaction_costs * 0.5e0), 2) AS spread_crossing,
-  round(coalesce(sum(total_pnl) FILTER (WHERE regime = 'crisis'), 0), 2) + 0.0 AS crisis_pnl, round(coalesce(sum(total_pnl) FILTER (WHERE regime = 'normal'), 0), 2) + 0.0 AS normal_pnl FROM daily GROUP BY 1""")
+@query("pnl_attribution", "A18", f"""WITH {DAY_SQL} SELECT symbol, round((sum(mtm_pnl - (delta_pnl + gamma_pnl + vega_pnl + theta_pnl + hedge_pnl))) / 1e6, 4) + 0.0 AS model_edge_capture,
+  round((sum(hedge_pnl - hedge_costs)) / 1e6, 4) + 0.0 AS delta_hedge_contribution, round((sum(vega_pnl)) / 1e6, 4) + 0.0 AS vega_exposure, round((sum(theta_pnl)) / 1e6, 4) + 0.0 AS theta_carry,
+  round((sum(transaction_costs + hedge_costs)) / 1e6, 4) + 0.0 AS execution_cost, round((sum(transaction_costs * 0.5e0)) / 1e6, 4) + 0.0 AS spread_crossing,
+  round((coalesce(sum(total_pnl) FILTER (WHERE regime = 'crisis'), 0)) / 1e6, 4) + 0.0 AS crisis_pnl, round((coalesce(sum(total_pnl) FILTER (WHERE regime = 'normal'), 0)) / 1e6, 4) + 0.0 AS normal_pnl FROM daily GROUP BY 1""")
 def pnl_attribution(spark, d):
     a = bt.attribution(backtest(spark, d), ["symbol"])
     names = ["model_edge_capture", "delta_hedge_contribution", "vega_exposure", "theta_carry", "execution_cost", "spread_crossing"]
-    by = lambda k: F.round(F.coalesce(F.element_at("regime_performance", F.lit(k)), F.lit(0.0)), 2).alias(f"{k}_pnl")
-    return a.select("symbol", *[F.round(c, 2).alias(c) for c in names], by("crisis"), by("normal"))
+    by = lambda k: F.round(F.coalesce(F.element_at("regime_performance", F.lit(k)), F.lit(0.0)) / 1e6, 4).alias(f"{k}_pnl")
+    return a.select("symbol", *[F.round(F.col(c) / 1e6, 4).alias(c) for c in names], by("crisis"), by("normal"))
 
 
 _SUM = ["total_pnl", "gross_before_costs", "total_costs", "turnover_usd"]
@@ -271,11 +272,11 @@ _SUM2 = ["max_drawdown_pct", "average_capital_used_pct", "sharpe", "total_return
 
 @query("backtest_summary", "A19", f"""WITH {DAY_SQL}, s AS (SELECT symbol, sum(total_pnl) AS total_pnl, sum(mtm_pnl + realized_pnl + hedge_pnl) AS gross_before_costs, sum(transaction_costs + hedge_costs) AS total_costs,
   sum(turnover_usd) AS turnover_usd, max(drawdown_pct) AS max_drawdown_pct, avg(capital_used_pct) AS average_capital_used_pct,
-  CASE WHEN count(*) >= 2 AND stddev_samp(total_pnl) > 0 THEN avg(total_pnl) / stddev_samp(total_pnl) * sqrt(252) ELSE 0 END AS sharpe, sum(total_pnl) / 250000 * 100 AS total_return_pct FROM daily GROUP BY 1)
-SELECT {sql_rounded(['symbol'], _SUM, 2)}, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _SUM2)} FROM s""")
+  CASE WHEN count(*) >= 2 AND stddev_samp(total_pnl) > 0 THEN avg(total_pnl) / stddev_samp(total_pnl) * sqrt(252) ELSE 0 END AS sharpe, sum(total_pnl) / 250000 * 100 / 1e6 AS total_return_pct FROM daily GROUP BY 1)
+SELECT symbol, {', '.join(f'round({c} / 1e6, 4) + 0.0 AS {c}' for c in _SUM)}, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _SUM2)} FROM s""")
 def backtest_summary(spark, d):
-    s = bt.summary(backtest(spark, d), 250000.0, ["symbol"])
-    return s.select("symbol", *[F.round(c, 2).alias(c) for c in _SUM], *[F.round(c, 4).alias(c) for c in _SUM2])
+    s = bt.summary(backtest(spark, d), 250000.0, ["symbol"]).withColumn("total_return_pct", F.col("total_return_pct") / 1e6)
+    return s.select("symbol", *[F.round(F.col(c) / 1e6, 4).alias(c) for c in _SUM], *[F.round(c, 4).alias(c) for c in _SUM2])
 
 
 @query("rolling_reentry", "Q18 W35")
@@ -300,9 +301,9 @@ g AS (SELECT symbol, scenario, sum(delta * ds) AS delta_pnl, sum(0.5e0 * gamma *
   -sum(CASE WHEN wrong_way THEN 0.20e0 * (abs(vega) + abs(gamma) * greatest(abs(ds), 1)) ELSE 0 END) AS wrong_way_jump,
   -sum(CASE WHEN unstable THEN 0.10e0 * (abs(vega) + abs(theta) + abs(gamma) * 100) ELSE 0 END) AS calibration_instability FROM x GROUP BY ALL),
 h AS (SELECT *, delta_pnl + gamma_pnl + vega_pnl + theta_pnl + execution_drag + hedge_lag + wrong_way_jump + calibration_instability AS pnl FROM g)
-SELECT {sql_rounded(['symbol', 'scenario'], _STRESS, 3)} FROM h""")
+SELECT {sql_rounded(['symbol', 'scenario'], _STRESS, 5)} FROM h""")
 def stress_scenarios(spark, d):
-    return rounded(bt.stress(rule_targets(spark, d), ["symbol"]), ["symbol", "scenario"], _STRESS, 3)
+    return rounded(bt.stress(rule_targets(spark, d), ["symbol"]), ["symbol", "scenario"], _STRESS, 5)
 
 
 # ---- multi-leg ------------------------------------------------------------------------------
@@ -322,8 +323,8 @@ legs AS (SELECT symbol, expiry, 'bull_call_spread' AS strategy, a.strike AS lo,
 le AS (SELECT *, g.strike / g.spot AS mny FROM legs),
 su AS (SELECT symbol, expiry, strategy, lo AS low_strike, hi AS high_strike, sum(sd * (g.m - g.k) * 10000) AS edge_bps,
   sum(CASE WHEN g.bid > 0 AND g.ask > 0 THEN (g.ask - g.bid) / ((g.bid + g.ask) / 2) / 2 * 10000 ELSE 500 END + 130) AS cost_bps,
-  sum(sd * CASE WHEN g.ot = 'call' THEN CASE WHEN mny BETWEEN 0.95 AND 1.05 THEN 0.5 WHEN mny > 1.05 THEN 0.2 ELSE 0.8 END
-    ELSE CASE WHEN mny BETWEEN 0.95 AND 1.05 THEN -0.5 WHEN mny < 0.95 THEN -0.2 ELSE -0.8 END END) AS delta,
+  sum(sd * CASE WHEN g.ot = 'call' THEN CASE WHEN mny BETWEEN 0.95 AND 1.05 THEN 0.5e0 WHEN mny > 1.05 THEN 0.2e0 ELSE 0.8e0 END
+    ELSE CASE WHEN mny BETWEEN 0.95 AND 1.05 THEN -0.5e0 WHEN mny < 0.95 THEN -0.2e0 ELSE -0.8e0 END END) AS delta,
   sum(sd * g.tt * 20) AS vega, sum(CASE WHEN sd > 0 THEN g.ask ELSE -g.bid END) AS net_debit, bool_and(g.l) AS lok, bool_and(g.s) AS sok FROM le GROUP BY ALL),
 sv AS (SELECT *, edge_bps - cost_bps AS net_edge_bps FROM su),
 strat AS (SELECT *, CASE WHEN net_edge_bps < 0 THEN 0 ELSE greatest(least(net_edge_bps / 200, 1) - CASE WHEN lok THEN 0 ELSE 0.3e0 END - CASE WHEN sok THEN 0 ELSE 0.3e0 END, 0) END AS confidence,
