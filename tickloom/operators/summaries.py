@@ -163,7 +163,8 @@ def transitions(df: DataFrame, label: str, s: Series = Series()) -> DataFrame:
 
 def validation_summary(windows: DataFrame, keys: Sequence[str], params: Sequence[str]) -> DataFrame:
     """Mean errors, parameter deviation across windows, best and worst window."""
+    rank = F.when(F.col("price_rmse").isNotNull(), F.struct("price_rmse", "window"))
     return windows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_windows"), F.avg("price_rmse").alias("avg_price_rmse"), F.avg("vol_rmse").alias("avg_vol_rmse"),
         *[F.stddev_pop(p).alias(f"{p}_std") for p in params],
-        F.min_by("window", F.struct("price_rmse", "window")).alias("best_window"), F.max_by("window", F.struct("price_rmse", "window")).alias("worst_window"))
+        F.min_by("window", rank).alias("best_window"), F.max_by("window", rank).alias("worst_window"))

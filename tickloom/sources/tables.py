@@ -147,9 +147,8 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast(MONEY).alias("quantity"), F.col("l_extendedprice").cast(MONEY).alias("value"))
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-book events: the same user's later events change or cancel the first order."""
-    e = table(spark, sf_dir, "events")
+def book_events(e: DataFrame) -> DataFrame:
+    """Order-book events: three consecutive events belong to one order."""
     action = F.when(F.col("event_type") == "error", "cancel").when(
         F.col("event_type") == "purchase", "modify").otherwise("add")
     return e.select(
@@ -159,6 +158,10 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("value", 0).alias("price"), (F.pmod("event_id", F.lit(97)) + 1).cast("long").alias("qty"))
 
 
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book_events(table(spark, sf_dir, "events"))
+
+
 RATE = 0.04
 
 
