@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tickloom.functions.numeric import finite, safe_div
 from tickloom.operators.frames import Series, average_rank
 from tickloom.operators.sets import top_per_group
+from tickloom.session import cut_lineage
 
 # Walk-forward layout, label horizons, gate thresholds, ensemble weights.
 INIT_TRAIN, STEP, HOLDOUT = 120, 21, 51
@@ -203,7 +204,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], target: str, models: di
 
     The driver only submits fits; training rows of a fold are a filtered view of one table.
     """
-    d = split_role(number(df.where(F.col(target).isNotNull())), init, step, holdout).persist()
+    d = cut_lineage(split_role(number(df.where(F.col(target).isNotNull())), init, step, holdout))
     gap = embargo_of(target)
     folds = [r["fold"] for r in d.select("fold").distinct().orderBy("fold").collect() if r["fold"] is not None]
     out = None

@@ -9,6 +9,7 @@ from tickloom.operators.frames import Series
 from tickloom.plans import views_sql as v
 from tickloom.plans.registry import query, rounded, sql_rounded
 from tickloom.plans.statistics import TARGET_SQL, base, labelled
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as t
 
 S = Series()
@@ -16,9 +17,10 @@ FEATS = ["realized_vol_20d", "realized_vol_60d", "skewness_20d", "max_drawdown_2
 
 
 def learn_table(spark, d):
+    """Features and targets, written once: every fit below reads the files, not the lineage."""
     x = ind.add_momentum(ind.add_microstructure(ind.add_risk(ind.add_returns(t.bars_daily(spark, d)))))
     x = st.standardise(st.add_targets(x), FEATS)
-    return x.select("symbol", "date", "log_return", *FEATS, "target_1d", "target_5d", "target_vol_5d", "target_dir_1d", "target_large_move", "target_regime")
+    return cut_lineage(x.select("symbol", "date", "log_return", *FEATS, "target_1d", "target_5d", "target_vol_5d", "target_dir_1d", "target_large_move", "target_regime"))
 
 
 @query("walk_forward_folds", "M8 P18", f"""WITH {v.BARS}, n AS (SELECT symbol, count(*) - 51 AS a FROM bars GROUP BY 1),
