@@ -9,6 +9,7 @@ from tickloom.operators.frames import fence
 from tickloom.operators.sets import keep_one
 from tickloom.plans import views_sql as v
 from tickloom.plans.registry import query, rounded, sql_rounded
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as t
 
 R = t.RATE
@@ -183,8 +184,11 @@ def quote_weights(spark, d):
 
 
 def _ready(spark, d):
-    """Quotes of surfaces dense enough to calibrate, with volatility and weights."""
-    q = op.valid_vol(op.add_implied_vol(cleaned(spark, d), R))
+    """Quotes of surfaces dense enough to calibrate, with volatility and weights.
+
+    The solved volatilities are written once; the grid rounds read them several times.
+    """
+    q = cut_lineage(op.valid_vol(op.add_implied_vol(cleaned(spark, d), R)))
     ok = op.density_gate(q).where("passes").select(*op.GROUP)
     return op.add_quote_weights(q.join(ok, list(op.GROUP), "left_semi"))
 
