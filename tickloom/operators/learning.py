@@ -114,7 +114,8 @@ def class_weights(train: DataFrame, label: str, keys: Sequence[str] = ()) -> Dat
         tot = g.groupBy(*keys).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
         j = g.join(tot, list(keys))
     else:
-        j = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))))  # one row
+        t = g.agg(F.sum("n"), F.count(F.lit(1))).first()
+        j = g.withColumns({"_t": F.lit(t[0]), "_k": F.lit(t[1])})
     return j.select(*keys, label, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
@@ -132,9 +133,13 @@ def oversample(df: DataFrame, label: str, features: Sequence[str], k: int = 5, s
     x = df.where(F.col(label) == minor).select(*features, F.monotonically_increasing_id().alias("_id"))
     proj = sum((F.coalesce(F.col(f), F.lit(0.0)) * (1.0 if i % 2 else -1.0) for i, f in enumerate(features)), F.lit(0.0))
     size = max(buckets, counts[minor] // 512)
-    edges = x.select(proj.alias("p")).agg(F.percentile_approx("p", [i / size for i in range(1, size)], 10000).alias("e")) if counts[minor] > 2048 else None
     x = x.withColumn("_p", proj)
-    x = x.withColumn("_b", F.lit(0)) if edges is None else x.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda v: v < F.col("_p")))).drop("e")
+    if counts[minor] > 2048:
+        cuts = x.agg(F.percentile_approx("_p", [i / size for i in range(1, size)], 10000)).first()[0]
+        edges = F.array(*[F.lit(float(c)) for c in cuts])
+        x = x.withColumn("_b", F.size(F.filter(edges, lambda v: v < F.col("_p"))))
+    else:
+        x = x.withColumn("_b", F.lit(0))
     schema = ", ".join(f"{f} double" for f in features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +309,7 @@ def choose_k(train: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6), seed: int =
 def relabel(df: DataFrame, cluster: str, by: str) -> DataFrame:
     """Cluster numbers in ascending order of a mean (calm first)."""
     m = df.groupBy(cluster).agg(F.avg(by).alias("_m"))
-    rank = m.select(cluster, (F.row_number().over(Window.orderBy("_m", cluster)) - 1).alias("_new"))  # at most k rows
+    rank = m.select(cluster, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_m", cluster)) - 1).alias("_new"))  # k rows
     return df.join(F.broadcast(rank), cluster).drop(cluster).withColumnRenamed("_new", cluster)
 
 
@@ -362,9 +367,9 @@ def isolation_scores(df: DataFrame, features: Sequence[str], order: Sequence[str
 
 
 def anomaly_flags(scored: DataFrame, train: Column, share: float = 0.05) -> DataFrame:
-    """Flag the most isolated rows; the cut is the training quantile of the score (one row)."""
-    cut = scored.where(train).agg(F.percentile_approx("anomaly_score", 1 - share, 10000).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("anomaly_iso", (F.col("anomaly_score") > F.col("_cut")).cast("int")).drop("_cut")
+    """Flag the most isolated rows; the cut is the training quantile of the score."""
+    cut = scored.where(train).agg(F.percentile_approx("anomaly_score", 1 - share, 10000)).first()[0]
+    return scored.withColumn("anomaly_iso", (F.col("anomaly_score") > F.lit(cut)).cast("int"))
 
 
 # ---- gate, registry, drift ------------------------------------------------------------------

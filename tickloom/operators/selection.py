@@ -27,16 +27,15 @@ def low_variance(df: DataFrame, cols: Sequence[str], limit: float = 0.01) -> lis
 def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: int = 8, discrete: bool = False) -> DataFrame:
     """Mutual information of each column with a target from quantile bins, in nats."""
     edges = [i / bins for i in range(1, bins)]
-    probs = F.array(*[F.lit(e) for e in edges])
     d = df.where(F.col(target).isNotNull())
     if discrete:
         d = d.withColumn("_y", F.col(target).cast("int"))
     else:
-        cut = d.agg(F.percentile_approx(target, edges, 10000).alias("_cy"))
-        d = d.crossJoin(F.broadcast(cut)).withColumn("_y", F.size(F.filter("_cy", lambda e: e < F.col(target))))
+        cut = d.agg(F.percentile_approx(target, edges, 10000)).first()[0]
+        d = d.withColumn("_y", sum(((F.col(target) > F.lit(float(e))).cast("int") for e in cut), F.lit(0)))
     lf = long_form(d, ["_y"], cols).where("value is not null")
     cuts = lf.groupBy("feature").agg(F.percentile_approx("value", edges, 10000).alias("_cx"))
-    b = lf.join(F.broadcast(cuts), "feature").withColumn("_x", F.size(F.filter("_cx", lambda e: e < F.col("value"))))
+    b = lf.join(cuts, "feature").withColumn("_x", F.size(F.filter("_cx", lambda e: e < F.col("value"))))
     cell = b.groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     f = Window.partitionBy("feature")
     j = cell.withColumns({"_t": F.sum("n").over(f), "_nx": F.sum("n").over(Window.partitionBy("feature", "_x")),

@@ -182,11 +182,13 @@ aligned AS (
 
 
 def index_returns(spark, d, bars):
-    """Index log return carried to every symbol's dates."""
+    """Index log return for the months a symbol trades in and the month before each."""
     b = t.bars_benchmark(spark, d).withColumn("symbol", F.lit("*"))
     r = ind.add_returns(b.withColumns({c: F.col("close") for c in ("open", "high", "low")}))
-    symbols = bars.select("symbol").distinct()
-    return symbols.crossJoin(r.select("date", F.col("log_return").alias("idx")))
+    month = F.trunc("date", "month")
+    seen = bars.select("symbol", F.explode(F.array(month, F.add_months(month, -1))).alias("_m")).distinct()
+    r = r.select("date", F.col("log_return").alias("idx"), month.alias("_m"))
+    return seen.join(r, "_m").drop("_m")
 
 
 @query("cross_asset_features", "J4 W20 W21 W22", f"""WITH {v.BARS}, {v.RET}, {v.BENCH}, {BENCH_RET},
