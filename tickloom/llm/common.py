@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, shared_dir
 
 #: A word is a run of anything but space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +28,39 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _cuts_below(value: Column, cuts: list[int]) -> Column:
+    """Number of cuts below the value, looked up in two steps of about sqrt(n) comparisons."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    if not groups:
+        return F.lit(0)
+    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    head = F.size(F.filter(long([g[0] for g in groups[1:]]), lambda c: c < value)) if len(groups) > 1 else F.lit(0)
+    inner = F.element_at(F.array(*[long(g) for g in groups]), (head + 1).cast("int"))
+    return head * step + F.size(F.filter(inner, lambda c: c < value))
+
+
+def id_ranges(df: DataFrame, id_col: str, n: int) -> Callable[[Column], Column]:
+    """Function from an id to the number of its range, 0 to n - 1, of ascending ids.
+
+    Cuts come from approximate quantiles (n - 1 numbers on the driver); they balance the work and have
+    no part in any result.
+    """
+    cuts = df.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first()["c"] or []
+    return lambda value: _cuts_below(value, sorted(set(cuts)))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table of this run by the file system that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Exclusive running sums over the whole table in ``order``, without gathering it anywhere.
 

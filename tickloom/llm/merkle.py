@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import shuffle_width, table
+from tickloom.llm.common import id_ranges, shuffle_width, table
 from tickloom.llm.registry import query
 
 
@@ -50,18 +48,6 @@ def located_edits(a: str, b: str) -> Column:
     return F.flatten(per_section)
 
 
-def _bucket(value: Column, cuts: list[int]) -> Column:
-    """Number of cuts below the value, looked up in two steps of about sqrt(n) comparisons."""
-    step = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    if not groups:
-        return F.lit(0)
-    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    head = F.size(F.filter(long([g[0] for g in groups[1:]]), lambda c: c < value)) if len(groups) > 1 else F.lit(0)
-    inner = F.element_at(F.array(*[long(g) for g in groups]), (head + 1).cast("int"))
-    return head * step + F.size(F.filter(inner, lambda c: c < value))
-
-
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the following document in descending id order, after the last that of the first.
 
@@ -73,10 +59,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     spark = docs.sparkSession
     n = buckets or min(16384, 4 * shuffle_width(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first()["c"] or []
     key = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.xxhash64("text").alias("c"))
-    # null ids come last in descending order, below the lowest range
-    rows = rows.withColumn("_key", key).withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_bucket(F.col("doc_id"), sorted(set(cuts)))))
+    # null ids come last in descending order: their range is below the lowest
+    rows = rows.withColumn("_key", key).withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(id_ranges(docs, id_col, n)(F.col("doc_id"))))
 
     heads = rows.groupBy("_bucket").agg(F.max("_key").alias("_head"))
     up = Window.orderBy("_bucket")
