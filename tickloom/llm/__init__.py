@@ -7,7 +7,7 @@ import importlib
 
 from tickloom.llm.registry import ORACLES, QUERIES  # noqa: F401
 
-MODULES = ("mixing", "sharding", "merkle", "fertility", "langid")
+MODULES = ("mixing", "sharding", "merkle", "fertility", "langid", "tokenbin")
 
 
 def load_all() -> None:

@@ -145,7 +145,7 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, text_col: str = "te
     if not labels:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
     part = {x: min(1.0, sample / len(labels) / counts[x]) for x in labels}
-    cut = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.lit(int((2 * part[x] - 1) * (2**63 - 1))) for x in labels])), F.col("l"))
+    cut = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.lit(min(2**63 - 1, int((2 * part[x] - 1) * 2**63))) for x in labels])), F.col("l"))
 
     @F.pandas_udf("struct<idx:array<int>,n:array<int>>")
     def count_subwords(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
