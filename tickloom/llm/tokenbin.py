@@ -58,7 +58,7 @@ def _words(path: str) -> WordTable:
     def core(word: bytes) -> list[int]:
         low = word.lower()
         if low not in known:
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             known[low] = [t.id for t in merge(low.decode())]
         return known[low]

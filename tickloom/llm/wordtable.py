@@ -23,7 +23,7 @@ class WordTable:
     kept; beyond it the table starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
