@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +67,9 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(out)[:-1] > 0
 
 
-FORMATTED = "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
+FORMATTED = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), *[(c, pa.list_(pa.int32())) for c in ("ids", "starts", "ends")], ("loss", pa.list_(pa.bool_()))])
+FORMATTED_DDL = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
+RUN = 200  # conversations that are turned into a batch at a time
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -81,21 +83,23 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf(FORMATTED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for b in batches:
-            out = []
-            for turns in b:
-                text, spans = render([(t["role"], t["text"]) for t in turns])
-                e = tok.encode(text, add_special_tokens=False)
-                at = np.array(e.offsets, np.int64).reshape(-1, 2)
-                out.append((text, e.ids, at[:, 0], at[:, 1], mask(at[:, 0], at[:, 1], spans)))
-            yield pd.DataFrame(out, columns=["formatted", "ids", "starts", "ends", "loss"])
+            for i in range(0, b.num_rows, RUN):
+                part = b.slice(i, RUN)
+                cols: list[list] = [[], [], [], [], []]
+                for turns in part.column(1).to_pylist():
+                    text, spans = render([(t["role"], t["text"]) for t in turns])
+                    e = tok.encode(text, add_special_tokens=False)
+                    at = np.array(e.offsets, np.int32).reshape(-1, 2)
+                    for col, x in zip(cols, (text, np.array(e.ids, np.int32), at[:, 0], at[:, 1], mask(at[:, 0], at[:, 1], spans))):
+                        col.append(x)
+                yield pa.record_batch([part.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(FORMATTED)[1:])]], schema=FORMATTED)
 
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))))
-    chats = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(turns.alias("turns"))
-    return chats.select("conv_id", run("turns").alias("f")).select("conv_id", "f.*")
+    chats = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(turns.alias("turns"))
+    return chats.mapInArrow(run, FORMATTED_DDL)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -114,23 +118,26 @@ def read_loss(formatted: str, starts, ends, loss) -> str:
     return unescape("".join(parts))
 
 
-DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def digests(chats: DataFrame) -> DataFrame:
     """Figures of every formatted conversation, read back from its string, offsets and mask."""
 
-    @F.pandas_udf(DIGEST)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for formatted, starts, ends, loss in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for row in zip(formatted, starts, ends, loss):
-                turns, learned = read_turns(row[0]), read_loss(*row)
+            for conv, formatted, starts, ends, loss in zip(*b.columns):
+                text = formatted.as_py()
+                turns = read_turns(text)
+                learned = read_loss(text, *(x.values.to_numpy(zero_copy_only=False) for x in (starts, ends, loss)))
                 told = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((len(turns), hashlib.sha256(told.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(row[0])))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in DIGEST.split(", ")])
+                out.append((conv.as_py(), len(turns), hashlib.sha256(told.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), DIGEST)], schema=DIGEST)
 
-    return chats.select("conv_id", run("formatted", "starts", "ends", "loss").alias("d")).select("conv_id", "d.*")
+    ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return chats.select("conv_id", "formatted", "starts", "ends", "loss").mapInArrow(run, ddl)
 
 
 @query("op6_chat_masks")
