@@ -178,6 +178,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     return rows.select("doc_id", "text_hash", *[x.split()[0] for x in SIGNALS.split(", ")], "base_failed", "kept", "reasons")
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all columns."""
+    good = judge(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
+    mark = "_hash_of_text"
+    rows = docs.withColumn(mark, F.xxhash64(text_col))
+    return rows.join(good, rows[id_col].eqNullSafe(F.col("_keep_id")) & (rows[mark] == F.col("_keep_hash")), "left_semi").drop(mark)
+
+
 @query("op7_fertility_rules")
 def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -208,6 +208,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), predictor(model, text_col).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is told with enough confidence, with all columns."""
+    _, learn, calibrate = held_out(id_col)
+    model = train(docs, learn, calibrate, text_col, lang_col, id_col)
+    return docs.withColumn("_told", predictor(model, text_col)).filter("NOT _told.rejected").drop("_told")
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -47,7 +47,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, seed: int = 0, id
     gives the rest, so a source with a third of all rows is spread like the others. The budget
     floor(target) takes whole epochs and then the front of the sorted source, cut at the exact word.
 
-    Returns doc_id, source, size, source_size, target, taken, epochs (whole copies) and tail_words
+    Returns doc_id, text_hash, source, size, source_size, target, taken, epochs (whole copies) and tail_words
     (words of one more, partial copy; 0 or size away from the cut). Null text or no words: size 0 and
     taken 0. A null source is a source of its own. Null or repeated ids: the rows tie on the key and
     are ordered by size; each row is counted. Empty table: no rows. Other columns are not read.
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, seed: int = 0, id
     spark = docs.sparkSession
     ranges = ranges or max(1024, 4 * shuffle_width(spark))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
     place = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges, 32)
     rows = cut_lineage(rows.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_src"), place.alias("_range")))
 
@@ -73,7 +73,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, seed: int = 0, id
     tail = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_start") - F.col("_in"))).cast("long")
     rows = rows.withColumn("tail_words", tail)
     taken = F.col("epochs") * F.col("size") + F.col("tail_words")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "tail_words")
+    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "tail_words")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents of the mix, each row as often as the mix takes it; all columns are returned.
+
+    Documents stay whole: the one at the cut of its source comes in whole, so a source passes its budget
+    by less than one document. Equal rows are taken as one row as often as all of them together.
+    """
+    takes = mix(docs, weights, max_epochs, seed, id_col, source_col, text_col)
+    copies = (F.col("epochs") + (F.col("tail_words") > 0).cast("long")).alias("n")
+    takes = takes.select("doc_id", "text_hash", "source", copies).filter("n > 0").groupBy("doc_id", "text_hash", "source").agg(F.sum("n").alias("_copies"))
+    takes = takes.select(F.col("doc_id").alias("_take_id"), F.col("text_hash").alias("_take_hash"), F.col("source").alias("_take_source"), "_copies")
+    mark = "_hash_of_text"
+    rows = docs.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark, source_col])
+    same = rows[id_col].eqNullSafe(F.col("_take_id")) & (rows[mark] == F.col("_take_hash")) & rows[source_col].eqNullSafe(F.col("_take_source"))
+    rows = rows.join(takes, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return rows.select(docs.columns)
 
 
 OP1_SQL = r"""

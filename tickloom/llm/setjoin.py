@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import remove_path, scratch_path, shuffle_width, table
+from tickloom.llm.common import WORD, remove_path, scratch_path, shuffle_width, table
 from tickloom.llm.components import components
 from tickloom.llm.registry import query
 from tickloom.session import cut_lineage
@@ -21,8 +21,8 @@ N_MINS, HOT = 4, 50_000
 #: Odd multipliers that make independent orders of the hashes.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
-PASS_ONE = "kind int, doc_id long, node long, n long, mins array<long>, slice int, data binary"
-ONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("mins", pa.list_(pa.int64())), ("slice", pa.int32()), ("data", pa.binary())])
+PASS_ONE = "kind int, doc_id long, text_hash long, node long, n long, mins array<long>, slice int, data binary"
+ONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("mins", pa.list_(pa.int64())), ("slice", pa.int32()), ("data", pa.binary())])
 POSTING = np.dtype([("hash", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -110,10 +110,10 @@ def _describe(words: int):
         counters, any_row = np.zeros(1 << COUNTER_BITS, np.int32), False
         for b in batches:
             out, pending = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for text in b.column(2):
                 s = shingles(text.as_py(), words)
                 mins = [(s * m).min() for m in MIXERS] if len(s) else [np.uint64(0)] * N_MINS
-                out.append((doc, node_of(s), len(s), np.array(mins, np.uint64).view(np.int64)))
+                out.append((node_of(s), len(s), np.array(mins, np.uint64).view(np.int64)))
                 pending.append(s)
                 if len(pending) >= 500:
                     counters += np.bincount(np.concatenate(pending) >> np.uint64(64 - COUNTER_BITS), minlength=1 << COUNTER_BITS).astype(np.int32)
@@ -122,12 +122,12 @@ def _describe(words: int):
                 counters += np.bincount(np.concatenate(pending) >> np.uint64(64 - COUNTER_BITS), minlength=1 << COUNTER_BITS).astype(np.int32)
             if out:
                 any_row, k = True, len(out)
-                doc, node, n, mins = zip(*out)
-                yield pa.record_batch([pa.array([0] * k, pa.int32()), pa.array(doc, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
+                node, n, mins = zip(*out)
+                yield pa.record_batch([pa.array([0] * k, pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
                                        pa.array([m.tolist() for m in mins], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=ONE_SCHEMA)
         if any_row:
             for k, part in enumerate(counters.reshape(SLICES, -1)):
-                yield pa.record_batch([[1], [None], [None], [None], [None], [k], [part.astype(np.int64).tobytes()]], schema=ONE_SCHEMA)
+                yield pa.record_batch([[1], [None], [None], [None], [None], [None], [k], [part.astype(np.int64).tobytes()]], schema=ONE_SCHEMA)
 
     return run
 
@@ -258,19 +258,20 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     overlap: it plus what either member has beyond its leader bounds theirs, and only pairs that the
     bound lets through are compared. No link between different sets is lost, and no group is paired out.
 
-    Returns doc_id, n_shingles, set_id (equal sets share it) and component_id, the smallest document id
-    that links reach. Null, empty and wordless texts: no shingles, set_id null, component_id the own id.
+    Returns doc_id, text_hash, n_shingles, set_id (equal sets share it), group_id (linked sets share it) and
+    component_id, the smallest document id that links reach. Null, empty and wordless texts: no shingles,
+    set_id and group_id null, component_id the own id.
     Null ids: their links count, they name no component unless nothing else does (then null). Repeated
     rows are equal sets. Empty table: no rows. Other columns are not read. Hashes have 64 bits.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "shingle-sets")
-    docs.mapInArrow(_describe(words), PASS_ONE).write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(words), PASS_ONE).write.option("compression", "zstd").parquet(path)
     seen = spark.read.parquet(path)
-    described = seen.filter("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n", "mins")
+    described = seen.filter("kind = 0").select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n", "mins")
     nodes = cut_lineage(described.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins")))
-    result = cut_lineage(described.select("doc_id", "node", "n"))
+    result = cut_lineage(described.select("doc_id", "text_hash", "node", "n"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     counters = _merged(seen.filter("kind = 1"), np.add, np.int64) if total else np.zeros(0, np.int64)
     remove_path(spark, path)
@@ -278,14 +279,31 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     edges = _edges(docs, nodes, counters, total, words, percent)
     labels = components(edges) if edges is not None else None
     if labels is None:
-        groups = nodes.select("node", F.col("least").alias("component"))
+        groups = nodes.select("node", F.col("node").alias("label"), F.col("least").alias("component"))
     else:
         named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = cut_lineage(named)
-        groups = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
+        groups = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "label", "component")
     out = result.join(groups, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("set_id"), own.alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("node").alias("set_id"), F.col("label").alias("group_id"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the document with the smallest id stays, once.
+
+    Null ids come after all others. Documents without words are in no group and all stay. All columns
+    are returned.
+    """
+    found = jaccard_join(docs, **options).filter("group_id IS NOT NULL")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash"))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    has_word = F.coalesce(F.regexp_like(F.col(text_col), F.lit(WORD)), F.lit(False))
+    mark = "_hash_of_text"
+    rows = docs.filter(has_word).withColumn(mark, F.xxhash64(text_col))
+    rows = rows.join(first, rows[id_col].eqNullSafe(F.col("_keep_id")) & (rows[mark] == F.col("_keep_hash")), "left_semi")
+    return rows.dropDuplicates([id_col, mark]).drop(mark).unionByName(docs.filter(~has_word))
 
 
 def _edges(docs: DataFrame, nodes: DataFrame, counters: np.ndarray, total: int, words: int, percent: int) -> DataFrame | None:
