@@ -45,7 +45,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     full = line[:n] != 0
     for order in ORDERS:
         m = n - order + 1
-        ok = full[:m].copy() if order == 1 else (full[:m] | full[order - 1:order - 1 + m])
+        ok = full[:m].copy() if order == 1 else full[:m] | full[1:1 + m] if order == 2 else np.ones(m, bool)
         for k in range(1, order - 1):
             ok &= full[k:k + m]
         at = np.flatnonzero(ok)
