@@ -49,10 +49,22 @@ def test_increment_equals_full_build(spark, tmp_path):
     b = spark.createDataFrame([("X", d, float(i)) for i, d in enumerate(D)], "symbol string, date date, close double")
     feat = lambda x: x.withColumn("m", F.avg("close").over(__import__("tickloom.operators.frames", fromlist=["Series"]).Series().back(5)))
     store = str(tmp_path / "s")
-    for hi in (20, 20, 45, 60):
-        jobs.build_increment(b.where(F.col("date") < F.lit(D[0] + dt.timedelta(days=hi))), store, feat, warmup=30)
-    got = spark.read.parquet(f"{store}/features")
-    assert got.count() == 60 and got.exceptAll(feat(b)).count() == 0
+    upto = lambda hi: b.where(F.col("date") < F.lit(D[0] + dt.timedelta(days=hi)))
+    calls = []
+
+    def breaks(x):
+        calls.append(1)
+        raise OSError("lost in the middle")
+
+    for epoch, hi in enumerate((20, 20, 45, 60)):
+        if epoch == 2:  # a batch that fails half-way leaves nothing behind and is replayed
+            with pytest.raises(OSError):
+                jobs.build_increment(upto(hi), store, breaks, warmup=30, epoch=epoch)
+            assert jobs.published_epochs(spark, store) == [0, 1]
+        jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)
+        jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)  # a replay replaces itself
+    got = jobs.read_store(spark, store, "features", jobs.published_epochs(spark, store)).drop("epoch")
+    assert calls and got.count() == 60 and got.exceptAll(feat(b)).count() == 0
     assert mx.is_up_to_date(b, got)
 
 
@@ -139,14 +151,15 @@ def test_ols_adf_and_f_tail(spark):
 
 def test_garch_path_follows_recursion(spark):
     rng = np.random.default_rng(4)
-    r = rng.normal(0, 0.01, 60)
-    df = spark.createDataFrame([("X", D[i], float(v)) for i, v in enumerate(r)], "symbol string, date date, log_return double")
-    par = spark.createDataFrame([("X", "garch_1_1", 1e-6, 0.1, 0.85)], "symbol string, spec string, omega double, alpha double, beta double")
+    r = rng.normal(0, 0.01, 1500)
+    day = lambda i: dt.date(2015, 1, 1) + dt.timedelta(days=i)
+    df = spark.createDataFrame([("X", day(i), float(v)) for i, v in enumerate(r)], "symbol string, date date, log_return double")
+    par = spark.createDataFrame([("X", "garch_1_1", 1e-6, 0.002, 0.997)], "symbol string, spec string, omega double, alpha double, beta double")
     got = [x["sigma2"] for x in ec.garch_path(df, par).orderBy("date").collect()]
     e2, v = (r - r.mean()) ** 2, np.var(r)
-    for i in range(60):
+    for i in range(1500):
         assert math.isclose(got[i], v, rel_tol=1e-9)
-        v = 1e-6 + 0.1 * e2[i] + 0.85 * v
+        v = 1e-6 + 0.002 * e2[i] + 0.997 * v
 
 
 def test_folds_do_not_leak(spark):
@@ -172,6 +185,17 @@ def test_oversampling_balances(spark):
     assert got[0] == got[1] == 88
 
 
+def test_oversampling_is_one_method_at_any_size(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2100, 2))
+    x[:700] = 1.0  # a third of the minority is one point
+    df = spark.createDataFrame(pd.DataFrame({"a": np.r_[x[:, 0], rng.normal(size=9000)], "b": np.r_[x[:, 1], rng.normal(size=9000)], "y": [1] * 2100 + [0] * 9000}))
+    made = ml.oversample(df, "y", ["a", "b"], bucket=256).where("y = 1").toPandas()
+    assert len(made) == 9000 and made["a"].between(x[:, 0].min(), x[:, 0].max()).all()
+    lone = spark.createDataFrame([(1.0, 2.0, 1)] + [(0.0, 0.0, 0)] * 4, "a double, b double, y int")
+    assert [tuple(r) for r in ml.oversample(lone, "y", ["a", "b"]).where("y = 1").collect()] == [(1.0, 2.0, 1)] * 4
+
+
 def test_prediction_upsert_versions(spark, tmp_path):
     sch = "symbol string, date date, pred_1d double, made_at int"
     jobs.upsert_predictions(spark.createDataFrame([("X", D[0], .1, 1), ("X", D[1], .2, 1)], sch), str(tmp_path), 0)

@@ -232,18 +232,26 @@ def fit_volatility(returns: DataFrame, specs: Sequence[tuple[str, int, bool]], s
 SPECS = (("arch_1", 1, False), ("arch_2", 2, False), ("arch_5", 5, False), ("garch_1_1", 1, True))
 
 
-def garch_path(returns: DataFrame, params: DataFrame, s: Series = Series()) -> DataFrame:
-    """Conditional variance of fitted GARCH(1,1): an exponential mean of shocks, as windows.
+def garch_path(returns: DataFrame, params: DataFrame, s: Series = Series(), block: int = 64) -> DataFrame:
+    """Conditional variance of fitted GARCH(1,1), exact over the whole series.
 
-    v_t = omega + alpha e_{t-1}^2 + beta v_{t-1} unrolls to a sum over at most K past shocks.
+    v_t = omega + alpha e_{t-1}^2 + beta v_{t-1} is linear in v, so a block of rows is one pair
+    (beta ** rows, sum of its shocks): blocks fold into the value that enters each block, and a row
+    folds the at most ``block`` shocks before it. No row holds more than a block of the series.
     """
     j = returns.where("log_return is not null").join(params.where("spec = 'garch_1_1'").select(*s.keys, "omega", "alpha", "beta"), list(s.keys))
     m = j.groupBy(*s.keys).agg(F.avg("log_return").alias("_mu"), F.var_pop("log_return").alias("_v0"))
-    j = j.join(m, list(s.keys)).withColumns({"_e2": F.pow(F.col("log_return") - F.col("_mu"), 2), "_rn": F.row_number().over(s.spec()) - 1})
-    past = F.collect_list("_e2").over(s.rows(-600, -1))
-    fold = F.aggregate(past, F.when(F.col("_rn") > 600, F.col("_v0")).otherwise(F.col("_v0")),
-                       lambda acc, e: F.col("omega") + F.col("alpha") * e + F.col("beta") * acc)
-    return j.withColumn("sigma2", fold).drop("_mu", "_v0", "_e2", "_rn")
+    j = j.join(m, list(s.keys)).withColumn("_rn", F.row_number().over(s.spec()) - 1)
+    j = j.withColumns({"_x": F.col("omega") + F.col("alpha") * F.pow(F.col("log_return") - F.col("_mu"), 2), "_blk": F.floor(F.col("_rn") / block)})
+    step = lambda acc, x: F.col("beta") * acc + x
+    whole = j.groupBy(*s.keys, "_blk").agg(F.max("beta").alias("beta"), F.max("_v0").alias("_v0"), F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_x"))), lambda r: r["_x"]).alias("_xs"))
+    whole = whole.select(*s.keys, "_blk", "beta", "_v0", F.struct(F.pow("beta", F.size("_xs")).alias("keep"), F.aggregate("_xs", F.lit(0.0), step).alias("add")).alias("_pair"))
+    before = Window.partitionBy(*s.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    enter = F.aggregate(F.collect_list("_pair").over(before), F.col("_v0"), lambda acc, p: acc * p["keep"] + p["add"])
+    whole = whole.select(*s.keys, "_blk", enter.alias("_enter"))
+    inside = Window.partitionBy(*s.keys, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    j = j.join(whole, [*s.keys, "_blk"]).withColumn("_past", F.collect_list("_x").over(inside))
+    return j.withColumn("sigma2", F.aggregate("_past", F.col("_enter"), step)).drop("_mu", "_v0", "_rn", "_x", "_blk", "_enter", "_past")
 
 
 # ---- autoregressions ------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.numeric import finite, safe_div
-from tickloom.operators.frames import Series, average_rank
+from tickloom.operators.frames import Series, average_rank, number_rows
 from tickloom.operators.sets import top_per_group
 from tickloom.session import cut_lineage
 
@@ -119,43 +119,44 @@ def class_weights(train: DataFrame, label: str, keys: Sequence[str] = ()) -> Dat
     return j.select(*keys, label, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def oversample(df: DataFrame, label: str, features: Sequence[str], k: int = 5, seed: int = 42, buckets: int = 64) -> DataFrame:
+def oversample(df: DataFrame, label: str, features: Sequence[str], k: int = 5, seed: int = 42, bucket: int = 512) -> DataFrame:
     """Minority rows interpolated towards one of their k nearest minority rows until classes balance.
 
-    Neighbours are looked for inside projection buckets, so no task pairs all minority rows; each
-    bucket works on its own rows and overlaps nothing else. Expects a binary 0/1 label.
+    Neighbours are looked for among rows next to each other along one projection: rows are numbered in
+    its order and cut into runs of ``bucket`` to 2 x ``bucket`` rows (all rows if there are fewer), so
+    every run has the same bound at any size, ties included. The number of new rows is exact: row i of
+    n makes floor((i + 1) need / n) - floor(i need / n) of them. A lone minority row is repeated.
+    Expects a binary 0/1 label.
     """
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     counts = {int(r[label]): r["n"] for r in n.collect() if r[label] is not None}
     minor = min(counts, key=counts.get)
-    need = max(counts.values()) - counts[minor]
-    per = need / max(counts[minor], 1)
-    x = df.where(F.col(label) == minor).select(*features, F.monotonically_increasing_id().alias("_id"))
+    rows, need = counts[minor], max(counts.values()) - counts[minor]
     proj = sum((F.coalesce(F.col(f), F.lit(0.0)) * (1.0 if i % 2 else -1.0) for i, f in enumerate(features)), F.lit(0.0))
-    size = max(buckets, counts[minor] // 512)
-    x = x.withColumn("_p", proj)
-    if counts[minor] > 2048:
-        cuts = x.agg(F.percentile_approx("_p", [i / size for i in range(1, size)], 10000)).first()[0]
-        edges = F.array(*[F.lit(float(c)) for c in cuts])
-        x = x.withColumn("_b", F.size(F.filter(edges, lambda v: v < F.col("_p"))))
-    else:
-        x = x.withColumn("_b", F.lit(0))
+    x = df.where(F.col(label) == minor).select(*features, proj.alias("_p"), F.lit(0).alias("_all"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64)).alias("_tied"))
+    parts = max(1, rows // bucket)
+    cuts = x.agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
+    # a range of equal projections may be large, so each is counted in 64 parts
+    where = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("_p"))) * 64 + F.col("_tied")
+    x = number_rows(x, ["_all"], ["_p", *features], where)
+    share = lambda i: F.floor(i * F.lit(need) / F.lit(rows))
+    x = x.withColumns({"_b": F.least(F.floor(F.col("_pos") / max(bucket, 1)), F.lit(parts - 1)), "_new": (share(F.col("_pos") + 1) - share(F.col("_pos"))).cast("int")})
     schema = ", ".join(f"{f} double" for f in features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", ignore_index=True)
         m = pdf[list(features)].fillna(0.0).to_numpy(float)
-        rng = np.random.default_rng(seed + int(pdf["_b"].iloc[0]))
-        if len(m) < 2:
-            return pd.DataFrame(columns=list(features))
-        total = int(round(per * len(m)))
-        pick = np.arange(total) % len(m)
-        out = np.empty((total, m.shape[1]))
-        for i in range(0, total, 1024):
+        rng = np.random.default_rng([seed, int(pdf["_b"].iloc[0])])
+        pick = np.repeat(np.arange(len(m)), pdf["_new"])
+        out = np.empty((len(pick), m.shape[1]))
+        near = min(k, len(m) - 1)
+        for i in range(0, len(pick), 1024):
             rows = pick[i:i + 1024]
-            d = ((m[rows, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-            d[np.arange(len(rows)), rows] = np.inf
-            near = np.argpartition(d, min(k, len(m) - 1) - 1, axis=1)[:, :min(k, len(m) - 1)]
-            mate = near[np.arange(len(rows)), rng.integers(0, near.shape[1], len(rows))]
+            mate = rows
+            if near:
+                d = ((m[rows, None, :] - m[None, :, :]) ** 2).sum(axis=2)
+                d[np.arange(len(rows)), rows] = np.inf
+                mate = np.argpartition(d, near - 1, axis=1)[np.arange(len(rows)), rng.integers(0, near, len(rows))]
             out[i:i + 1024] = m[rows] + rng.random((len(rows), 1)) * (m[mate] - m[rows])
         return pd.DataFrame(out, columns=list(features))
 
@@ -323,55 +324,6 @@ def regimes(df: DataFrame, features: Sequence[str], k: int, vol: str, train: Col
     return relabel(out, "cluster_kmeans", vol)
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], order: Sequence[str], trees: int = 100, sample: int = 256, pool: int = 4096, seed: int = 42) -> DataFrame:
-    """Isolation-forest score per row: small random trees from a bounded sample, scored in batches.
-
-    The sample is the algorithm's own: up to ``pool`` rows by hash order feed all trees.
-    """
-    take = df.select(*features, F.xxhash64(*order).alias("_h")).dropna().orderBy("_h").limit(pool).toPandas()[list(features)].to_numpy(float)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(take))
-    depth = int(np.ceil(np.log2(max(size, 2))))
-    h = lambda n: 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
-
-    def grow(x, d):
-        if d >= depth or len(x) <= 1:
-            return (d + h(len(x)),)
-        j = int(rng.integers(x.shape[1]))
-        lo, hi = x[:, j].min(), x[:, j].max()
-        if lo == hi:
-            return (d + h(len(x)),)
-        c = rng.uniform(lo, hi)
-        return (j, c, grow(x[x[:, j] < c], d + 1), grow(x[x[:, j] >= c], d + 1))
-
-    forest = [grow(take[rng.choice(len(take), size, replace=False)], 0) for _ in range(trees)]
-    norm, names = h(size), list(features)
-
-    def walk(node, x, idx, out):
-        if len(node) == 1:
-            out[idx] += node[0]
-            return
-        left = x[idx, node[0]] < node[1]
-        walk(node[2], x, idx[left], out)
-        walk(node[3], x, idx[~left], out)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([np.nan_to_num(c.to_numpy(float)) for c in cols])
-        out = np.zeros(len(x))
-        for tree in forest:
-            walk(tree, x, np.arange(len(x)), out)
-        return pd.Series(2.0 ** (-(out / len(forest)) / norm))
-
-    return df.withColumn("anomaly_score", score(*names))
-
-
-def anomaly_flags(scored: DataFrame, train: Column, share: float = 0.05) -> DataFrame:
-    """Flag the most isolated rows; the cut is the training quantile of the score."""
-    cut = scored.where(train).agg(F.percentile_approx("anomaly_score", 1 - share, 10000)).first()[0]
-    return scored.withColumn("anomaly_iso", (F.col("anomaly_score") > F.lit(cut)).cast("int"))
-
-
 # ---- gate, registry, drift ------------------------------------------------------------------
 
 def promotion_gate(df: DataFrame, new: str, existing: str, baseline: str, task: str) -> DataFrame:
@@ -401,13 +353,20 @@ def rollback(state: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("state") == "previous", "active").otherwise("rolled_back")).drop("_has")
 
 
-def feature_drift(latest: DataFrame, stats: DataFrame, keys: Sequence[str] = ("symbol",), z_limit: float = 3.0, cap: int = 25) -> DataFrame:
-    """Latest (feature, value) against training mean, std, p05, p95: flags ranked, report cap of 25."""
+def feature_drift(latest: DataFrame, stats: DataFrame, keys: Sequence[str] = ("symbol",), z_limit: float = 3.0, cap: int | None = None) -> DataFrame:
+    """Latest (feature, value) against training mean, std, p05, p95: one row per flagged feature, by name.
+
+    Each row also tells how many features were checked and flagged for its key; keys without a flag give
+    one row with null feature and status ok. ``cap`` shortens the list of a report, not the counts.
+    """
     j = latest.where("value is not null").join(stats, [*keys, "feature"])
     z = (F.col("value") - F.col("mean")) / F.greatest(F.col("std"), F.lit(1e-9))
     out = (F.col("value") < F.col("p05")) | (F.col("value") > F.col("p95"))
-    j = j.withColumns({"z_score": F.bround(z, 2), "_z": z, "in_p5_p95": ~out}).where((F.abs("_z") > z_limit) | ~F.col("in_p5_p95"))
-    return top_per_group(j, list(keys), [F.col("feature")], cap).drop("_z")
+    j = j.withColumns({"z_score": F.bround(z, 2), "in_p5_p95": ~out, "_flag": (F.abs(z) > z_limit) | out})
+    total = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_features_checked"), F.count_if("_flag").alias("n_drift_flags"))
+    total = total.withColumn("overall_status", F.when(F.col("n_drift_flags") == 0, "ok").otherwise("warning"))
+    flags = j.where("_flag").drop("_flag")
+    return total.join(flags if cap is None else top_per_group(flags, list(keys), [F.col("feature")], cap), list(keys), "left")
 
 
 def model_drift(log: DataFrame, registered: DataFrame, window: int = 20, need: int = 10, drop: float = 0.10) -> DataFrame:

@@ -13,7 +13,8 @@ from tickloom.operators.sets import keep_one, top_per_group
 
 
 def dedupe_headlines(articles: DataFrame, keys: Sequence[str] = ("date", "headline"), order: Sequence[str] = ("article_id",)) -> DataFrame:
-    return keep_one(articles, list(keys), list(order))
+    """First article per key; a headline takes part by its digest, so whole texts are not shuffled as keys."""
+    return keep_one(articles, [F.sha2("headline", 256) if k == "headline" else k for k in keys], list(order))
 
 
 def dedupe_prefix(articles: DataFrame, order: Sequence[str] = ("article_id",)) -> DataFrame:

@@ -80,7 +80,7 @@ def stream_news_feed(spark, d):
     sym = F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, "N").otherwise("R")
     at = F.date_format(F.expr("date_add(date'2024-01-01', cast(doc_id % 20 as int))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.when(F.col("doc_id") % 5 == 0, "subscription").otherwise("n")
-    body = F.to_json(F.struct(kind.alias("T"), F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("headline"), at.alias("created_at"), F.array(sym, F.lit("Z")).alias("symbols")))
+    body = F.to_json(F.struct(kind.alias("T"), F.col("doc_id").alias("id"), F.col("text").alias("headline"), at.alias("created_at"), F.array(sym, F.lit("Z")).alias("symbols")))
     twice = s.select(F.explode(F.array(body, body)).alias("body"))
     watch = t.table(spark, d, "region").select(F.element_at(F.array(F.lit("A"), F.lit("N")), (F.col("r_regionkey") % 2 + 1).cast("int")).alias("symbol")).distinct()
     return jobs.drain(jobs.news_feed(twice, watch), "append").select("article_id", "symbol")

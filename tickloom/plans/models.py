@@ -148,14 +148,6 @@ def market_regimes(spark, d):
     return r.groupBy("cluster_kmeans").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in FEATS[:4]], F.round(F.avg("gmm_prob_regime_0"), 4).alias("gmm_p0")).orderBy("cluster_kmeans")
 
 
-@query("anomaly_rows", "M22")
-def anomaly_rows(spark, d):
-    x = ml.number(learn_table(spark, d))
-    tr = F.col("rn") < F.col("n_rows") * 0.8
-    a = ml.anomaly_flags(ml.isolation_scores(x, FEATS, ["symbol", "date"]), tr)
-    return a.groupBy("symbol").agg(F.sum("anomaly_iso").alias("anomalies"), F.count(F.lit(1)).alias("n"), F.round(F.max("anomaly_score"), 4).alias("max_score"))
-
-
 _MIX = {"ridge": 0.2, "gbt_a": 0.4, "gbt_b": 0.4}
 _STRESS = {"ridge": 0.4, "gbt_a": 0.3, "gbt_b": 0.3}
 
@@ -197,16 +189,25 @@ def registry_state(spark, d):
     return ml.rollback(s, ["target"]).select("target", "version", "state")
 
 
-@query("feature_drift", "M27", f"""WITH {TARGET_SQL}, l AS ({' UNION ALL '.join(f"SELECT symbol, date, '{c}' AS feature, {c} AS value FROM targets" for c in ('log_return', 'realized_vol_20d', 'volume', 'close', 'high'))}),
+_DRIFT = ["log_return", "realized_vol_20d", "volume", "close", "high"]
+
+
+@query("feature_drift", "M27", f"""WITH {TARGET_SQL}, l AS ({' UNION ALL '.join(f"SELECT symbol, date, '{c}' AS feature, {c} AS value FROM targets" for c in _DRIFT)}),
+e AS (SELECT symbol, max(date) AS newest FROM targets GROUP BY 1),
 s AS (SELECT symbol, feature, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.95) AS p95 FROM l WHERE date < DATE '2000-01-01' GROUP BY ALL),
-n AS (SELECT symbol, feature, value FROM l WHERE month(date) = 12 AND day(date) = 15 AND year(date) = 2000 AND value IS NOT NULL)
-SELECT symbol, feature, round((value - mean) / greatest(std, 1e-9), 2) + 0.0 AS z_score, NOT (value < p05 OR value > p95) AS in_p5_p95 FROM n JOIN s USING (symbol, feature) WHERE abs((value - mean) / greatest(std, 1e-9)) > 3 OR value < p05 OR value > p95""")
+n AS (SELECT l.symbol, l.feature, l.value FROM l JOIN e ON l.symbol = e.symbol AND l.date = e.newest WHERE l.value IS NOT NULL),
+f AS (SELECT symbol, feature, round((value - mean) / greatest(std, 1e-9), 2) + 0.0 AS z_score, NOT (value < p05 OR value > p95) AS in_p5_p95,
+  abs((value - mean) / greatest(std, 1e-9)) > 3 OR value < p05 OR value > p95 AS flag FROM n JOIN s USING (symbol, feature)),
+c AS (SELECT symbol, count(*) AS n_features_checked, count(CASE WHEN flag THEN 1 END) AS n_drift_flags FROM f GROUP BY 1)
+SELECT c.symbol, n_features_checked, n_drift_flags, CASE WHEN n_drift_flags = 0 THEN 'ok' ELSE 'warning' END AS overall_status, feature, z_score, in_p5_p95
+FROM c LEFT JOIN (SELECT * FROM f WHERE flag) g USING (symbol)""")
 def feature_drift(spark, d):
-    cols = ["log_return", "realized_vol_20d", "volume", "close", "high"]
+    """Newest row of each symbol against its rows before 2000."""
     x = labelled(spark, d)
-    stats = st.train_stats(x.where("date < date'2000-01-01'"), cols)
-    latest = st.long_form(x.where("date = date'2000-12-15'"), ["symbol"], cols)
-    return ml.feature_drift(latest, stats).select("symbol", "feature", "z_score", "in_p5_p95")
+    stats = st.train_stats(x.where("date < date'2000-01-01'"), _DRIFT)
+    newest = x.groupBy("symbol").agg(F.max("date").alias("date"))
+    latest = st.long_form(x.join(newest, ["symbol", "date"], "left_semi"), ["symbol"], _DRIFT)
+    return ml.feature_drift(latest, stats).select("symbol", "n_features_checked", "n_drift_flags", "overall_status", "feature", "z_score", "in_p5_p95")
 
 
 def prediction_log(spark, d):

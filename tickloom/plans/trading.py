@@ -40,9 +40,9 @@ def volatility_signals(spark, d):
 
 @query("tradeable_signals", "P11 O4", f"""WITH {SIGNAL_SQL} SELECT {sql_rounded(CK + ['signal_type'], ['net_edge_bps'], 4)} FROM sig
 WHERE net_edge_bps >= 50 AND liquidity_ok AND spread_ok AND strike_ok AND signal_type <> 'no_trade'
-ORDER BY net_edge_bps DESC, symbol, days_to_expiry, strike, option_type LIMIT 200""")
+ORDER BY net_edge_bps DESC, symbol, days_to_expiry, strike, option_type""")
 def tradeable_signals(spark, d):
-    s = sg.tradeable(signals(spark, d)).orderBy(F.desc("net_edge_bps"), *CK).limit(200)
+    s = sg.tradeable(signals(spark, d)).orderBy(F.desc("net_edge_bps"), *CK)
     return rounded(s, CK + ["signal_type"], ["net_edge_bps"], 4)
 
 
@@ -110,10 +110,27 @@ def candidate_priority(spark, d):
     return pf.prioritise(cands(spark, d)).select("symbol", "intent_id", F.col("priority").cast("long").alias("priority"))
 
 
-@query("sized_positions", "Q13")
+SIZED_SQL = f"""WITH RECURSIVE {CAND_SQL}, ord AS (SELECT *, greatest(mid, 0.01e0) * 100 AS cash, CAST(round_even(maturity_days, 0) AS BIGINT) AS days, CAST(round_even(strike, 0) AS BIGINT) AS unit,
+  CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sg, row_number() OVER (PARTITION BY symbol ORDER BY
+  greatest(expected_net_edge_bps, 0) * greatest(confidence, 0.01e0) / greatest(abs(vega), 1e-9) DESC, intent_id) AS priority FROM cands),
+walk AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS priority, CAST(0 AS BIGINT) AS contracts, 0.0e0 AS used, 0.0e0 AS total, CAST([] AS STRUCT(d BIGINT, u BIGINT, s DOUBLE)[]) AS held FROM ord
+  UNION ALL SELECT symbol, priority, contracts, used + contracts * cash, total + sg * vega * contracts,
+    CASE WHEN contracts > 0 THEN list_append(held, {{'d': days, 'u': unit, 's': contracts * cash}}) ELSE held END
+  FROM (SELECT o.symbol, o.priority, o.cash, o.sg, o.vega, o.days, o.unit, w.used, w.total, w.held,
+    CAST(greatest(0, least(floor(greatest(8000 - abs(w.total), 0) / greatest(abs(o.vega), 1e-9)), floor((250000 * 0.35e0 - w.used) / o.cash), 50,
+      floor(greatest(least(250000 * 0.20e0 - w.used, 250000 * 0.15e0 - coalesce(list_sum(list_transform(list_filter(w.held, lambda x: x.d = o.days), lambda x: x.s)), 0),
+        250000 * 0.10e0 - coalesce(list_sum(list_transform(list_filter(w.held, lambda x: x.u = o.unit), lambda x: x.s)), 0)), 0) / o.cash))) AS BIGINT) AS contracts
+    FROM walk w JOIN ord o ON o.symbol = w.symbol AND o.priority = w.priority + 1) step),
+sized AS (SELECT o.intent_id, o.symbol, o.option_type, o.side, o.strike, CAST(w.contracts AS INTEGER) AS contracts, w.contracts * o.cash AS premium_notional, o.sg * o.delta * w.contracts AS delta,
+  o.sg * o.gamma * w.contracts AS gamma, o.sg * o.vega * w.contracts AS vega, o.sg * o.theta * w.contracts AS theta, o.stress_loss_per_contract * w.contracts AS stress_loss
+  FROM walk w JOIN ord o USING (symbol, priority) WHERE w.contracts > 0)"""
+_SIZED = ["premium_notional", "delta", "gamma", "vega", "theta", "stress_loss"]
+
+
+@query("sized_positions", "Q13", f"{SIZED_SQL} SELECT {sql_rounded(['intent_id', 'symbol', 'option_type', 'side', 'strike', 'contracts'], _SIZED, 4)} FROM sized")
 def sized_positions(spark, d):
     s = pf.size_positions(cands(spark, d))
-    return rounded(s, ["intent_id", "symbol", "option_type", "side", "strike", "contracts"], ["premium_notional", "delta", "gamma", "vega", "theta", "stress_loss"], 4)
+    return rounded(s, ["intent_id", "symbol", "option_type", "side", "strike", "contracts"], _SIZED, 4)
 
 
 @query("intent_market_join", "J18", f"""WITH {INTENT_SQL} SELECT i.intent_id, i.symbol, c.bid, coalesce(c.ask, 0.01) AS ask, coalesce(c.volume, 0) AS volume
@@ -365,12 +382,17 @@ def exposure_limits(spark, d):
 
 @query("order_limit_checks", "R5", f"""WITH {FILLS_SQL}, o AS (SELECT 'S' || CAST(o_custkey % 50 AS VARCHAR) AS symbol, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
   1.0e0 + o_orderkey % 40 AS quantity, o_totalprice / 20 AS price FROM orders),
-j AS (SELECT o.*, quantity * price AS order_value, abs((coalesce((SELECT CAST(vw.quantity AS DOUBLE) FROM vw WHERE vw.symbol = o.symbol), 0) + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) * price) AS aft FROM o)
-SELECT o_orderkey, round(order_value, 4) AS order_value, CASE WHEN order_value > 400000 THEN 'order value limit' WHEN aft > 3000000 THEN 'position limit' WHEN 4800000 + order_value > 5000000 THEN 'exposure limit' ELSE 'approved' END AS reason FROM j""")
+ex AS (SELECT CAST(substr(symbol, 2) AS BIGINT) % 7 AS book, sum(abs(CAST(quantity AS DOUBLE) * avg_price)) AS exposure FROM vw GROUP BY 1),
+j AS (SELECT o.*, coalesce((SELECT exposure FROM ex WHERE ex.book = CAST(substr(o.symbol, 2) AS BIGINT) % 7), 0) AS exposure, quantity * price AS order_value, abs((coalesce((SELECT CAST(vw.quantity AS DOUBLE) FROM vw WHERE vw.symbol = o.symbol), 0) + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) * price) AS aft FROM o)
+SELECT o_orderkey, round(order_value, 4) AS order_value, CASE WHEN order_value > 400000 THEN 'order value limit' WHEN aft > 3000000 THEN 'position limit' WHEN exposure + order_value > 5000000 THEN 'exposure limit' ELSE 'approved' END AS reason FROM j""")
 def order_limit_checks(spark, d):
     o = t.table(spark, d, "orders").select(
         F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         (F.lit(1.0) + F.col("o_orderkey") % 40).alias("quantity"), (F.col("o_totalprice") / 20).alias("price"))
-    p = pf.position_vwap(t.fills(spark, d)).withColumn("quantity", F.col("quantity").cast("double"))
-    c = pf.check_orders(o, p, F.lit(4800000.0), 400000.0, 3000000.0, 5000000.0)
+    """Each order against its value, the position after it and the exposure of its book's positions."""
+    p = pf.position_vwap(t.fills(spark, d)).withColumns({"quantity": F.col("quantity").cast("double"), "avg_price": F.col("avg_price").cast("double")})
+    book = F.substring("symbol", 2, 20).cast("long") % 7
+    held = p.groupBy(book.alias("book")).agg(F.sum(F.abs(F.col("quantity") * F.col("avg_price"))).alias("exposure"))
+    o = o.withColumn("book", book).join(held, "book", "left")
+    c = pf.check_orders(o, p, F.coalesce("exposure", F.lit(0.0)), 400000.0, 3000000.0, 5000000.0)
     return c.select("o_orderkey", F.round("order_value", 4).alias("order_value"), "reason")

@@ -28,7 +28,7 @@ BENCH = """bench AS (
   FROM orders GROUP BY 1)"""
 
 NEWS = """news AS (
-  SELECT d.doc_id AS article_id, d.source AS provider, d.lang, substr(d.text, 1, 80) AS headline, d.text,
+  SELECT d.doc_id AS article_id, d.source AS provider, d.lang, d.text AS headline, d.text,
     CAST(DATE '1995-01-02' + CAST(d.doc_id % 2499 AS INTEGER) AS DATE) AS date,
     CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS symbol,
     CAST(l.quality - l.toxic AS DOUBLE) AS score, CAST(d.n_chars AS DOUBLE) AS weight

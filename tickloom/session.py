@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Intermediates of a local session that names no folder; a cluster sets spark.checkpoint.dir.
+LOCAL_SCRATCH = os.environ.get("TICKLOOM_SCRATCH", "/tmp/tickloom-scratch")
+
 
 def build_session(name: str = "tickloom", cores: str | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster passes its own session instead."""
@@ -23,6 +26,7 @@ def build_session(name: str = "tickloom", cores: str | None = None) -> SparkSess
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -37,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="tickloom-ckpt-")
+    return f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"  # one process: driver and tasks share its disk
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("score"))
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("article_id"), F.col("source").alias("provider"), "lang",
-        F.substring("text", 1, 80).alias("headline"), "text",
+        F.col("text").alias("headline"), "text",
         F.expr("date_add(date'1995-01-02', cast(pmod(doc_id, 2499) as int))").alias("date"),
         F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.expr("cast(pmod(doc_id, 3) as int) + 1")).alias("symbol"),
         "score", F.col("n_chars").cast("double").alias("weight"))

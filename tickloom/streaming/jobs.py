@@ -72,30 +72,41 @@ def tick_bars(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minute
         F.count(F.lit(1)).cast("double").alias("volume")).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def build_increment(batch_bars: DataFrame, store: str, features: Callable[[DataFrame], DataFrame], warmup: int = 400) -> None:
-    """foreachBatch body of the daily build: recompute from warm-up rows, append only newer rows.
+def published_epochs(spark: SparkSession, store: str) -> list[int]:
+    """Epochs of a store whose tables are complete, by the marker that is written last."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/published")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("epoch="))
 
-    ``store`` holds ``bars`` and ``features``; symbols with nothing newer are left alone.
+
+def read_store(spark: SparkSession, store: str, table: str, epochs: Sequence[int]) -> DataFrame:
+    return spark.read.parquet(*[f"{store}/{table}/epoch={e}" for e in epochs])
+
+
+def build_increment(batch_bars: DataFrame, store: str, features: Callable[[DataFrame], DataFrame], warmup: int = 400, epoch: int = 0) -> None:
+    """foreachBatch body of the daily build: recompute from warm-up rows, keep only newer rows.
+
+    ``store`` holds ``bars`` and ``features`` by epoch and a marker per epoch. Both tables of an epoch are
+    overwritten first and the marker comes last, so a batch that failed half-way is invisible and a
+    replayed batch replaces itself; earlier epochs are never touched. A read error ends the batch.
+    Symbols with nothing newer are left alone.
     """
     spark = batch_bars.sparkSession
-    bars_dir, feat_dir = f"{store}/bars", f"{store}/features"
-    try:
-        old, feats = spark.read.parquet(bars_dir), spark.read.parquet(feat_dir)
-    except Exception:  # first batch: nothing stored yet
-        old, feats = None, None
-    if old is None:
-        batch_bars.write.mode("overwrite").parquet(bars_dir)
-        features(batch_bars).write.mode("overwrite").parquet(feat_dir)
-        return
-    last = last_dates(feats)
-    new = newer_rows(batch_bars, last)
-    if new.limit(1).count() == 0:
-        return
-    touched = new.groupBy("symbol").agg(F.min("date").alias("_from"))
-    back = old.join(touched, "symbol").where(F.col("date") >= F.date_sub("_from", warmup)).drop("_from")
-    fresh = newer_rows(features(merge_increment(back, new, ["symbol", "date"])), last)
-    fresh.write.mode("append").parquet(feat_dir)
-    new.write.mode("append").parquet(bars_dir)
+    before = [e for e in published_epochs(spark, store) if e < epoch]
+    if before:
+        old, feats = (read_store(spark, store, t, before) for t in ("bars", "features"))
+        last = last_dates(feats)
+        new = newer_rows(batch_bars, last)
+        touched = new.groupBy("symbol").agg(F.min("date").alias("_from"))
+        back = old.join(touched, "symbol").where(F.col("date") >= F.date_sub("_from", warmup)).drop("_from")
+        fresh = newer_rows(features(merge_increment(back, new, ["symbol", "date"])), last)
+    else:
+        new, fresh = batch_bars, features(batch_bars)
+    new.write.mode("overwrite").parquet(f"{store}/bars/epoch={epoch}")
+    fresh.write.mode("overwrite").parquet(f"{store}/features/epoch={epoch}")
+    spark.range(1).write.mode("overwrite").parquet(f"{store}/published/epoch={epoch}")
 
 
 # ---- positions and limits -------------------------------------------------------------------
