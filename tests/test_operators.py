@@ -208,3 +208,23 @@ def test_legs_and_fill_reasons(spark):
     tg = spark.createDataFrame([(i, "X", "buy", 5) for i in "abcdz"], "intent_id string, symbol string, side string, contracts int")
     got = {r["intent_id"]: r["reason"] for r in pf.simulate_fills(tg, c).collect()}
     assert got == {"a": "filled", "b": "min_open_interest_fail", "c": "max_participation_fail", "d": "bad_quote", "z": "missing_candidate"}
+
+
+def test_var_orders_equal_least_squares(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 2))
+    d = pd.DataFrame(x, columns=["a", "b"]).assign(date=[dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(200)])
+    got = ec.var_orders(spark.createDataFrame(d), ["a", "b"], 3).orderBy("p").collect()
+    for p, r in enumerate(got, 1):
+        z = np.column_stack([np.ones(197)] + [x[3 - k:200 - k] for k in range(1, p + 1)])
+        e = x[3:] - z @ np.linalg.lstsq(z, x[3:], rcond=None)[0]
+        assert r["p"] == p and r["n"] == 197 and math.isclose(r["aic"], np.linalg.slogdet(e.T @ e / 197)[1] + 2 * 2 * (1 + 2 * p) / 197, rel_tol=1e-9)
+
+
+def test_word_shares(spark):
+    from tickloom.operators.scoring import text_probabilities, word_probabilities
+    d = spark.createDataFrame([("Strong GAIN, weak debt; again",), (None,), ("",)], "text string")
+    got = [tuple(r["p"]) for r in d.select(word_probabilities("text").alias("p")).collect()]
+    assert got == [(0.4, 0.4, 0.2), (0.0, 0.0, 1.0), (0.0, 0.0, 1.0)]
+    own = d.select(text_probabilities(F.col("text"), lambda: lambda texts: [(1.0, 0.0, 0.0)] * len(texts)).alias("p")).collect()
+    assert all(tuple(r["p"]) == (1.0, 0.0, 0.0) for r in own)

@@ -303,44 +303,41 @@ def expanding_forecast(df: DataFrame, y: str, xs: Sequence[str], init: int = 120
 def var_orders(wide: DataFrame, cols: Sequence[str], max_p: int = 3, s: Series = Series((), ("date",))) -> DataFrame:
     """AIC, BIC, HQIC and FPE of a vector autoregression per lag count, on the same rows.
 
-    The residual covariance comes from one aggregate of cross-products per lag count.
+    The residual covariances of all orders come from one matrix of cross-products, summed in one pass.
     """
     k = len(cols)
-    d, names = wide, []
     w = Window.partitionBy(F.lit(0)).orderBy("date")  # one aligned series, one row per calendar day
-    for p in range(1, max_p + 1):
-        d = d.withColumns({f"{c}_l{p}": F.lag(c, p).over(w) for c in cols})
-        names.append([f"{c}_l{p}" for c in cols])
-    d = d.dropna()
-    out = None
-    for p in range(1, max_p + 1):
-        xs = [n for g in names[:p] for n in g]
-        full = ["_one", *xs, *cols]
-        q = d.withColumn("_one", F.lit(1.0))
-        row = q.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(full) for j, b in enumerate(full) if j >= i])
-        m = len(xs) + 1
-
-        @F.pandas_udf("n double, logdet double")
-        def resid(flat: pd.Series, m_: pd.Series, k_: pd.Series) -> pd.DataFrame:
-            rows = []
-            for f, mm, kk in zip(flat, m_, k_):
-                size = int(mm + kk)
-                g = np.zeros((size, size))
-                g[np.triu_indices(size)] = f
-                g = g + np.triu(g, 1).T
-                mm = int(mm)
-                e = g[mm:, mm:] - g[mm:, :mm] @ np.linalg.pinv(g[:mm, :mm]) @ g[:mm, mm:]
-                rows.append((g[0, 0], np.linalg.slogdet(e / g[0, 0])[1]))
-            return pd.DataFrame(rows, columns=["n", "logdet"])
-
-        arr = F.array(*[f"g{i}_{j}" for i in range(len(full)) for j in range(i, len(full))])
-        r = row.select(resid(arr, F.lit(m), F.lit(k)).alias("r")).select("r.*")
-        n, par = F.col("n"), k * m
-        o = r.select(F.lit(p).alias("p"), n.cast("long").alias("n"), (F.col("logdet") + 2.0 * par / n).alias("aic"),
-                     (F.col("logdet") + F.ln(n) * par / n).alias("bic"), (F.col("logdet") + 2 * F.ln(F.ln(n)) * par / n).alias("hqic"),
-                     (F.exp("logdet") * F.pow((n + m) / (n - m), F.lit(k))).alias("fpe"))
-        out = o if out is None else out.unionByName(o)
-    return out
+    lags = [F.lag(c, p).over(w).alias(f"{c}_l{p}") for p in range(1, max_p + 1) for c in cols]
+    full = ["_one", *cols, *[f"{c}_l{p}" for p in range(1, max_p + 1) for c in cols]]
+    d = wide.select(F.lit(1.0).alias("_one"), *cols, *lags).dropna().select(F.array(*full).alias("v"))
+    # upper triangle, row by row; lower orders are leading blocks of the same matrix
+    triangle = F.flatten(F.transform("v", lambda x, a: F.transform(F.slice(F.col("v"), a + 1, F.lit(len(full)) - a), lambda y: x * y)))
+    sums = d.select(F.posexplode(triangle).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    gram = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]).alias("g"))
+
+    @F.pandas_udf("array<struct<p:int,n:double,logdet:double>>")
+    def orders(flat: pd.Series) -> pd.Series:
+        out = []
+        for f in flat:
+            g = np.zeros((len(full), len(full)))
+            if f is None or len(f) == 0:
+                out.append([])
+                continue
+            g[np.triu_indices(len(full))] = f
+            g = g + np.triu(g, 1).T
+            y, rows = list(range(1, k + 1)), []
+            for p in range(1, max_p + 1):
+                x = [0, *range(k + 1, k + 1 + k * p)]
+                e = g[np.ix_(y, y)] - g[np.ix_(y, x)] @ np.linalg.pinv(g[np.ix_(x, x)]) @ g[np.ix_(x, y)]
+                rows.append({"p": p, "n": g[0, 0], "logdet": np.linalg.slogdet(e / g[0, 0])[1]})
+            out.append(rows)
+        return pd.Series(out)
+
+    n, m = F.col("n"), 1 + k * F.col("p")
+    par = k * m
+    return gram.select(F.explode(orders("g")).alias("r")).select("r.*").select(
+        "p", n.cast("long").alias("n"), (F.col("logdet") + 2.0 * par / n).alias("aic"), (F.col("logdet") + F.ln(n) * par / n).alias("bic"),
+        (F.col("logdet") + 2 * F.ln(F.ln(n)) * par / n).alias("hqic"), (F.exp("logdet") * F.pow((n + m) / (n - m), F.lit(k))).alias("fpe"))
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

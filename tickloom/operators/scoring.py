@@ -1,8 +1,7 @@
-"""Text scoring with any scorer, loaded once per Python worker and fed in Arrow batches."""
+"""Text scoring by word lists as a column, or by any scorer loaded once per Python worker and fed in Arrow batches."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -17,23 +16,16 @@ NEGATIVE_WORDS = ("loss", "losses", "fall", "weak", "debt", "miss", "risk", "law
 PROBS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("positive", "negative", "neutral")])
 
 
-def word_scorer() -> Callable[[Sequence[str]], list[tuple[float, float, float]]]:
-    """Class shares from word counts over the whole text, with one neutral count added."""
-    pos, neg, word = set(POSITIVE_WORDS), set(NEGATIVE_WORDS), re.compile("[a-z]+")
+def word_probabilities(text: str | Column) -> Column:
+    """Struct of class shares from word counts over the whole text, with one neutral count added; null counts as empty."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit("[a-z]+"), 0)
+    p, n = F.size(F.filter(words, lambda w: w.isin(*POSITIVE_WORDS))), F.size(F.filter(words, lambda w: w.isin(*NEGATIVE_WORDS)))
+    total = (p + n + 1).cast("double")
+    return F.struct((p / total).alias("positive"), (n / total).alias("negative"), (1 / total).alias("neutral"))
 
-    def score(texts: Sequence[str]) -> list[tuple[float, float, float]]:
-        out = []
-        for t in texts:
-            found = word.findall((t or "").lower())
-            p, n = sum(w in pos for w in found), sum(w in neg for w in found)
-            out.append((p / (p + n + 1), n / (p + n + 1), 1 / (p + n + 1)))
-        return out
 
-    return score
-
-
-def text_probabilities(text: str | Column, load: Callable = word_scorer) -> Column:
-    """Struct of class probabilities. ``load`` runs once per worker and returns a batch scorer."""
+def text_probabilities(text: str | Column, load: Callable) -> Column:
+    """Struct of class probabilities by a caller's model. ``load`` runs once per worker and returns a batch scorer."""
 
     @F.pandas_udf(PROBS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -44,8 +36,9 @@ def text_probabilities(text: str | Column, load: Callable = word_scorer) -> Colu
     return run(text)
 
 
-def daily_probabilities(articles: DataFrame, keys: Sequence[str] = ("symbol", "date"), load: Callable = word_scorer) -> DataFrame:
+def daily_probabilities(articles: DataFrame, keys: Sequence[str] = ("symbol", "date"), load: Callable | None = None) -> DataFrame:
     """Mean class probabilities, mean signed score and article count per day."""
-    s = articles.withColumn("_p", text_probabilities(F.col("text"), load)).select(*keys, "_p.*")
+    p = word_probabilities("text") if load is None else text_probabilities(F.col("text"), load)
+    s = articles.withColumn("_p", p).select(*keys, "_p.*")
     return s.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("positive", "negative", "neutral")],
                                 F.avg(F.col("positive") - F.col("negative")).alias("score"), F.count(F.lit(1)).alias("articles"))

@@ -35,13 +35,11 @@ def price_scenarios(returns: DataFrame, overlay: DataFrame | None = None, s: Ser
         total = F.when(has, F.col("daily_drift") * m + F.col("drift") * (F.col("h") - m)).otherwise(total)
         var = F.when(has, F.pow("daily_vol", 2) * m + F.col("vol") * F.col("vol") * (F.col("h") - m)).otherwise(var)
     g = g.withColumns({"total_drift": total, "band": F.sqrt(var)})
-    parts = None
-    for k, h in HORIZONS.items():
-        w = r.withColumns({"_s": F.sum("log_return").over(s.rows(0, h - 1)), "_rn": F.row_number().over(s.spec()) - 1, "_n": F.count(F.lit(1)).over(s.whole())})
-        w = w.where(F.col("_rn") < F.col("_n") - h).select("symbol", F.lit(k).alias("timeframe"), F.col("_s").alias("hr"))
-        parts = w if parts is None else parts.unionByName(w)
-    mean = parts.groupBy("symbol", "timeframe").agg(F.avg("hr").alias("_mean"))
-    j = parts.join(mean, ["symbol", "timeframe"]).join(g.select("symbol", "timeframe", "total_drift", "band"), ["symbol", "timeframe"])
+    row, rows = F.row_number().over(s.spec()) - 1, F.count(F.lit(1)).over(s.whole())
+    sums = F.array(*[F.when(row < rows - h, F.struct(F.lit(k).alias("timeframe"), F.sum("log_return").over(s.rows(0, h - 1)).alias("hr"))) for k, h in HORIZONS.items()])
+    parts = r.select("symbol", sums.alias("_sums")).select("symbol", F.explode(F.array_compact("_sums")).alias("w")).select("symbol", "w.*")
+    parts = parts.withColumn("_mean", F.avg("hr").over(Window.partitionBy("symbol", "timeframe")))
+    j = parts.join(g.select("symbol", "timeframe", "total_drift", "band"), ["symbol", "timeframe"])
     c = F.col("hr") - F.col("_mean") + F.col("total_drift")
     f = lambda cond: F.avg(cond.cast("double"))
     p = j.groupBy("symbol", "timeframe").agg(f(c >= F.col("band")).alias("_bull"), f(c <= -F.col("band")).alias("_bear"), f(c > 0).alias("_up"))

@@ -117,7 +117,8 @@ _SENT = ["news_sent_score"] + [f"news_sent_{p}" for p in PROVIDERS]
 
 
 def _daily(spark, d):
-    return nw.daily_scores(nw.dedupe_headlines(t.news(spark, d)), PROVIDERS)
+    n = t.news(spark, d).select("article_id", *KEY, "provider", "score", "weight", F.sha2("headline", 256).alias("headline"))
+    return nw.daily_scores(nw.dedupe_headlines(n), PROVIDERS)
 
 
 @query("news_daily_scores", "A1 J6 U3", f"WITH {DAILY_SQL} SELECT {sql_rounded(KEY + ['news_articles'], _SENT)} FROM daily")

@@ -115,10 +115,11 @@ def recommended_features(spark, d):
     x = ml.number(learn_table(spark, d)).withColumn("cv", F.floor(F.col("rn") * 5 / F.col("n_rows")).cast("int"))
     c = se.combine_paths(se.linear_paths(x, FEATS, ["target_5d"], "cv"))
     mi = se.mutual_information(x, FEATS, "target_5d").withColumn("target", F.lit("target_5d"))
-    return se.recommend(c, mi, top_mi=4)
+    return se.recommend(c, mi, top_mi=30)
 
 
-@query("oversampled_classes", "M12")
+@query("oversampled_classes", "M12", f"""WITH {TARGET_SQL}, c AS (SELECT target_large_move, count(*) AS n FROM targets GROUP BY 1)
+SELECT target_large_move, CASE WHEN target_large_move IS NULL THEN n ELSE (SELECT max(n) FROM c WHERE target_large_move IS NOT NULL) END AS n FROM c""")
 def oversampled_classes(spark, d):
     x = learn_table(spark, d)
     return ml.oversample(x, "target_large_move", FEATS).groupBy("target_large_move").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import econometrics as ec, indicators as ind, matrix as mx, stats as st
@@ -93,21 +95,40 @@ def median_scaling(spark, d):
     return rounded(st.standardise(x, ["log_return", "realized_vol_20d"]), KEY, ["log_return", "realized_vol_20d"])
 
 
-@query("autocorrelation", "W44", f"""WITH {v.BARS}, {v.RET}, c AS (SELECT symbol, date, log_return - avg(log_return) OVER (PARTITION BY symbol) AS c FROM ret WHERE log_return IS NOT NULL),
-g AS (SELECT symbol, {', '.join(f'sum(c * l{k}) / sum(c * c) AS p{k}' for k in range(1, 11))} FROM (SELECT *, {', '.join(f'lag(c, {k}) OVER {v.LINE} AS l{k}' for k in range(1, 11))} FROM c) q GROUP BY 1)
-{' UNION ALL '.join(f'SELECT symbol, {k} AS lag, round(p{k}, 6) + 0.0 AS acf FROM g' for k in range(1, 11))}""")
-def autocorrelation(spark, d):
-    return st.acf(ind.add_returns(t.bars_daily(spark, d)), "log_return", 10).select("symbol", "lag", F.round("acf", 6).alias("acf"))
+LAGS = 40
+KINDS_SQL = """kinds AS (SELECT symbol, date, 'r' AS kind, log_return AS x FROM ret WHERE log_return IS NOT NULL UNION ALL SELECT symbol, date, 'abs_r', abs(log_return) FROM ret WHERE log_return IS NOT NULL
+  UNION ALL SELECT symbol, date, 'r2', log_return * log_return FROM ret WHERE log_return IS NOT NULL)"""
+
+
+def acf_sql(source: str, keys: str, lags: int) -> str:
+    """CTEs ending in acf(keys, n, lag, acf) of the column x of ``source``."""
+    return f"""ac AS (SELECT {keys}, date, x - avg(x) OVER (PARTITION BY {keys}) AS c FROM {source}),
+ag AS (SELECT {keys}, count(*) AS n, [{', '.join(f'coalesce(sum(c * l{k}) / nullif(sum(c * c), 0), NULL)' for k in range(1, lags + 1))}] AS rho
+  FROM (SELECT *, {', '.join(f'lag(c, {k}) OVER (PARTITION BY {keys} ORDER BY date) AS l{k}' for k in range(1, lags + 1))} FROM ac) q GROUP BY ALL),
+acf AS (SELECT {keys}, n, CAST(unnest(range(1, {lags + 1})) AS INTEGER) AS lag, unnest(rho) AS acf FROM ag)"""
 
 
-@query("autocorrelation_by_regime", "W44 W45")
+@query("autocorrelation", "W44", f"""WITH {v.BARS}, {v.RET}, {KINDS_SQL}, {acf_sql('kinds', 'symbol, kind', LAGS)} SELECT symbol, kind, lag, round(acf, 6) + 0.0 AS acf FROM acf""")
+def autocorrelation(spark, d):
+    """Forty lags of returns, absolute and squared returns."""
+    a = st.acf(ec.volatility_series(ind.add_returns(t.bars_daily(spark, d))), "x", LAGS, extra=("kind",))
+    return a.select("symbol", "kind", "lag", F.round("acf", 6).alias("acf"))
+
+
+@query("autocorrelation_by_regime", "W44 W45", f"""WITH RECURSIVE {TARGET_SQL}, md AS (SELECT symbol, median(realized_vol_20d) AS m FROM targets WHERE realized_vol_20d IS NOT NULL GROUP BY 1),
+hv AS (SELECT symbol, date, CASE WHEN realized_vol_20d <= m THEN 'calm' ELSE 'stress' END AS half, abs(log_return) AS x FROM targets JOIN md USING (symbol) WHERE realized_vol_20d IS NOT NULL AND log_return IS NOT NULL),
+{acf_sql('hv', 'symbol, half', LAGS)},
+lev AS (SELECT symbol, half, rho, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(NULL AS DOUBLE) AS pac FROM ag
+  UNION ALL SELECT symbol, half, rho, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - new * phi[k + 1 - i]), new), new
+  FROM (SELECT *, (rho[k + 1] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[k + 1 - i])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[i])), 0)) AS new FROM lev) s WHERE k < {LAGS})
+SELECT symbol, half, lag, n, round(acf, 6) + 0.0 AS acf, round(pac, 5) + 0.0 AS pacf FROM acf JOIN (SELECT symbol, half, CAST(k AS INTEGER) AS lag, pac FROM lev WHERE k > 0) p USING (symbol, half, lag)""")
 def autocorrelation_by_regime(spark, d):
     """Autocorrelation of absolute returns in calm and stressed halves, with partial autocorrelation."""
     x = base(spark, d).where("realized_vol_20d is not null")
     m = x.groupBy("symbol").agg(F.median("realized_vol_20d").alias("_m"))
     x = x.join(m, "symbol").withColumns({"half": F.when(F.col("realized_vol_20d") <= F.col("_m"), "calm").otherwise("stress"), "ar": F.abs("log_return")})
-    a = st.acf(x, "ar", 20, extra=("half",))
-    return a.join(st.pacf(a, ["symbol", "half"]), ["symbol", "half", "lag"])
+    a = st.acf(x, "ar", LAGS, extra=("half",))
+    return a.join(st.pacf(a, ["symbol", "half"]), ["symbol", "half", "lag"]).withColumns({"acf": F.round("acf", 6), "pacf": F.round("pacf", 5)})
 
 
 @query("column_catalogue", "S18 A14", f"""WITH {v.BARS}, {v.RET} SELECT 'symbol' AS "column", 'string' AS dtype, 0.0e0 AS null_pct, '-' AS description
@@ -131,7 +152,16 @@ def rets(spark, d):
     return ind.add_returns(t.bars_daily(spark, d))
 
 
-@query("ljung_box", "E1")
+def _even_tail(m: int) -> str:
+    """Chi-square tail of q for an even number of degrees of freedom."""
+    return "exp(-q / 2) * (" + " + ".join(f"pow(q / 2, {i}) / {math.factorial(i)}.0e0" for i in range(m // 2)) + ")"
+
+
+@query("ljung_box", "E1", f"""WITH {v.BARS}, {v.RET}, {KINDS_SQL}, {acf_sql('kinds', 'symbol, kind', 20)},
+qs AS (SELECT symbol, kind, m AS lag, n * (n + 2.0e0) * sum(CASE WHEN acf.lag <= m THEN acf * acf / (n - acf.lag) END) AS q FROM acf CROSS JOIN (VALUES (5), (10), (20)) t(m) GROUP BY symbol, kind, n, m),
+qr AS (SELECT *, sqrt(q) AS rt FROM qs)
+SELECT symbol, kind, lag, round(q, 5) + 0.0 AS q, round(CASE lag WHEN 10 THEN {_even_tail(10)} WHEN 20 THEN {_even_tail(20)}
+  ELSE 2 * (1 - {v.ncdf('rt')}) + sqrt(2 * q / pi()) * exp(-q / 2) * (1 + q / 3) END, 5) + 0.0 AS p_value FROM qr""")
 def ljung_box(spark, d):
     return rounded(ec.ljung_box(rets(spark, d)), ["symbol", "kind", "lag"], ["q", "p_value"], 5)
 
@@ -227,7 +257,7 @@ def wide_returns(spark, d):
 
 @query("var_lag_table", "E15")
 def var_lag_table(spark, d):
-    return rounded(ec.var_orders(wide_returns(spark, d), ["A", "N", "R"], 3), ["p", "n"], ["aic", "bic", "hqic", "fpe"], 5)
+    return rounded(ec.var_orders(wide_returns(spark, d), ["A", "N", "R"], 10), ["p", "n"], ["aic", "bic", "hqic", "fpe"], 5)
 
 
 @query("granger_causality", "E16")
