@@ -156,9 +156,9 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, text_col: str = "te
                 out.append(np.unique(bucket, return_counts=True))
             yield pd.DataFrame({"idx": [x[0] for x in out], "n": [x[1].astype(np.int32) for x in out]})
 
-    got = rows.filter(F.col("k") <= cut).select("k", "l", "c", count_subwords("t").alias("f")).collect()
+    got = rows.filter(F.col("k") <= cut).select("k", "l", "c", count_subwords("t").alias("f")).select("k", "l", "c", "f.*").toArrow()
     at = {x: i for i, x in enumerate(labels)}
-    sparse = [(r["k"], r["c"], np.array(r["f"]["idx"]), np.array(r["f"]["n"], float), at[r["l"]]) for r in got if r["f"]["idx"]]
+    sparse = [(k.as_py(), c.as_py(), i.values.to_numpy(), n.values.to_numpy().astype(float), at[name.as_py()]) for k, name, c, i, n in zip(*got.columns) if len(i)]
     sparse.sort(key=lambda r: (r[0], r[4], len(r[2]), r[3].sum()))
     fit, held = ([(i, n / n.sum(), y) for _, c, i, n, y in sparse if c is flag] for flag in (False, True))
     weights, bias = fit_sgd(fit or held, len(labels))
