@@ -195,8 +195,11 @@ def classifiers(classes: int, seed: int = 42, weighted: bool = False) -> dict:
 
 
 def prepare(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str], target: str):
-    """Impute by train medians, scale by train moments, assemble. Statistics never see other rows."""
-    stats = train.agg(*[F.median(c).alias(f"m_{c}") for c in features]).first()
+    """Impute by train medians, scale by train moments, assemble. Statistics never see other rows.
+
+    Medians are approximate to 1 in 10,000 ranks, so that no task meets every value of a feature.
+    """
+    stats = train.agg(*[F.percentile_approx(c, 0.5, 10000).alias(f"m_{c}") for c in features]).first()
     fill = {c: stats[f"m_{c}"] if stats[f"m_{c}"] is not None else 0.0 for c in features}
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="x", withMean=True)])
     ready = [d.fillna(fill, list(features)).withColumn("y", F.col(target).cast("double")) for d in [train, *others]]
@@ -204,13 +207,23 @@ def prepare(train: DataFrame, others: Sequence[DataFrame], features: Sequence[st
     return [model.transform(d).drop("_v") for d in ready], model, fill
 
 
+def number_dates(df: DataFrame) -> DataFrame:
+    """rn and n_rows by calendar: all rows of a day share a number, so a split never looks past a day of any symbol."""
+    w = Window.orderBy("date")  # one row per calendar day
+    days = df.select("date").distinct()
+    days = days.select("date", (F.row_number().over(w) - 1).alias("rn"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"))
+    return df.join(days, "date")
+
+
 def walk_forward(df: DataFrame, features: Sequence[str], target: str, models: dict, init: int = INIT_TRAIN, step: int = STEP,
                  holdout: int = HOLDOUT, version: str = "A", task: str = "regression", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Metric rows (version, target, model, fold) for every fold and the holdout (fold -1).
+    """Metric rows (version, target, keys, model, fold) for every fold and the holdout (fold -1).
 
-    The driver only submits fits; training rows of a fold are a filtered view of one table.
+    ``df`` holds raw features: each fold imputes and scales by its own training rows. Folds are cut by
+    date for all symbols together; metrics are per key. The driver only submits fits; training rows of
+    a fold are a filtered view of one table.
     """
-    d = cut_lineage(split_role(number(df.where(F.col(target).isNotNull())), init, step, holdout))
+    d = cut_lineage(split_role(number_dates(df.where(F.col(target).isNotNull())), init, step, holdout))
     gap = embargo_of(target)
     folds = [r["fold"] for r in d.select("fold").distinct().orderBy("fold").collect() if r["fold"] is not None]
     out = None
@@ -221,11 +234,11 @@ def walk_forward(df: DataFrame, features: Sequence[str], target: str, models: di
             train, val = d.where(F.col("rn") < F.col("n_rows") - holdout - gap), d.where("is_holdout")
         (tr, va), _, _ = prepare(train, [val], features, target)
         base = baselines(train, target, keys)
-        preds = va.select(*keys, "date", "y").join(F.broadcast(base), list(keys)).select(*keys, "y", F.lit("baseline").alias("model"), F.col("baseline").alias("p"))
+        preds = va.select(*keys, "date", "y").join(base, list(keys)).select(*keys, "y", F.lit("baseline").alias("model"), F.col("baseline").alias("p"))
         for name, est in models.items():
             p = est.fit(tr).transform(va).select(*keys, "y", F.lit(name).alias("model"), F.col("prediction").alias("p"))
             preds = preds.unionByName(p)
-        m = regression_metrics(preds, "y", "p", ["model"]) if task == "regression" else classification_metrics(preds, "y", "p", ["model"])
+        m = regression_metrics(preds, "y", "p", [*keys, "model"]) if task == "regression" else classification_metrics(preds, "y", "p", [*keys, "model"])
         m = m.select(F.lit(version).alias("version"), F.lit(target).alias("target"), F.lit(f).alias("fold"), *m.columns)
         out = m if out is None else out.unionByName(m)
     return out
@@ -243,17 +256,23 @@ def random_grid(space: dict[str, Sequence], n: int, seed: int = 42) -> list[dict
     return [{k: v[int(rng.integers(len(v)))] for k, v in space.items()} for _ in range(n)]
 
 
-def random_search(train: DataFrame, estimator, space: dict[str, Sequence], n: int = 5, splits: int = 3, seed: int = 42):
-    """Best of n sampled parameter sets over time-ordered inner splits (rn order); returns params and RMSE."""
-    hi = train.agg(F.max("rn")).first()[0] + 1
+def random_search(df: DataFrame, features: Sequence[str], target: str, estimator, space: dict[str, Sequence], n: int = 25, splits: int = 3, holdout: int = HOLDOUT, seed: int = 42):
+    """Best of n sampled parameter sets over time-ordered inner splits by date; returns params and RMSE.
+
+    ``df`` holds raw features. The holdout days take no part, and every split imputes and scales by the
+    rows before it, prepared once for all parameter sets.
+    """
+    d = number_dates(df.where(F.col(target).isNotNull())).where(F.col("rn") < F.col("n_rows") - holdout)
+    hi = d.agg(F.max("rn")).first()[0] + 1
+    parts = []
+    for i in range(1, splits + 1):
+        lo, up = hi * i // (splits + 1), hi * (i + 1) // (splits + 1)
+        (tr, va), _, _ = prepare(d.where(F.col("rn") < lo - embargo_of(target)), [d.where((F.col("rn") >= lo) & (F.col("rn") < up))], features, target)
+        parts.append((cut_lineage(tr.select("x", "y")), cut_lineage(va.select("x", "y"))))
     best = None
     for params in random_grid(space, n, seed):
-        err = []
-        for i in range(1, splits + 1):
-            lo, up = hi * i // (splits + 1), hi * (i + 1) // (splits + 1)
-            m = estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(train.where(F.col("rn") < lo))
-            e = m.transform(train.where((F.col("rn") >= lo) & (F.col("rn") < up))).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)))).first()[0]
-            err.append(e)
+        model = estimator.copy({estimator.getParam(k): v for k, v in params.items()}).setFeaturesCol("x")
+        err = [model.fit(tr).transform(va).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)))).first()[0] for tr, va in parts]
         score = float(np.mean(err))
         if best is None or score < best[1]:
             best = (params, score)

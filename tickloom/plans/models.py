@@ -17,12 +17,17 @@ FEATS = ["realized_vol_20d", "realized_vol_60d", "skewness_20d", "max_drawdown_2
 
 
 def learn_table(spark, d):
-    """Features and targets, written once: every fit below reads the files, not the lineage."""
+    """Raw features and targets, written once: every fit below reads the files, not the lineage."""
     x = ind.add_momentum(ind.add_microstructure(ind.add_risk(ind.add_returns(t.bars_daily(spark, d)))))
-    x = st.standardise(st.add_targets(x), FEATS)
+    x = st.add_targets(x)
     return cut_lineage(x.select("symbol", "date", "log_return", *FEATS, "target_1d", "target_5d", "target_vol_5d", "target_dir_1d", "target_large_move", "target_regime"))
 
 
+def scaled_table(spark, d):
+    """The table imputed and standardised over all rows, for views of the whole sample that predict nothing."""
+    return st.standardise(learn_table(spark, d), FEATS)
+
+
 @query("walk_forward_folds", "M8 P18", f"""WITH {v.BARS}, n AS (SELECT symbol, count(*) - 51 AS a FROM bars GROUP BY 1),
 f AS (SELECT symbol, a, CAST(unnest(range(0, (a - 121) // 21 + 1)) AS INTEGER) AS fold FROM n WHERE a > 120)
 SELECT symbol, fold, greatest(120 + fold * 21 - 5, 0) AS train_stop, CAST(120 + fold * 21 AS BIGINT) AS val_start, least(120 + fold * 21 + 21, a) AS val_end FROM f""")
@@ -88,7 +93,7 @@ def class_weights(spark, d):
 
 @query("feature_pruning", "M2 M3", """SELECT 'realized_copy' AS feature, 'correlated' AS reason""")
 def feature_pruning(spark, d):
-    x = learn_table(spark, d).withColumn("realized_copy", F.col("reversal_1w") * 2 + 1)
+    x = scaled_table(spark, d).withColumn("realized_copy", F.col("reversal_1w") * 2 + 1)
     cols = ["reversal_1w", "momentum_1m", "trade_imbalance", "realized_copy"]
     bad = [("correlated", c) for c in se.prune_correlated(x, cols)] + [("low_variance", c) for c in se.low_variance(x, cols)]
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("reason")) for r, c in bad])
@@ -97,7 +102,7 @@ def feature_pruning(spark, d):
 
 @query("mutual_information", "M4 O6")
 def mutual_information(spark, d):
-    x = learn_table(spark, d)
+    x = scaled_table(spark, d)
     a = se.mutual_information(x, FEATS, "target_5d").withColumn("target", F.lit("target_5d"))
     b = se.mutual_information(x, FEATS, "target_regime", discrete=True).withColumn("target", F.lit("target_regime"))
     return rounded(a.unionByName(b), ["target", "feature"], ["mi"])
@@ -105,14 +110,14 @@ def mutual_information(spark, d):
 
 @query("linear_feature_paths", "M5 M6")
 def linear_feature_paths(spark, d):
-    x = ml.number(learn_table(spark, d)).withColumn("cv", F.floor(F.col("rn") * 5 / F.col("n_rows")).cast("int"))
+    x = ml.number(scaled_table(spark, d)).withColumn("cv", F.floor(F.col("rn") * 5 / F.col("n_rows")).cast("int"))
     c = se.combine_paths(se.linear_paths(x, FEATS, ["target_1d", "target_5d"], "cv"))
     return rounded(c, ["target", "feature"], ["lasso", "ridge", "combined"])
 
 
 @query("recommended_features", "M6 O6")
 def recommended_features(spark, d):
-    x = ml.number(learn_table(spark, d)).withColumn("cv", F.floor(F.col("rn") * 5 / F.col("n_rows")).cast("int"))
+    x = ml.number(scaled_table(spark, d)).withColumn("cv", F.floor(F.col("rn") * 5 / F.col("n_rows")).cast("int"))
     c = se.combine_paths(se.linear_paths(x, FEATS, ["target_5d"], "cv"))
     mi = se.mutual_information(x, FEATS, "target_5d").withColumn("target", F.lit("target_5d"))
     return se.recommend(c, mi, top_mi=30)
@@ -121,30 +126,62 @@ def recommended_features(spark, d):
 @query("oversampled_classes", "M12", f"""WITH {TARGET_SQL}, c AS (SELECT target_large_move, count(*) AS n FROM targets GROUP BY 1)
 SELECT target_large_move, CASE WHEN target_large_move IS NULL THEN n ELSE (SELECT max(n) FROM c WHERE target_large_move IS NOT NULL) END AS n FROM c""")
 def oversampled_classes(spark, d):
-    x = learn_table(spark, d)
+    x = scaled_table(spark, d)
     return ml.oversample(x, "target_large_move", FEATS).groupBy("target_large_move").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("model_ladder", "M11 M14 M16 M18 M24")
-def model_ladder(spark, d):
-    """Four large walk-forward folds and the holdout for three regressors and the baseline."""
+def ladder(spark, d):
     x = learn_table(spark, d)
-    n = x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    n = x.select("date").distinct().count()
     reg = ml.regressors()
-    m = ml.walk_forward(x, FEATS, "target_vol_5d", {k: reg[k] for k in ("ridge", "rf")}, init=n // 2, step=n // 4)
-    return rounded(m, ["version", "target", "model", "fold", "n"], ["mae", "rmse", "r2", "dir_acc", "ic"])
+    return ml.walk_forward(x, FEATS, "target_vol_5d", {k: reg[k] for k in ("ridge", "rf")}, init=n // 2, step=n // 4)
+
+
+@query("model_ladder", "M11 M14 M18")
+def model_ladder(spark, d):
+    """Large walk-forward folds by date and the holdout, for two regressors and the baseline, per symbol."""
+    return rounded(ladder(spark, d), ["version", "target", "symbol", "model", "fold", "n"], ["mae", "rmse", "r2", "dir_acc", "ic"])
 
 
-@query("cv_summary", "A17 A31 M24")
+@query("cv_summary", "A17")
 def cv_summary(spark, d):
     m = model_ladder(spark, d).where("fold >= 0")
-    return m.groupBy("target", "version", "model").agg(F.round(F.avg("ic"), 6).alias("ic_mean"), F.round(F.stddev_samp("ic"), 6).alias("ic_std"), F.count(F.lit(1)).alias("folds"))
+    return m.groupBy("target", "version", "symbol", "model").agg(F.round(F.avg("ic"), 6).alias("ic_mean"), F.round(F.stddev_samp("ic"), 6).alias("ic_std"), F.count(F.lit(1)).alias("folds"))
+
+
+@query("best_models", "M24")
+def best_models(spark, d):
+    """Model with the best mean rank correlation over the folds, per symbol and target."""
+    m = ladder(spark, d).where("fold >= 0").groupBy("symbol", "target", "model").agg(F.avg("ic").alias("ic"))
+    return rounded(ml.best_model(m, "ic", ("symbol", "target")), ["symbol", "target", "model"], ["metric_value"])
+
+
+@query("model_importances", "M16")
+def model_importances(spark, d):
+    """Shares of the features in the forest and in the ridge coefficients, fitted on the days before the holdout."""
+    x = ml.number_dates(learn_table(spark, d).where("target_vol_5d is not null")).where(F.col("rn") < F.col("n_rows") - ml.HOLDOUT)
+    (tr,), _, _ = ml.prepare(x, [], FEATS, "target_vol_5d")
+    reg = ml.regressors()
+    rows = [(m, f, v) for m in ("ridge", "rf") for f, v in ml.importances(reg[m].fit(tr), FEATS)]
+    shares = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("feature"), F.lit(v).alias("importance")) for m, f, v in rows])
+    return rounded(tr.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(shares).alias("r")).select("n_rows", "r.*"), ["n_rows", "model", "feature"], ["importance"])
+
+
+@query("regime_counts", "M7 M20 M21")
+def regime_counts(spark, d):
+    """Silhouette and BIC for 2 to 6 regimes on the reduced features, with the variance share of each kept dimension."""
+    x = ml.number(scaled_table(spark, d))
+    z, share = ml.reduce_features(x, FEATS, len(FEATS), F.col("rn") < F.col("n_rows") * 0.8)
+    z = cut_lineage(z.select("z"))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("silhouette"), F.lit(b).alias("bic")) for k, s, b in ml.choose_k(z)])
+    out = z.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(rows).alias("r"), F.array(*[F.round(F.lit(float(v)), 6) for v in share]).alias("variance_shares"))
+    return rounded(out.select("n_rows", "r.*", "variance_shares"), ["n_rows", "k", "variance_shares"], ["silhouette", "bic"], 4)
 
 
 @query("market_regimes", "M7 M20 M21 A16")
 def market_regimes(spark, d):
     """Regimes fitted on the first 80% of each symbol's rows, profiled over all rows."""
-    x = ml.number(learn_table(spark, d))
+    x = ml.number(scaled_table(spark, d))
     r = ml.regimes(x, FEATS, 3, "realized_vol_20d", F.col("rn") < F.col("n_rows") * 0.8)
     return r.groupBy("cluster_kmeans").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in FEATS[:4]], F.round(F.avg("gmm_prob_regime_0"), 4).alias("gmm_p0")).orderBy("cluster_kmeans")
 

@@ -28,17 +28,16 @@ def text_sentiment_daily(spark, d):
 @query("classifier_ladder", "M15 M13 M9")
 def classifier_ladder(spark, d):
     x = learn_table(spark, d)
-    n = x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    n = x.select("date").distinct().count()
     m = ml.walk_forward(x, FEATS, "target_large_move", {k: e for k, e in ml.classifiers(2).items() if k in ("logistic", "svc")}, init=n // 2, step=n // 2, task="classification")
-    return rounded(m, ["version", "target", "model", "fold", "n"], ["acc", "bal_acc", "f1_w", "f1_macro"])
+    return rounded(m, ["version", "target", "symbol", "model", "fold", "n"], ["acc", "bal_acc", "f1_w", "f1_macro"])
 
 
 @query("tuned_ridge", "M17")
 def tuned_ridge(spark, d):
     """Random search over regularisation with time-ordered inner splits; one row with the winner."""
-    x = ml.number(learn_table(spark, d)).where("target_vol_5d is not null")
-    (tr,), _, _ = ml.prepare(x, [], FEATS, "target_vol_5d")
-    params, rmse = ml.random_search(tr, ml.regressors()["ridge"], {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, n=3, splits=2)
+    x = learn_table(spark, d).where("target_vol_5d is not null")
+    params, rmse = ml.random_search(x, FEATS, "target_vol_5d", ml.regressors()["ridge"], {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0]}, n=6)
     return x.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(float(params["regParam"])).alias("reg_param"), F.lit(float(params["elasticNetParam"])).alias("elastic_net"), F.round(F.lit(rmse), 6).alias("rmse"))
 
 
