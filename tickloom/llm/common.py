@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,45 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder: written once, read with their true size, removed together.
+
+    Unlike checkpoints, whose size estimate is carried on from join to join, files tell the planner
+    what they hold, so small tables are broadcast and chains of joins stay cheap to plan.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove_path(self.spark, self.root)
+
+
+def merged_arrays(rows: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype, slices: int) -> dict[int, np.ndarray]:
+    """Rows (slice, data) of equally long arrays put together by ``how``, slice by slice, in a streaming fold.
+
+    The arrays have a fixed length and ``slices`` is fixed, so what a task and the driver hold is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(data, dtype)
+                held[k] = how(held[k], x) if k in held else x
+        for k, x in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "data"])
+
+    rows = rows.select("slice", "data").repartition(min(slices, shuffle_width(rows.sparkSession)), "slice")
+    return {r["slice"]: np.frombuffer(r["data"], dtype) for r in rows.mapInArrow(run, "slice int, data binary").collect()}
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Exclusive running sums over the whole table in ``order``, without gathering it anywhere.
 

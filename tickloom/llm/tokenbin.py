@@ -12,15 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import id_ranges, remove_path, scratch_path, shuffle_width, table
+from tickloom.llm.common import id_ranges, merged_arrays, remove_path, scratch_path, shuffle_width, table
 from tickloom.llm.huffman import Codebook, code_lengths
 from tickloom.llm.registry import query
 from tickloom.llm.wordtable import WordTable, segment_sums
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-BLOCK_IDS, EVERY = 1 << 16, 64
+BLOCK_IDS, EVERY, SLICES = 1 << 16, 64, 8
 
-BLOCKS = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.list_(pa.int64()))])
+BLOCKS = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 CODED = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary()), ("checkpoints", pa.binary())])
 READ = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -58,7 +58,7 @@ def _words(path: str) -> WordTable:
     def core(word: bytes) -> list[int]:
         low = word.lower()
         if low not in known:
-            if len(known) > 150_000:
+            if len(known) > 100_000:
                 known.clear()
             known[low] = [t.id for t in merge(low.decode())]
         return known[low]
@@ -81,7 +81,7 @@ def _words(path: str) -> WordTable:
             out[i] = ids
         return out
 
-    return WordTable(encode)
+    return WordTable(encode, 320_000)
 
 
 def tokenize(texts: list[str | None], vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def tokenize(texts: list[str | None], vocabulary: str) -> tuple[np.ndarray, np.n
 
 
 def _token_blocks(vocabulary: str, n_ids: int):
-    """Rows sorted by (range, id) -> blocks of about BLOCK_IDS ids, none across ranges, and at the end a row of id counts."""
+    """Rows sorted by (range, id) -> blocks of about BLOCK_IDS ids, none across ranges, and at the end rows of id counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_ids, np.int64)
@@ -106,7 +106,7 @@ def _token_blocks(vocabulary: str, n_ids: int):
             counts[:] += np.bincount(ids, minlength=n_ids)
             number[rng] = number.get(rng, -1) + 1
             kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
-            return pa.record_batch([[rng], [number[rng]], [docs], [lengths.tolist()], [ids.astype(kind).tobytes()], [None]], schema=BLOCKS)
+            return pa.record_batch([[rng], [number[rng]], [docs], [lengths.tolist()], [ids.astype(kind).tobytes()]], schema=BLOCKS)
 
         docs, texts, size, at = [], [], 0, None
         for b in batches:
@@ -120,7 +120,8 @@ def _token_blocks(vocabulary: str, n_ids: int):
                 size += len(text or "")
         if docs:
             yield closed(at, docs, texts)
-            yield pa.record_batch([[-1], [0], [None], [None], [None], [counts.tolist()]], schema=BLOCKS)
+            for k, part in enumerate(np.array_split(counts, SLICES)):
+                yield pa.record_batch([[-1], [k], [None], [None], [part.tobytes()]], schema=BLOCKS)
 
     return run
 
@@ -151,10 +152,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows.mapInArrow(_token_blocks(vocabulary, n_ids), ddl(BLOCKS)).write.option("compression", "zstd").parquet(raw)
 
     blocks = spark.read.parquet(raw)
-    totals = blocks.filter("range = -1").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 0").collect()
-    counts = np.zeros(n_ids, np.int64)
-    for r in totals:
-        counts[r["id"]] = r["n"]
+    sums = merged_arrays(blocks.filter("range = -1").select(F.col("block").cast("int").alias("slice"), F.col("ids").alias("data")), np.add, np.int64, SLICES)
+    counts = np.concatenate([sums[k] for k in range(SLICES)]) if sums else np.zeros(n_ids, np.int64)
     lengths = code_lengths(counts, limit)
     kept = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in kept], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
