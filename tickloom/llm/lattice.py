@@ -89,7 +89,7 @@ class Lattices:
     there on that begin with them, so walking by these shares samples a segmentation exactly.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 180_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 80_000):
         self.vocabulary, self.limit = vocabulary, limit
         self._clear()
 
