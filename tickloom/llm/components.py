@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import cut_lineage
+from tickloom.llm.common import Scratch
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(node, label) for every node of the edges (a, b); label is the smallest node of its component.
 
-    Each round takes the least label among the neighbours and then the label of that label, so long
-    chains halve. All sums are minima, which merge before the shuffle; nothing is gathered.
+    In each round every root that has a smaller neighbour root hangs itself under the smallest, the
+    trees are flattened by pointer jumping, and the edges are drawn anew between roots. Every component
+    but the finished ones loses roots in each round. All sums are minima, which merge before the
+    shuffle; nothing is gathered.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = scratch.table(edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct().withColumn("label", F.col("node")))
+    links = edges
     for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = labels.join(near, F.col("node") == F.col("a")).join(hop, F.col("label") == F.col("via"))
-        new = step.select("node", F.least("label", "near", "far").alias("new"), "label")
-        new = cut_lineage(new)
-        done = new.filter("new <> label").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if done:
+        links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        links = scratch.table(links)
+        if links.isEmpty():
             return labels
+        tree = scratch.table(links.groupBy("u").agg(F.min("v").alias("up")))
+        for _ in range(rounds):
+            above = tree.select(F.col("u").alias("w"), F.col("up").alias("higher"))
+            jumped = scratch.table(tree.join(above, F.col("up") == F.col("w"), "left").select("u", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")))
+            tree = jumped.select("u", "up")
+            if jumped.filter("moved").isEmpty():
+                break
+        labels = scratch.table(labels.join(tree, F.col("label") == F.col("u"), "left").select("node", F.coalesce("up", "label").alias("label")))
+        a, b = (tree.select(F.col("u").alias(f"{s}_u"), F.col("up").alias(f"{s}_up")) for s in "ab")
+        links = links.join(a, F.col("u") == F.col("a_u"), "left").join(b, F.col("v") == F.col("b_u"), "left")
+        links = links.select(F.coalesce("a_up", "u").alias("u"), F.coalesce("b_up", "v").alias("v"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, remove_path, scratch_path, shuffle_width, table
+from tickloom.llm.common import WORD, Scratch, merged_arrays, shuffle_width, table
 from tickloom.llm.components import components
 from tickloom.llm.registry import query
 from tickloom.session import cut_lineage
 
 COUNTER_BITS, FILTER_BITS, SLICES = 20, 26, 64
 N_MINS, HOT = 4, 50_000
+TURNS, TRIES, PARTS = 3, 4, 4
+PIECE, BLANK = 1 << 18, re.compile(rb"[ \t-\r]")
+IS_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 #: Odd multipliers that make independent orders of the hashes.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -26,23 +31,63 @@ ONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_has
 POSTING = np.dtype([("hash", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(PIECE * 2, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of every word of a lower-cased text, from running sums over its bytes."""
+    b = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(b) + 2, bool)
+    np.take(IS_BLANK, b, out=blank[1:-1])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    first, last = edges[::2], edges[1::2]
+    up, down = _powers() if len(b) <= 2 * PIECE else (None, None)
+    if up is None:  # one word longer than a piece
+        return np.array([xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(first.tolist(), last.tolist())], np.uint64)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(b * up[: len(b)], out=sums[1:])
+    return _mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a whole text.
 
     A-Z are lower-cased, words are parted by ASCII white space. Fewer words make one shingle; none make
-    an empty set.
+    an empty set. Long texts are hashed in pieces that end between words.
     """
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh3_64_intdigest(line)], np.uint64)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[: len(parts) - words + 1].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, ends[words - 1:].tolist())), np.uint64, len(starts)))
+    data = (text or "").encode("utf-8", "replace").lower()
+    hashes, at = [], 0
+    while at < len(data):
+        end = at + PIECE
+        gap = BLANK.search(data, end) if end < len(data) else None
+        end = gap.start() if gap else len(data)
+        hashes.append(_word_hashes(data[at:end]))
+        at = end
+    word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    if not len(word):
+        return word
+    n = max(len(word) - words + 1, 1)
+    out = np.full(n, min(words, len(word)), np.uint64)
+    for k in range(min(words, len(word))):
+        out = (out ^ word[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    out = _mix(out)
+    out.sort()
+    fresh = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out[fresh]
 
 
 def node_of(shingle_set: np.ndarray) -> int:
@@ -55,51 +100,22 @@ def least_overlap(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
-def _merged(rows: DataFrame, how: Callable, dtype) -> np.ndarray:
-    """Slices (slice, data) of equally long arrays put together by ``how``, slice by slice, in a streaming fold.
-
-    The array has a fixed length, so what the driver gets is bounded.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(data, dtype)
-                held[k] = how(held[k], x) if k in held else x
-        for k, x in held.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "data"])
-
-    rows = rows.select("slice", "data").repartition(min(SLICES, shuffle_width(rows.sparkSession)), "slice")
-    got = rows.mapInArrow(run, "slice int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], dtype) for r in sorted(got, key=lambda r: r["slice"])]) if got else np.zeros(0, dtype)
-
-
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """Bit per hash of the nodes, of fixed size: a filter that never misses a node; false hits only cost bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for b in batches:
-            bits[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-        packed = np.packbits(bits).reshape(SLICES, -1)
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            np.bitwise_or.at(packed, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        packed = packed.reshape(SLICES, -1)
         some = np.flatnonzero(packed.any(axis=1))
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packed[k].tobytes() for k in some], pa.binary())], names=["slice", "data"])
 
     rows = nodes.coalesce(shuffle_width(nodes.sparkSession)).mapInArrow(run, "slice int, data binary")
     full = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(data, np.uint8)
-                held[k] = held[k] | x if k in held else x
-        for k, x in held.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "data"])
-
-    for r in rows.repartition(min(SLICES, shuffle_width(nodes.sparkSession)), "slice").mapInArrow(merged, "slice int, data binary").collect():
-        full[r["slice"]] = np.frombuffer(r["data"], np.uint8)
+    for k, part in merged_arrays(rows, np.bitwise_or, np.uint8, SLICES).items():
+        full[k] = part
     return full.reshape(-1)
 
 
@@ -132,29 +148,32 @@ def _describe(words: int):
     return run
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """(node, shingles) of the wanted nodes, made anew from the texts that pass the node filter; equal sets once per task."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_filter_of(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sent = np.unpackbits(bits.value), set()
+        known, sent = bits.value, set()
         for b in batches:
             for text in b.column(0):
                 s = shingles(text.as_py(), words)
                 node = node_of(s)
-                if len(s) and node not in sent and known[(node % (1 << 64)) >> (64 - FILTER_BITS)]:
+                at = (node % (1 << 64)) >> (64 - FILTER_BITS)
+                if len(s) and node not in sent and known[at >> 3] >> (at & 7) & 1:
                     sent.add(node)
                     yield pa.record_batch([pa.array([node], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["node", "shingles"])
 
     made = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return made.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return scratch.table(made.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(a, b, n_a, n_b, overlap) of node pairs (a, b), from the whole sets."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    sets = _sets(docs, wanted, words)
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) of node pairs (a, b), from the whole sets (node, shingles)."""
 
     @F.pandas_udf("n_a long, n_b long, overlap long")
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -167,7 +186,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     rows = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return cut_lineage(rows.select("a", "b", compare("x", "y").alias("c")).select("a", "b", "c.*"))
+    return scratch.table(rows.select("a", "b", compare("x", "y").alias("c")).select("a", "b", "c.*"))
 
 
 def _linked(percent: int):
@@ -251,7 +270,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     1. Equal sets become one node. 2. Sets that share a least hash are compared with one leader each, at
     most one comparison per set; a set that links with its leader joins the leader's cluster and keeps
-    its overlap. 3. Prefix lists are cut in blocks per cluster with sizes and positions; blocks of two
+    its overlap. 3. In a few turns each set tries a neighbour from its prefix lists. Then prefix lists are cut in blocks per cluster with sizes and positions; blocks of two
     clusters in different components meet only if their size range and the places left behind the
     shared position allow a link, otherwise the block is skipped whole. 4. Leaders of such clusters are
     compared. If they link, all is said. If not, the answers for their members follow from the leaders'
@@ -266,27 +285,23 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    path = scratch_path(spark, "shingle-sets")
-    docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(words), PASS_ONE).write.option("compression", "zstd").parquet(path)
-    seen = spark.read.parquet(path)
+    scratch = Scratch(spark, "jaccard-join")
+    seen = scratch.table(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(words), PASS_ONE))
     described = seen.filter("kind = 0").select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n", "mins")
-    nodes = cut_lineage(described.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins")))
-    result = cut_lineage(described.select("doc_id", "text_hash", "node", "n"))
+    nodes = scratch.table(described.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins")))
+    result = scratch.table(described.select("doc_id", "text_hash", "node", "n"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    counters = _merged(seen.filter("kind = 1"), np.add, np.int64) if total else np.zeros(0, np.int64)
-    remove_path(spark, path)
-
-    edges = _edges(docs, nodes, counters, total, words, percent)
-    labels = components(edges) if edges is not None else None
-    if labels is None:
-        groups = nodes.select("node", F.col("node").alias("label"), F.col("least").alias("component"))
-    else:
-        named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = cut_lineage(named)
-        groups = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "label", "component")
+    parts = merged_arrays(seen.filter("kind = 1"), np.add, np.int64, SLICES) if total else {}
+    counters = np.concatenate([parts[k] for k in range(SLICES)]) if parts else np.zeros(0, np.int64)
+
+    placed = _groups(docs, nodes, counters, total, words, percent, scratch).select("node", F.col("component").alias("label"))
+    named = scratch.table(nodes.select("node", "least").join(placed, "node"))
+    groups = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "label", "component")
     out = result.join(groups, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("node").alias("set_id"), F.col("label").alias("group_id"), own.alias("component_id"))
+    out = cut_lineage(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("node").alias("set_id"), F.col("label").alias("group_id"), own.alias("component_id")))
+    scratch.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -306,75 +321,81 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return rows.dropDuplicates([id_col, mark]).drop(mark).unionByName(docs.filter(~has_word))
 
 
-def _edges(docs: DataFrame, nodes: DataFrame, counters: np.ndarray, total: int, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between nodes that span every component; None without any."""
+def _joined(placed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``placed`` with the components of linked nodes made one; only component pairs are walked."""
+    at = placed.select(F.col("node").alias("_n"), "component")
+    ends = links.select("a", "b").join(at.withColumnsRenamed({"component": "u"}), F.col("a") == F.col("_n")).drop("_n")
+    ends = ends.join(at.withColumnsRenamed({"component": "v"}), F.col("b") == F.col("_n")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    known = components(ends, scratch).select(F.col("node").alias("component"), "label")
+    return scratch.table(placed.join(known, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label"))
+
+
+def _groups(docs: DataFrame, nodes: DataFrame, counters: np.ndarray, total: int, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component): nodes that links connect share a component."""
+    placed = nodes.select("node", "n", F.col("node").alias("cluster"), F.lit(0).cast("long").alias("beyond"), F.col("node").alias("component"))
     if not total:
-        return None
+        return placed
     # leaders: for each of the least hashes the smallest node; the leader most of them name is tried
     keys = nodes.select("node", "n", F.posexplode("mins").alias("k", "least_hash"))
     leaders = keys.groupBy("k", "least_hash").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").drop("other")
-    named = keys.join(leaders, ["k", "least_hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    named = keys.join(leaders, ["k", "least_hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes")).filter("votes >= 2")
     tried = named.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    tried = cut_lineage(tried.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    found = []
-    stars = None
+    tried = scratch.table(tried.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     if not tried.isEmpty():
-        stars = cut_lineage(_overlaps(tried, docs, words).filter(_linked(percent)))
-        if not stars.isEmpty():
-            found.append(stars.select("a", "b"))
-
-    def label(edges: list[DataFrame], to: DataFrame) -> DataFrame:
-        if not edges:
-            return to.withColumn("component", F.col("node"))
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionAll(e)
-        known = components(every).select("node", F.col("label").alias("_label"))
-        return to.join(known, "node", "left").withColumn("component", F.coalesce("_label", "node")).drop("_label")
-
-    members = nodes.select("node", "n")
-    if stars is not None:
-        members = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("leader"), "overlap"), "node", "left")
-        members = members.select("node", "n", F.coalesce("leader", "node").alias("cluster"), (F.col("n") - F.coalesce("overlap", "n")).alias("beyond"))
-    else:
-        members = members.select("node", "n", F.col("node").alias("cluster"), F.lit(0).cast("long").alias("beyond"))
-    placed = cut_lineage(label(found, members))
-
-    lists = cut_lineage(_postings(docs, counters, total, words, percent).join(placed.select("node", "cluster", "component", "beyond"), "node"))
+        stars = scratch.table(_overlaps(tried, _sets(docs, _ends(tried), words, scratch), scratch).filter(_linked(percent)))
+        placed = nodes.select("node", "n", F.col("node").alias("component")).join(stars.select(F.col("a").alias("node"), F.col("b").alias("leader"), "overlap"), "node", "left")
+        placed = placed.select("node", "n", F.coalesce("leader", "node").alias("cluster"), (F.col("n") - F.coalesce("overlap", "n")).alias("beyond"), "component")
+        placed = _joined(scratch.table(placed), stars, scratch)
+
+    lists = _postings(docs, counters, total, words, percent).join(placed.select("node", "cluster", "component"), "node")
+    mixed = lambda df: df.join(df.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash"), "hash", "left_semi")
+    lists = scratch.table(mixed(lists))
+    if lists.isEmpty():
+        return placed
+    sets = _sets(docs, lists.select("node").unionAll(lists.select(F.col("cluster").alias("node"))).distinct(), words, scratch)
+
+    # a wide family of near copies soon is one component when each of its sets tries a few others: what is
+    # in one component by then needs no comparison any more
+    need = F.expr(f"{percent} * (n + m)")
+    for turn in range(TURNS):
+        near = Window.partitionBy("hash", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PARTS))).orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        ahead = F.array(*[F.struct(*[F.lead(c, k).over(near).alias(a) for c, a in (("node", "other"), ("n", "m"), ("pos", "there"), ("component", "theirs"))]) for k in range(1, TRIES + 1)])
+        step = lists.select("node", "n", "pos", "component", ahead.alias("ahead")).select("node", "n", "pos", "component", F.explode("ahead").alias("x")).select("node", "n", "pos", "component", "x.*")
+        step = step.filter((F.col("component") != F.col("theirs")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("there")) * (100 + percent) >= need))
+        step = step.groupBy("node", "other").agg(F.count("*").alias("shared")).groupBy("node").agg(F.collect_list(F.struct("shared", "other")).alias("x"))
+        step = step.select(F.col("node").alias("a"), F.explode(F.slice(F.sort_array("x", asc=False), 1, TRIES)).alias("x")).select("a", F.col("x.other").alias("b"))
+        links = scratch.table(_overlaps(step, sets, scratch).filter(_linked(percent)).select("a", "b"))
+        if not links.isEmpty():
+            placed = _joined(placed, links, scratch)
+            lists = scratch.table(mixed(lists.drop("component").join(placed.select("node", "component"), "node")))
+
     blocks = lists.groupBy("hash", "cluster").agg(F.max("component").alias("component"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("n") - F.col("pos")).alias("left"),
                                               F.max(F.col("node") != F.col("cluster")).alias("others"))
     x, y = (blocks.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("cluster", "component", "small", "large", "left", "others")]) for s in "xy")
     fits = F.expr(f"x_component < y_component AND 100 * x_large >= {percent} * y_small AND 100 * y_large >= {percent} * x_small"
                   f" AND least(x_left, y_left) * {100 + percent} >= {percent} * (x_small + y_small)")
     met = x.join(y, "hash").filter(fits).groupBy("x_cluster", "y_cluster").agg(F.max(F.col("x_others") | F.col("y_others")).alias("others"))
-    met = cut_lineage(met.select(F.col("x_cluster").alias("a"), F.col("y_cluster").alias("b"), "others"))
+    met = scratch.table(met.select(F.col("x_cluster").alias("a"), F.col("y_cluster").alias("b"), "others"))
     if met.isEmpty():
-        return found[0] if found else None
-    told = _overlaps(met, docs, words)
-    links = cut_lineage(told.filter(_linked(percent)).select("a", "b"))
-    if not links.isEmpty():
-        found.append(links)
-    rest = told.filter(~_linked(percent)).join(met, ["a", "b"]).filter("others")
-    rest = cut_lineage(rest.select("a", "b", "overlap"))
+        return placed
+    told = _overlaps(met, sets, scratch)
+    placed = _joined(placed, told.filter(_linked(percent)), scratch)
+    # members can link where leaders do not: the leaders' overlap bounds theirs
+    score = F.col("beyond") * (100 + percent) - F.col("n") * percent
+    known = placed.select("node", "n", "cluster", score.alias("score"), F.col("component").alias("now"))
+    clusters = known.groupBy("cluster").agg(F.max("score").alias("most"), F.max("now").alias("now"))
+    ca, cb = (clusters.select(F.col("cluster").alias(c), F.col("most").alias(f"{c}_most"), F.col("now").alias(f"{c}_now")) for c in "ab")
+    rest = told.filter(~_linked(percent)).join(met, ["a", "b"]).filter("others").select("a", "b", (F.col("overlap") * (100 + percent)).alias("shared"))
+    rest = scratch.table(rest.join(ca, "a").join(cb, "b").filter("a_now <> b_now AND shared + a_most + b_most >= 0"))
     if not rest.isEmpty():
-        now = label(found, placed.select("node")).select("node", F.col("component").alias("now")) if found else placed.select("node", F.col("component").alias("now"))
-        entry = lists.join(now, "node").select("hash", "node", "n", "pos", "cluster", "beyond", "now")
-        p, q = (entry.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "cluster", "beyond", "now")]) for s in "pq")
-        pairs = rest.join(p, F.col("a") == F.col("p_cluster")).join(q.withColumnRenamed("hash", "q_hash"), (F.col("hash") == F.col("q_hash")) & (F.col("b") == F.col("q_cluster")))
-        need = F.expr(f"{percent} * (p_n + q_n)")
-        could = F.expr("p_now <> q_now AND p_node <> q_node") & (F.expr(f"100 * p_n >= {percent} * q_n AND 100 * q_n >= {percent} * p_n"))
-        could = could & (F.expr(f"least(p_n - p_pos, q_n - q_pos) * {100 + percent}") >= need) & (F.expr(f"(overlap + p_beyond + q_beyond) * {100 + percent}") >= need)
-        pairs = cut_lineage(pairs.filter(could).select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).distinct())
+        p, q = (known.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "cluster", "score")]) for s in "pq")
+        pairs = rest.join(p, (F.col("a") == F.col("p_cluster")) & (F.col("shared") + F.col("p_score") + F.col("b_most") >= 0))
+        could = F.expr(f"shared + p_score + q_score >= 0 AND 100 * p_n >= {percent} * q_n AND 100 * q_n >= {percent} * p_n")
+        pairs = pairs.join(q, (F.col("b") == F.col("q_cluster")) & could)
+        pairs = scratch.table(pairs.select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).filter("a <> b").distinct())
         if not pairs.isEmpty():
-            more = cut_lineage(_overlaps(pairs, docs, words).filter(_linked(percent)).select("a", "b"))
-            if not more.isEmpty():
-                found.append(more)
-    if not found:
-        return None
-    every = found[0]
-    for e in found[1:]:
-        every = every.unionAll(e)
-    return every
+            placed = _joined(placed, _overlaps(pairs, _sets(docs, _ends(pairs), words, scratch), scratch).filter(_linked(percent)), scratch)
+    return placed
 
 
 @query("op10_ngram_jaccard_groups")
