@@ -58,7 +58,7 @@ def _words(path: str) -> WordTable:
     def core(word: bytes) -> list[int]:
         low = word.lower()
         if low not in known:
-            if len(known) > 100_000:
+            if len(known) > 200_000:
                 known.clear()
             known[low] = [t.id for t in merge(low.decode())]
         return known[low]
@@ -81,7 +81,7 @@ def _words(path: str) -> WordTable:
             out[i] = ids
         return out
 
-    return WordTable(encode, 320_000)
+    return WordTable(encode, 550_000)
 
 
 def tokenize(texts: list[str | None], vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
