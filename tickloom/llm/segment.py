@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +18,8 @@ from tickloom.llm.registry import query
 from tickloom.llm.wordtable import by_size, ragged_take
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLES = pa.schema([("doc_id", pa.int64()), ("text_crc32", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
-SAMPLES_DDL = "doc_id long, text_crc32 long, sample int, ids array<int>, logp double, perturbed double, log_inclusion double"
+SAMPLES = pa.schema([("doc_id", pa.int64()), ("text_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
+SAMPLES_DDL = "doc_id long, text_crc32 long, decoded_crc32 long, sample int, ids array<int>, logp double, perturbed double, log_inclusion double"
 
 
 @lru_cache(maxsize=2)
@@ -45,7 +46,7 @@ def encode_run(texts: list[str], keys: np.ndarray, k: int, path: str, alpha: flo
 def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to k distinct segmentations of every whole text, best perturbed value first.
 
-    Returns doc_id, text_crc32, sample (from 0), ids, logp (log probability of the segmentation given the
+    Returns doc_id, text_crc32, decoded_crc32 (of what the ids decode to), sample (from 0), ids, logp (log probability of the segmentation given the
     text), perturbed and log_inclusion (log probability of being among the k). Random numbers come from
     (seed, id) and the place in the text, so a row is the same in any partitioning. ``alpha`` sharpens or
     flattens the distribution. Texts with fewer than k segmentations give all of them; null and empty
@@ -62,7 +63,8 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, vocab
                 row, sample, logp, value, inclusion, ids, sizes = encode_run(texts, keys[done:done + len(texts)], k, path, alpha)
                 take = pa.array(row + done)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.record_batch([ids_of.take(take), crc.take(take), pa.array(sample.astype(np.int32)), lists, pa.array(logp), pa.array(value), pa.array(inclusion)], schema=SAMPLES)
+                back = pa.array([zlib.crc32(t.encode()) for t in decode_ids(ids, sizes, path)], pa.int64())
+                yield pa.record_batch([ids_of.take(take), crc.take(take), back, pa.array(sample.astype(np.int32)), lists, pa.array(logp), pa.array(value), pa.array(inclusion)], schema=SAMPLES)
                 done += len(texts)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -93,6 +95,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str | None = None,
 
 @query("op2_sampled_segmentations")
 def op2_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode(encode(table(spark, sf_dir, "documents")))
-    exact = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
+    rows = encode(table(spark, sf_dir, "documents"))
+    exact = F.col("decoded_crc32") == F.col("text_crc32")
     return rows.select("doc_id", "sample", "ids", F.size("ids").alias("n_pieces"), "logp", "perturbed", "log_inclusion", exact.alias("round_trip"))
