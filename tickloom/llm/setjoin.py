@@ -20,7 +20,7 @@ from tickloom.session import cut_lineage
 
 COUNTER_BITS, FILTER_BITS, SLICES = 20, 26, 64
 N_MINS, HOT = 4, 50_000
-TURNS, TRIES, PARTS = 3, 4, 4
+TURNS, TRIES, PARTS = 1, 6, 4
 PIECE, BLANK = 1 << 18, re.compile(rb"[ \t-\r]")
 IS_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 #: Odd multipliers that make independent orders of the hashes.
@@ -270,7 +270,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     1. Equal sets become one node. 2. Sets that share a least hash are compared with one leader each, at
     most one comparison per set; a set that links with its leader joins the leader's cluster and keeps
-    its overlap. 3. In a few turns each set tries a neighbour from its prefix lists. Then prefix lists are cut in blocks per cluster with sizes and positions; blocks of two
+    its overlap. 3. Each set tries a few neighbours from its prefix lists. Then prefix lists are cut in blocks per cluster with sizes and positions; blocks of two
     clusters in different components meet only if their size range and the places left behind the
     shared position allow a link, otherwise the block is skipped whole. 4. Leaders of such clusters are
     compared. If they link, all is said. If not, the answers for their members follow from the leaders'
