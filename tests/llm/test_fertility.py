@@ -54,3 +54,27 @@ def test_keep_good_returns_the_kept_rows(make_docs):
     docs = make_docs([(1, " ".join(f"u{i}" for i in range(50))), (1, "short"), (2, REPEAT), (None, " ".join(f"z{i}" for i in range(30)))])
     out = fertility.keep_good(docs)
     assert out.columns == docs.columns and sorted((r.doc_id or 0, len(r.text)) for r in out.collect()) == [(0, len(" ".join(f"z{i}" for i in range(30)))), (1, len(" ".join(f"u{i}" for i in range(50))))]
+
+
+def prose(i, n=40):
+    return " ".join(f"{'the and of in to it was'.split()[(i * j + j // 3) % 7]}{'able ing ed ion'.split()[(i + j) % 4]} house number{j * i % 13}" for j in range(n))
+
+
+def test_thin_cells_take_the_band_of_their_neighbours(make_docs):
+    plain = [(i, prose(i)) for i in range(120)]
+    chess = lambda n: " ".join("".join(chr(0x2654 + (i * k + i // 5 + k) % 12) for k in range(5)) for i in range(n))
+    few = [(900, chess(24)), (901, prose(7, 400)), (902, chess(200))]  # of script none, and of lengths that no other has
+    for group in ("lang", None):
+        rows = {r.doc_id: r for r in fertility.judge(make_docs(plain + few), group=group).collect()}
+        assert not rows[900].base_failed and not rows[900].kept and rows[900].reasons and rows[902].reasons
+        assert all(not r.reasons for d, r in rows.items() if d < 900)
+
+
+def test_every_cell_has_a_band(make_docs, spark):
+    rows = [("a", c, 2.0 + c / 8, 0.0, 5.0) for c in range(4, 8) for _ in range(10)] + [("b", 6, 9.0, 0.5, 1.0)] + [("c", 1, 2.0, 0.0, 5.0)]
+    cells = spark.createDataFrame(rows, "_group string, _class int, chars_per_token double, byte_share double, token_entropy double")
+    bands = {(r._group, r._class): r.band_chars_per_token for r in fertility.fit_bands(cells).collect()}
+    assert set(bands) == {(r[0], r[1]) for r in rows}
+    assert bands["a", 5] == (2.5 - 1, 2.75 + 1)  # classes 4 to 6
+    assert bands["b", 6].high < 9 and bands["b", 6] == (2.625 - 1, 2.875 + 1)  # all documents of classes 5 to 7
+    assert {tuple(x) for x in fertility.fit_bands(cells.filter("_group = 'b'")).select("band_chars_per_token.*").collect()} == {(8.0, 10.0)}

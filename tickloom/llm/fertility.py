@@ -35,6 +35,8 @@ SCRIPTS = ["none", *SCRIPT_BLOCKS]
 
 #: Metrics with the step of the grid on which quartiles are taken and the least width of a quartile range.
 METRICS = {"chars_per_token": (1 / 32, 0.25), "byte_share": (1 / 256, 0.02), "token_entropy": (1 / 32, 0.25)}
+#: Source of the bands from all documents; no group is named so.
+ALL = "*"
 SIGNALS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
            "chars_per_token double, byte_share double, token_entropy double, script string")
 
@@ -132,23 +134,49 @@ def signals(text: str | Column, vocabulary: str | None = None) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def fit_bands(measured: DataFrame, group: list[str], reach: float = 4.0, min_docs: int = 30) -> DataFrame:
-    """Rejection bands by group: quartiles of each metric, widened by ``reach`` quartile ranges.
+def _sources(cells: DataFrame, min_docs: int) -> DataFrame:
+    """(_group, _class, _source, _from): the cells whose documents give each cell its band.
+
+    A cell with fewer than ``min_docs`` documents takes in the next length classes of its group on both
+    sides, one more at a time; if the whole group has too few, the length classes of all documents (the
+    source ``*``) in the same way, and all of them at last. There is a row for each pair of length
+    classes of a group at most.
+    """
+    everything = cells.groupBy(F.col("_class").alias("_from")).agg(F.sum("docs").alias("docs"))
+    inside = cells.select("_group", F.col("_class").alias("_from"), "docs")
+    near = cells.select("_group", "_class").join(inside, "_group").withColumn("_source", F.col("_group"))
+    near = near.unionByName(cells.select("_group", "_class").crossJoin(everything).withColumn("_source", F.lit(ALL)))
+    near = near.withColumn("far", F.abs(F.col("_class") - F.col("_from"))).withColumn("all", F.col("_source") == ALL)
+    near = near.withColumn("upto", F.sum("docs").over(Window.partitionBy("_group", "_class", "all").orderBy("far").rangeBetween(Window.unboundedPreceding, 0)))
+    by, enough = Window.partitionBy("_group", "_class"), F.col("upto") >= min_docs
+    near = near.withColumn("own", F.min(F.when(enough & ~F.col("all"), F.col("far"))).over(by)).withColumn("any", F.min(F.when(enough & F.col("all"), F.col("far"))).over(by))
+    take = F.when(F.col("own").isNotNull(), ~F.col("all") & (F.col("far") <= F.col("own"))).otherwise(F.col("all") & (F.col("any").isNull() | (F.col("far") <= F.col("any"))))
+    return near.filter(take).select("_group", "_class", "_source", "_from")
+
+
+def fit_bands(measured: DataFrame, reach: float = 4.0, min_docs: int = 30) -> DataFrame:
+    """Rejection bands by _group and _class: quartiles of each metric, widened by ``reach`` quartile ranges.
 
     All measured documents count. Values are counted on a fixed grid first, so quartiles come from
-    sums that merge in any order: the same bands in every run, and no group is gathered. Groups with
-    fewer than ``min_docs`` documents say nothing about what is usual and get no band.
+    sums that merge in any order: the same bands in every run, and no group is gathered. Cells with
+    fewer than ``min_docs`` documents say little about what is usual and get the band of the nearest
+    coarser level (``_sources``), so every cell has a band.
     """
+    group = ["_group", "_class"]
     step = F.element_at(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*[F.lit(s) for s, _ in METRICS.values()])), F.col("metric"))
     least = F.element_at(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*[F.lit(w) for _, w in METRICS.values()])), F.col("metric"))
     long = measured.select(*group, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.floor(F.col(m) / s).alias("bin")) for m, (s, _) in METRICS.items()])).alias("x"))
-    bins = long.groupBy(*group, "x.metric", "x.bin").agg(F.count("*").alias("n"))
+    bins = cut_lineage(long.groupBy(*group, "x.metric", "x.bin").agg(F.count("*").alias("n")))
+    cells = bins.filter(F.col("metric") == next(iter(METRICS))).groupBy(*group).agg(F.sum("n").alias("docs"))
+    counts = bins.select(F.col("_group").alias("_source"), F.col("_class").alias("_from"), "metric", "bin", "n")
+    counts = counts.unionByName(counts.groupBy("_from", "metric", "bin").agg(F.sum("n").alias("n")).withColumn("_source", F.lit(ALL)))
+    bins = _sources(cells, min_docs).join(counts, ["_source", "_from"]).groupBy(*group, "metric", "bin").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*group, "metric")
     bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
     quarter = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) * F.max(step)
-    bands = bins.groupBy(*group, "metric").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"), F.max("total").alias("docs"), F.max(least).alias("least"))
+    bands = bins.groupBy(*group, "metric").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"), F.max(least).alias("least"))
     width = F.greatest(F.col("q3") - F.col("q1"), F.col("least")) * reach
-    bands = bands.filter(F.col("docs") >= min_docs).select(*group, "metric", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    bands = bands.select(*group, "metric", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
     return bands.groupBy(*group).agg(*[F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(f"band_{m}") for m in METRICS])
 
 
@@ -157,8 +185,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
     Bands hold per script (or per value of the column ``group``) and per doubling of the token count,
     because entropy grows with length. base_failed: fewer than 20 words, or over 30 % of the words in
-    repeated 8-word windows. kept: not base_failed and inside every band of its group; a document
-    whose group has no band is kept unless base_failed.
+    repeated 8-word windows. kept: not base_failed and inside every band of its cell; cells with few
+    documents take their bands from neighbouring lengths, the whole group or all documents.
 
     Returns doc_id, text_hash, the signals, base_failed, kept and reasons (metrics out of band). Null,
     empty and wordless texts: zeros, script none, base_failed. A null group value is a group. Repeated
@@ -169,7 +197,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     rows = rows.select("doc_id", "text_hash", "_label", "s.*")
     rows = rows.withColumn("_group", F.col("script") if group is None else F.coalesce(F.concat(F.lit("="), "_label"), F.lit(""))).drop("_label")
     rows = cut_lineage(rows.withColumn("_class", F.when(F.col("n_tokens") > 0, F.floor(F.log2("n_tokens"))).otherwise(F.lit(-1)).cast("int")))
-    bands = fit_bands(rows.filter("n_tokens > 0"), ["_group", "_class"], reach)
+    bands = fit_bands(rows.filter("n_tokens > 0"), reach)
     rows = rows.join(bands, ["_group", "_class"], "left")
     out = [F.when((F.col(m) < F.col(f"band_{m}.low")) | (F.col(m) > F.col(f"band_{m}.high")), F.lit(m)) for m in METRICS]
     rows = rows.withColumn("reasons", F.array_compact(F.array(*out)))
