@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -73,8 +74,23 @@ def test_thin_cells_take_the_band_of_their_neighbours(make_docs):
 def test_every_cell_has_a_band(make_docs, spark):
     rows = [("a", c, 2.0 + c / 8, 0.0, 5.0) for c in range(4, 8) for _ in range(10)] + [("b", 6, 9.0, 0.5, 1.0)] + [("c", 1, 2.0, 0.0, 5.0)]
     cells = spark.createDataFrame(rows, "_group string, _class int, chars_per_token double, byte_share double, token_entropy double")
-    bands = {(r._group, r._class): r.band_chars_per_token for r in fertility.fit_bands(cells).collect()}
+    bands = {(r._group, r._class): r.band_chars_per_token for r in fertility.fit_bands(cells, dict.fromkeys(fertility.METRICS, (4.0, 4.0))).collect()}
     assert set(bands) == {(r[0], r[1]) for r in rows}
     assert bands["a", 5] == (2.5 - 1, 2.75 + 1)  # classes 4 to 6
     assert bands["b", 6].high < 9 and bands["b", 6] == (2.625 - 1, 2.875 + 1)  # all documents of classes 5 to 7
-    assert {tuple(x) for x in fertility.fit_bands(cells.filter("_group = 'b'")).select("band_chars_per_token.*").collect()} == {(8.0, 10.0)}
+    assert {tuple(x) for x in fertility.fit_bands(cells.filter("_group = 'b'"), dict.fromkeys(fertility.METRICS, (4.0, 4.0))).select("band_chars_per_token.*").collect()} == {(8.0, 10.0)}
+
+
+def test_random_letters_and_encoded_data_are_rejected(spark, make_docs):
+    rng = random.Random(5)
+    text = lambda n, k, of: " ".join("".join(rng.choice(of) for _ in range(k)) for _ in range(n))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    bad = [(-i - 1, text(n, k, of)) for i, (n, k, of) in enumerate((n, k, of) for n in (50, 100, 400) for k, of in ((7, small), (12, small + small.upper() + "0123456789+/")))]
+    plain = re.compile(r"[^\W\d_][\w\s.,]*")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = [(r.doc_id, r.text) for r in docs.collect() if r.text and plain.fullmatch(r.text) and not re.search(r"[\d_]", r.text) and not r.text.isupper()]
+    rows = {r.doc_id: r for r in fertility.judge(make_docs(clean + bad)).collect()}
+    assert len(clean) > 500 and not [rows[d].reasons for d, _ in bad if rows[d].kept]
+    good = [rows[d] for d, _ in clean if not rows[d].base_failed]
+    assert not [r for r in good if not r.kept and "token_entropy" not in r.reasons]
+    assert sum(r.kept for r in good) >= 0.995 * len(good)
