@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import pytest
+
 from tickloom.llm import langid
 
 
@@ -27,3 +30,21 @@ def test_odd_rows_and_no_labels(make_docs, odd_docs, odd_rows, no_docs):
 def test_subwords_do_not_cross_words():
     bucket, n = langid.subwords(["ab", "", "a b", "AB"])
     assert n.tolist() == [2 + 3 + 2 + 1, 0, 2 + 4 + 2, 8] and sorted(bucket[:8]) == sorted(bucket[16:])
+
+
+FOREIGN = ["kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki ja omatunto",
+           "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem",
+           "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"]
+
+
+@pytest.mark.parametrize("labels", [["en"], ["en", "de"], ["en", "de", "fr", "es"]])
+def test_foreign_and_random_texts_are_rejected(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.filter(docs.lang.isin(labels))
+    _, learn, calibrate = langid.held_out()
+    model = langid.train(docs, learn, calibrate)
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k)) for _ in range(n)) for k in (5, 7, 12) for n in (20, 100)]
+    assert all(model.predict(FOREIGN + noise)[2])
+    texts = [r.text for r in docs.collect() if r.text]
+    assert sum(model.predict(texts)[2]) <= 0.01 * len(texts)

@@ -62,39 +62,57 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """``weights``: logit share of each bucket (embedding times softmax matrix); ``threshold``: least score that is not rejected."""
+    """``weights``: logit share of each bucket (embedding times softmax matrix); ``threshold``: least score that is not rejected.
+
+    ``rarity``: minus the log of each bucket's share in the fitted texts. Its mean over a text, in deviations
+    from what is usual for the named label (``usual``; ``between`` texts and ``within`` them), is the
+    strangeness of the text, which does not depend on the number of labels; above ``strangest`` it is rejected.
+    """
 
     labels: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    rarity: np.ndarray = field(default_factory=lambda: np.zeros(1 << BUCKET_BITS, np.float32))
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    between: float = 0.0
+    within: float = 1.0
+    strangest: float = np.inf
     facts: dict = field(default_factory=dict)
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, mean rarity and number of subwords of each text."""
         bucket, n = subwords(texts)
-        out = np.zeros((len(texts), len(self.labels)))
+        out, rare = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         some = n > 0
         if some.any():
             starts = (np.cumsum(n) - n)[some]
             out[some] = np.add.reduceat(self.weights[bucket], starts, axis=0, dtype=np.float64) / n[some, None]
-        return out + self.bias, some
+            rare[some] = np.add.reduceat(self.rarity[bucket], starts, dtype=np.float64) / n[some]
+        return out + self.bias, rare, n
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Label and calibrated probability of each text; ``und`` and 0 without a letter or without labels."""
-        names, scores = [], []
+    def strangeness(self, rare: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Overlapping subwords count as one of each length (``ORDERS``) for every letter."""
+        return (rare - self.usual[label]) / np.sqrt(self.between + self.within * len(ORDERS) / np.maximum(n, 1))
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, calibrated probability and rejection of each text; ``und``, 0 and rejected without a letter or without labels."""
+        names, scores, rejected = [], [], []
         for run in by_size(texts):
             if not self.labels:
                 names += [UNKNOWN] * len(run)
                 scores.append(np.zeros(len(run)))
+                rejected.append(np.ones(len(run), bool))
                 continue
-            z, _ = self.logits(run)
+            z, rare, n = self.logits(run)
             p = _softmax(z / self.temperature)
             lettered = np.array([any(map(str.isalpha, t)) for t in run])
             best = p.argmax(axis=1)
             names += [self.labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
             scores.append(np.where(lettered, p[np.arange(len(run)), best], 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+            rejected.append(~lettered | (scores[-1] < self.threshold) | (self.strangeness(rare, n, best) > self.strangest))
+        return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(rejected) if rejected else np.zeros(0, bool)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -129,13 +147,42 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def fit_rarity(model: LanguageModel, fit: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndarray, np.ndarray, int]], lose: float, least: float) -> None:
+    """Strangeness of ``model`` from (buckets, their counts, label) rows.
+
+    A bucket's share is the mean of its shares in the labels, so a label with few texts counts like the
+    others. The level loses the share ``lose`` of the ``held`` rows, but texts up to ``least`` deviations always
+    stay, since the farthest of few rows says little.
+    """
+    n_labels = len(model.labels)
+    counts = np.zeros((n_labels, 1 << BUCKET_BITS))
+    for i, n, y in fit:
+        counts[y, i] += n
+    shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+    model.rarity = -np.log(shares.mean(axis=0)).astype(np.float32)
+
+    def describe(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([n.sum() for _, n, _ in rows])
+        mean = np.array([n @ model.rarity[i] for i, n, _ in rows]) / sizes
+        square = np.array([n @ model.rarity[i] ** 2 for i, n, _ in rows]) / sizes
+        return mean, square - mean**2, sizes, np.array([y for *_, y in rows])
+
+    mean, spread, sizes, y = describe(held)
+    fit_mean, _, _, fit_y = describe(fit)
+    model.usual = np.array([mean[y == k].mean() if (y == k).any() else fit_mean[fit_y == k].mean() if (fit_y == k).any() else mean.mean() for k in range(n_labels)])
+    model.between, model.within = float(((mean - model.usual[y]) ** 2).mean()), float(max(spread.mean(), 1e-6))
+    model.strangest = float(max(least, np.quantile(model.strangeness(mean, sizes, y), 1 - lose)))
+
+
 def train(docs: DataFrame, learn: Column, calibrate: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          sample: int = 2400, lose: float = 0.001, ceiling: float = 0.4) -> LanguageModel:
+          sample: int = 2400, lose: float = 0.001, ceiling: float = 0.4, strange: float = 5.0) -> LanguageModel:
     """Fit on at most about ``sample`` labelled rows, in equal parts per label, chosen by a hash of the id.
 
     ``learn`` and ``calibrate`` select disjoint rows; only text and label are learned from. The
     temperature makes scores fit the calibration rows; a score is rejected below the level that loses
-    the share ``lose`` of the rightly named calibration rows, and never from ``ceiling`` up. The driver gets the
+    the share ``lose`` of the rightly named calibration rows, and never from ``ceiling`` up. Scores
+    say nothing about languages that were not learned, least of all with one or two labels; texts of
+    unusual subwords are rejected by ``fit_rarity``, with ``strange`` as its least level. The driver gets the
     sample as subword counts, at most 2**15 per document, and the list of labels.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("k"), calibrate.alias("c"), (learn | calibrate).alias("u"))
@@ -160,9 +207,12 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, text_col: str = "te
     at = {x: i for i, x in enumerate(labels)}
     sparse = [(k.as_py(), c.as_py(), i.values.to_numpy(), n.values.to_numpy().astype(float), at[name.as_py()]) for k, name, c, i, n in zip(*got.columns) if len(i)]
     sparse.sort(key=lambda r: (r[0], r[4], len(r[2]), r[3].sum()))
-    fit, held = ([(i, n / n.sum(), y) for _, c, i, n, y in sparse if c is flag] for flag in (False, True))
+    counted = [[(i, n, y) for _, c, i, n, y in sparse if c is flag] for flag in (False, True)]
+    fit, held = ([(i, n / n.sum(), y) for i, n, y in rows] for rows in counted)
     weights, bias = fit_sgd(fit or held, len(labels))
     model = LanguageModel(labels, weights.astype(np.float32), bias)
+    if sparse:
+        fit_rarity(model, counted[0] or counted[1], counted[1] or counted[0], lose, strange)
     if held:
         z = np.array([s @ weights[i] for i, s, _ in held]) + bias
         y = np.array([r[2] for r in held])
@@ -190,8 +240,8 @@ def predictor(model: LanguageModel, text: str | Column) -> Column:
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names, scores = model.predict(list(b))
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": [n == UNKNOWN or s < model.threshold for n, s in zip(names, scores)]})
+            names, scores, rejected = model.predict(list(b))
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejected})
 
     return run(F.col(text) if isinstance(text, str) else text)
 
