@@ -95,3 +95,15 @@ def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test-components")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(28_000)]
+    for size in (200_000, 300_000, 600_000):  # shorter and longer than a piece
+        base = " ".join([*words, "g" * size, *words[::-1]])
+        front = " ".join(f"x{i}" for i in range(4_000))
+        a, b, c = (set(setjoin.shingles(t).tolist()) for t in (base, f"{front} {base}", front))
+        assert a <= b and len(b - a) == len(c) + 4
+    one = setjoin._word_hashes(b"v" * 300_000)[0]
+    assert all((setjoin._word_hashes(b"v " * k + b"v" * 300_000)[-1] == one) for k in (1, 50_000, 131_000))

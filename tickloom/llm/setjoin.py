@@ -47,18 +47,27 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of every word of a lower-cased text, from running sums over its bytes."""
+    """64-bit hash of every word of a piece of lower-cased text; it depends on the bytes of the word alone.
+
+    Words of up to ``PIECE`` bytes come from running sums, longer ones from xxh3. In a piece of over twice
+    that only the last word reaches beyond ``PIECE``, so sums over the front are enough.
+    """
     b = np.frombuffer(data, np.uint8)
     blank = np.ones(len(b) + 2, bool)
     np.take(IS_BLANK, b, out=blank[1:-1])
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     first, last = edges[::2], edges[1::2]
-    up, down = _powers() if len(b) <= 2 * PIECE else (None, None)
-    if up is None:  # one word longer than a piece
-        return np.array([xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(first.tolist(), last.tolist())], np.uint64)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b * up[: len(b)], out=sums[1:])
-    return _mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    up, down = _powers()
+    front = b[: 2 * PIECE]
+    sums = np.zeros(len(front) + 1, np.uint64)
+    np.cumsum(front * up[: len(front)], out=sums[1:])
+    short = last - first <= PIECE
+    out = np.zeros(len(first), np.uint64)
+    at, to = first[short], last[short]
+    out[short] = _mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[first[i]:last[i]])
+    return out
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
