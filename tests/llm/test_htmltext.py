@@ -30,3 +30,22 @@ def test_query_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")
     assert sorted((tuple(r) for r in htmltext.extract(pages).collect()), key=str) == sorted([(1, "u", "a"), (1, "u", "a"), (None, None, ""), (2, "v", "")], key=str)
     assert htmltext.extract(pages.filter("false")).collect() == []
+
+
+FOREIGN = {
+    "a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g>no<text>Label</text><text x=1>two <tspan>parts</tspan></text></g></svg>b": "a Label two parts b",
+    "<p>x = <math><mi>a</mi><mo>+</mo><mn>1</mn><semantics><annotation>tex</annotation></semantics></math>.": "x = a+1.",
+    "<body><svg width=1 /><p>text": "text", "<svg><path d='M0'/><text>in</text><circle/></svg> out": "in out", "<div/>x<span/>y": "xy", "<svg><g><text>s<p>out</svg>x": "s\n\noutx",
+    "<svg><foreignObject><div>d</div><p>e</foreignObject></svg>f": "d\n\ne\n\nf", "<svg><text hidden>h</text><text><![CDATA[c < d]]></text></svg>": "c < d", "<svg/><svg/>z<math/>": "z",
+    "<head><title>T</title><b>x<p>rest": "x\n\nrest", "<head><title>T</title>\n text <i>more</i>": "text more", "<head><meta charset=u><link rel=x><style>s</style><title>T</title></head>a": "a",
+    "<head><title>T</title><svg/><body>a": "a", "<head><head>x": "x", "<svg><text display=none>n</text><text visibility=hidden>h</text><text>v</text></svg>": "v", "<html><head><script>s</script><body>a": "a",
+}
+
+
+@pytest.mark.parametrize("html", FOREIGN)
+def test_svg_math_and_unclosed_heads(html):
+    assert render(html) == FOREIGN[html]
+
+
+def test_foreign_text_survives_depth():
+    assert render("<svg>" + "<g>" * 5_000 + "<text>x</text><path/><text>y</text></svg>z").split() == ["x", "y", "z"]

@@ -16,7 +16,7 @@ from tickloom.llm.registry import query
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math noframes".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe object audio video canvas noframes".split())
 WIDE_BREAK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = WIDE_BREAK | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav option section search summary".split())
 ENDS_P = BLOCK - frozenset("caption legend option body html".split())
@@ -27,6 +27,17 @@ IMPLIED_END = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta title noscript noframes style script template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of svg and math whose content is HTML again.
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: HTML tags that end an svg or math around them.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Parts of svg and math that are not drawn, or only where something refers to them.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+#: Elements of svg in which text is drawn; elsewhere in svg text is not.
+SVG_TEXT = frozenset("text foreignobject".split())
 MAX_DEPTH = 300  # deeper elements become siblings at that depth; no text is lost
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -34,10 +45,10 @@ VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict | None = None, foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
 
 class TreeBuilder(HTMLParser):
@@ -56,12 +67,24 @@ class TreeBuilder(HTMLParser):
                 del self.open[i:]
                 return self._close_through(tags, border)
 
+    def _in_foreign(self) -> bool:
+        top = self.open[-1]
+        return top.foreign and top.tag not in HTML_INSIDE
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html":
+        if tag == "html" or (tag == "head" and len(self.open) > 1):
+            return
+        if self._in_foreign() and tag in ENDS_FOREIGN:
+            while self._in_foreign():
+                self.open.pop()
+        if self._in_foreign() or tag in FOREIGN:
+            if self.open[-1].tag == "head":
+                self.open.pop()
+            self._add(Node(tag, dict(attrs), True))
             return
         if tag in ENDS_P:
             self._close_through({"p"}, {"table", "td", "th", "button", "caption"})
-        if tag in BLOCK and self.open[-1].tag == "head":
+        if tag not in IN_HEAD and self.open[-1].tag == "head":
             self.open.pop()
         if tag in IMPLIED_END:
             self._close_through(*IMPLIED_END[tag])
@@ -80,7 +103,9 @@ class TreeBuilder(HTMLParser):
         self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs)
+        if self.open[-1].foreign and self.open[-1].tag == tag:
+            self.open.pop()  # the slash means nothing in HTML, but ends an element of svg or math
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not any(n.tag == "p" for n in self.open):
@@ -95,8 +120,14 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
+            self.open.pop()
         self.open[-1].children.append(data)
 
+    def unknown_decl(self, data: str) -> None:
+        if data.startswith("CDATA[") and self._in_foreign():
+            self.handle_data(data[6:])
+
 
 class Lines:
     """Collects text with collapsed white space and breaks; between blocks the widest wanted break holds."""
@@ -170,12 +201,16 @@ class Lines:
 def _shown(node: Node, seen: bool) -> tuple[bool, bool]:
     """Whether the element is laid out, and whether its own text is visible."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and (a.get("type") or "").lower() == "hidden"):
+    if node.tag in UNSEEN or (node.foreign and node.tag in UNDRAWN) or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and (a.get("type") or "").lower() == "hidden"):
         return False, seen
     style = a.get("style") or ""
     if NO_DISPLAY.search(style):
         return False, seen
     rule = VISIBILITY.findall(style)
+    if node.foreign:  # attributes of svg stand for style rules
+        if (a.get("display") or "").strip().lower() == "none":
+            return False, seen
+        rule = rule or ([a["visibility"].strip()] if a.get("visibility") else [])
     return True, (rule[-1].lower() not in ("hidden", "collapse") if rule else seen)
 
 
@@ -187,17 +222,24 @@ def _number(value: str | None, other: int) -> int:
     return int(value) if value and re.fullmatch(r"-?\d{1,9}", value.strip()) else other
 
 
-def _walk(node: Node, out: Lines, seen: bool, pre: bool) -> None:
+def _walk(node: Node, out: Lines, seen: bool, pre: bool, drawn: bool = True) -> None:
+    """drawn: False in svg, outside of its text."""
     number = _number(node.attrs.get("start"), 1)
     for child in node.children:
         if isinstance(child, str):
-            if seen:
+            if seen and drawn:
                 out.kept(child) if pre else out.text(child)
             continue
         laid, visible = _shown(child, seen)
         if not laid:
             continue
         tag = child.tag
+        if child.foreign:
+            apart = tag in SVG_TEXT
+            out.text(" ") if apart else None
+            _walk(child, out, visible, pre, tag != "svg" and (drawn or apart))
+            out.text(" ") if apart else None
+            continue
         if tag == "br":
             out.newline()
             continue
@@ -328,7 +370,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text: blocks on their own lines, paragraphs, headings, lists and tables between empty lines, list
     marks and numbers with nested indents, table cells in aligned columns, kept white space in pre.
-    Head, scripts, styles, templates and elements hidden by attribute or inline style give nothing; a
+    Text of svg and math shows in the line, without what they do not draw. Head, scripts, styles, templates and elements hidden by attribute or inline style give nothing; a
     visible child of a visibility:hidden parent shows. Null or empty html gives empty text; broken
     markup is closed as a browser would. Null ids and repeated rows each keep their row; empty
     table: no rows. Other columns are not read.
