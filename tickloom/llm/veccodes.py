@@ -196,7 +196,7 @@ def with_group_total(rows: DataFrame, key: str, value: str, out: str) -> DataFra
 def _sql(parts: int, n_entries: int, rounds: int) -> str:
     """The codes in SQL: components as rows, every part against every entry of its codebook."""
     steps = [
-        "kept AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        "kept AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
         f"""x AS (SELECT vec_id, j, (j * {parts}) // n AS part, CAST(floor({SCALE} * CAST(embedding[j + 1] AS DOUBLE)) AS BIGINT) AS v
             FROM (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(len(embedding))) AS j FROM kept))""",
         f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {n_entries})",
