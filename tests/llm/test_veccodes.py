@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from tickloom.llm import veccodes
+from tickloom.llm import common, veccodes
 
 VEC = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
 
@@ -61,9 +61,9 @@ def test_empty_table_and_group_totals(spark):
     coded, _ = veccodes.compress(spark.createDataFrame(ODD, VEC), 2, 2)
     rows = coded.collect()
     for few in (0, 10):
-        veccodes.FEW_LABELS, old = few, veccodes.FEW_LABELS
+        common.FEW_GROUPS, old = few, common.FEW_GROUPS
         got = veccodes.with_group_total(veccodes.cut_lineage(coded), "label", "error", "label_error").collect()
-        veccodes.FEW_LABELS = old
+        common.FEW_GROUPS = old
         assert len(got) == len(rows) and all(g.label_error == sum(r.error for r in rows if r.label == g.label) for g in got)
 
 

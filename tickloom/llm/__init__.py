@@ -7,7 +7,7 @@ import importlib
 
 from tickloom.llm.registry import ORACLES, QUERIES  # noqa: F401
 
-MODULES = ("mixing", "sharding", "merkle", "fertility", "langid", "tokenbin", "chat", "htmltext", "setjoin", "segment", "veccodes", "periodic")
+MODULES = ("mixing", "sharding", "merkle", "fertility", "langid", "tokenbin", "chat", "htmltext", "setjoin", "segment", "veccodes", "neardup", "periodic")
 
 
 def load_all() -> None:

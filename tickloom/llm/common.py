@@ -15,6 +15,8 @@ from tickloom.session import cut_lineage, shared_dir
 
 #: A word is a run of anything but space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table of at most this many groups is broadcast.
+FEW_GROUPS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,3 +122,21 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> Dat
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{s}") for s, c in sums.items()])
     return rows.join(totals, "_part").select(*df.columns, *[(F.col(f"_off_{s}") + F.col(f"_in_{s}")).alias(s) for s in sums], *[f"{s}_total" for s in sums])
+
+
+def usable(embedding: str | Column) -> Column:
+    """True for a vector without null, NaN or infinite components."""
+    v = F.col(embedding) if isinstance(embedding, str) else embedding
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & ~bad, F.lit(False))
+
+
+def with_group_total(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add the sum of ``value`` over rows with an equal key, nulls together.
+
+    ``rows`` must be cut from its lineage. Sums merge in every task first; they are broadcast where
+    their number has been counted as small, and otherwise joined by a shuffle that splits hot keys.
+    """
+    sums = cut_lineage(rows.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias(out)))
+    small = F.broadcast(sums) if sums.count() <= FEW_GROUPS else sums
+    return rows.join(small, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

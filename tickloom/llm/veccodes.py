@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import table, usable, with_group_total
 from tickloom.llm.registry import query
 from tickloom.session import cut_lineage
 
@@ -19,8 +19,6 @@ SCALE = 256
 LIMIT = 1 << 28
 #: Subtrees of at most this many distinct parts are walked as arrays; above, node by node.
 SUBTREE = 4096
-#: A table of at most this many labels is broadcast.
-FEW_LABELS = 50_000
 
 
 def part_edges(size: int, parts: int) -> list[int]:
@@ -83,13 +81,6 @@ def integer_rows(column: pa.Array, size: int) -> np.ndarray:
     return np.clip(np.floor(flat * SCALE), -LIMIT, LIMIT).astype(np.int64)
 
 
-def usable(embedding: str | Column) -> Column:
-    """True for a vector without null, NaN or infinite components."""
-    v = F.col(embedding) if isinstance(embedding, str) else embedding
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.coalesce(v.isNotNull() & ~bad, F.lit(False))
-
-
 def first_entries(rows: DataFrame, n_entries: int) -> np.ndarray:
     """Integer vectors of the smallest ids; all of the length that the first of them has. At most ``n_entries`` rows reach the driver."""
     order = [F.col("id").asc_nulls_last(), "vec", F.col("label").asc_nulls_last()]
@@ -182,17 +173,6 @@ def compress(vectors: DataFrame, parts: int = 16, n_entries: int = 64, rounds: i
     return coded, entries
 
 
-def with_group_total(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Add the sum of ``value`` over rows with an equal key, nulls together.
-
-    ``rows`` must be cut from its lineage. Sums merge in every task first; they are broadcast where
-    their number has been counted as small, and otherwise joined by a shuffle that splits hot keys.
-    """
-    sums = cut_lineage(rows.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias(out)))
-    small = F.broadcast(sums) if sums.count() <= FEW_LABELS else sums
-    return rows.join(small, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-
-
 def _sql(parts: int, n_entries: int, rounds: int) -> str:
     """The codes in SQL: components as rows, every part against every entry of its codebook."""
     steps = [
