@@ -12,6 +12,7 @@ from tickloom.operators import backtest as bt, econometrics as ec, learning as m
 from tickloom.operators.news import dedupe_headlines, dedupe_prefix
 from tickloom.sources import tables as t
 from tickloom.streaming import jobs
+from tickloom.streaming.store import TableStore
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
 
@@ -48,7 +49,7 @@ def test_dedupe_and_fallback(spark):
 def test_increment_equals_full_build(spark, tmp_path):
     b = spark.createDataFrame([("X", d, float(i)) for i, d in enumerate(D)], "symbol string, date date, close double")
     feat = lambda x: x.withColumn("m", F.avg("close").over(__import__("tickloom.operators.frames", fromlist=["Series"]).Series().back(5)))
-    store = str(tmp_path / "s")
+    store = TableStore(spark, str(tmp_path / "s"))
     upto = lambda hi: b.where(F.col("date") < F.lit(D[0] + dt.timedelta(days=hi)))
     calls = []
 
@@ -60,10 +61,10 @@ def test_increment_equals_full_build(spark, tmp_path):
         if epoch == 2:  # a batch that fails half-way leaves nothing behind and is replayed
             with pytest.raises(OSError):
                 jobs.build_increment(upto(hi), store, breaks, warmup=30, epoch=epoch)
-            assert jobs.published_epochs(spark, store) == [0, 1]
-        jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)
-        jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)  # a replay replaces itself
-    got = jobs.read_store(spark, store, "features", jobs.published_epochs(spark, store)).drop("epoch")
+            assert store.epochs() == [0, 1]
+        assert jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)
+        assert not jobs.build_increment(upto(hi), store, feat, warmup=30, epoch=epoch)  # a replay changes nothing
+    got = store.read("features")
     assert calls and got.count() == 60 and got.exceptAll(feat(b)).count() == 0
     assert mx.is_up_to_date(b, got)
 
@@ -198,9 +199,10 @@ def test_oversampling_is_one_method_at_any_size(spark):
 
 def test_prediction_upsert_versions(spark, tmp_path):
     sch = "symbol string, date date, pred_1d double, made_at int"
-    jobs.upsert_predictions(spark.createDataFrame([("X", D[0], .1, 1), ("X", D[1], .2, 1)], sch), str(tmp_path), 0)
-    path = jobs.upsert_predictions(spark.createDataFrame([("X", D[1], .3, 1), ("X", D[1], .4, 2)], sch), str(tmp_path), 1)
-    assert sorted(r["pred_1d"] for r in spark.read.parquet(path).collect()) == [.1, .4]
+    store = TableStore(spark, str(tmp_path))
+    jobs.upsert_predictions(spark.createDataFrame([("X", D[0], .1, 1), ("X", D[1], .2, 1)], sch), store, 0)
+    jobs.upsert_predictions(spark.createDataFrame([("X", D[1], .3, 1), ("X", D[1], .4, 2)], sch), store, 1)
+    assert sorted(r["pred_1d"] for r in store.read("log").collect()) == [.1, .4]
 
 
 def test_legs_and_fill_reasons(spark):

@@ -35,24 +35,29 @@ def _bars(trades: DataFrame, *keys: str) -> DataFrame:
         F.max_by("px", "tick").alias("close"), exact_sum("qty").alias("volume"))
 
 
-def _line_trades(spark, sf_dir, symbol: Column) -> DataFrame:
+def line_bars(items: DataFrame, symbol: Column) -> DataFrame:
+    """Daily bars of line items, which may be a batch of a stream."""
     px = cents(F.col("l_extendedprice") / F.col("l_quantity"))
     seq = F.col("l_orderkey").cast("decimal(20,0)") * 10 + F.col("l_linenumber").cast("decimal(20,0)")
     tick = seq.cast("decimal(26,0)") * F.lit(10**12).cast("decimal(14,0)") + F.round(px * 100).cast("decimal(14,0)")
-    return table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
+    trades = items.where("l_quantity > 0").select(
         symbol.alias("symbol"), F.to_date("l_shipdate").alias("date"), px.alias("px"),
         F.col("l_quantity").alias("qty"), tick.cast("decimal(38,0)").alias("tick"))
+    return _bars(trades, "symbol", "date")
+
+
+def supplier_symbol() -> Column:
+    return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
 
 
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: one symbol per return flag, ordered trades inside a ship date."""
-    return _bars(_line_trades(spark, sf_dir, F.col("l_returnflag")), "symbol", "date")
+    return line_bars(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"))
 
 
 def bars_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with one symbol per supplier: a wide universe that grows with the data."""
-    sym = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    return _bars(_line_trades(spark, sf_dir, sym), "symbol", "date")
+    return line_bars(table(spark, sf_dir, "lineitem"), supplier_symbol())
 
 
 def bars_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

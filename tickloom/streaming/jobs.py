@@ -1,13 +1,14 @@
 """Structured Streaming jobs: news, bars, positions, limits, book, increments.
 
-State is bounded by watermarks or by the number of keys. Batches are written under their epoch
-number, so a replayed batch overwrites itself.
+State is bounded by watermarks or by the number of keys. What a batch writes goes through a
+``TableStore``, which takes every batch exactly once.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from tickloom.operators.matrix import last_dates, merge_increment, newer_rows
 from tickloom.operators.sets import keep_one, replace_rows
 from tickloom.session import shared_dir
 from tickloom.sources.feeds import stream_news
+from tickloom.streaming.state import decide_orders
+from tickloom.streaming.store import TableStore
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema=None, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
@@ -27,6 +30,26 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema=None, fmt: s
     return (r.option("maxFilesPerTrigger", per_batch) if per_batch else r).load(folder)
 
 
+@contextmanager
+def data_batches_only(spark: SparkSession):
+    """Queries started inside end when their data do; else processing-time timers keep a bounded run going for ever."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_batches(stream: DataFrame, state: str, body: Callable[[DataFrame, int], object], mode: str = "append") -> None:
+    """Run ``body`` on everything available, batch by batch; the place in the stream is kept under ``state``."""
+    with data_batches_only(stream.sparkSession):
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, epoch: body(batch, epoch) and None)
+        q = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def drain(stream: DataFrame, mode: str, out: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
@@ -38,8 +61,7 @@ def drain(stream: DataFrame, mode: str, out: str | None = None, keep: Sequence[s
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run_batches(stream, f"{out}/state", write, mode)
     got = spark.read.schema(f"{_ddl(stream)}, epoch bigint").parquet(f"{out}/data")
     return keep_one(got, list(keep), ["epoch"], last=True).drop("epoch") if keep else got.drop("epoch")
 
@@ -72,31 +94,17 @@ def tick_bars(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minute
         F.count(F.lit(1)).cast("double").alias("volume")).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def published_epochs(spark: SparkSession, store: str) -> list[int]:
-    """Epochs of a store whose tables are complete, by the marker that is written last."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/published")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("epoch="))
-
-
-def read_store(spark: SparkSession, store: str, table: str, epochs: Sequence[int]) -> DataFrame:
-    return spark.read.parquet(*[f"{store}/{table}/epoch={e}" for e in epochs])
-
-
-def build_increment(batch_bars: DataFrame, store: str, features: Callable[[DataFrame], DataFrame], warmup: int = 400, epoch: int = 0) -> None:
+def build_increment(batch_bars: DataFrame, store: TableStore, features: Callable[[DataFrame], DataFrame], warmup: int = 400, epoch: int = 0) -> bool:
     """foreachBatch body of the daily build: recompute from warm-up rows, keep only newer rows.
 
-    ``store`` holds ``bars`` and ``features`` by epoch and a marker per epoch. Both tables of an epoch are
-    overwritten first and the marker comes last, so a batch that failed half-way is invisible and a
-    replayed batch replaces itself; earlier epochs are never touched. A read error ends the batch.
-    Symbols with nothing newer are left alone.
+    ``store`` takes ``bars`` and ``features`` of an epoch together, once: a batch that failed half-way is
+    invisible, and a batch that had been published before changes nothing (False). A read error ends the
+    batch. Symbols with nothing newer are left alone.
     """
-    spark = batch_bars.sparkSession
-    before = [e for e in published_epochs(spark, store) if e < epoch]
-    if before:
-        old, feats = (read_store(spark, store, t, before) for t in ("bars", "features"))
+    if store.is_published(epoch):
+        return False
+    old, feats = (store.read(t, before=epoch) for t in ("bars", "features"))
+    if old is not None:
         last = last_dates(feats)
         new = newer_rows(batch_bars, last)
         touched = new.groupBy("symbol").agg(F.min("date").alias("_from"))
@@ -104,9 +112,7 @@ def build_increment(batch_bars: DataFrame, store: str, features: Callable[[DataF
         fresh = newer_rows(features(merge_increment(back, new, ["symbol", "date"])), last)
     else:
         new, fresh = batch_bars, features(batch_bars)
-    new.write.mode("overwrite").parquet(f"{store}/bars/epoch={epoch}")
-    fresh.write.mode("overwrite").parquet(f"{store}/features/epoch={epoch}")
-    spark.range(1).write.mode("overwrite").parquet(f"{store}/published/epoch={epoch}")
+    return store.commit(epoch, {"bars": new, "features": fresh})
 
 
 # ---- positions and limits -------------------------------------------------------------------
@@ -122,10 +128,28 @@ def positions_now(totals: DataFrame) -> DataFrame:
     return totals.where("quantity <> 0").withColumn("avg_price", (F.col("value") / F.col("traded")).cast("decimal(38,10)"))
 
 
-def breach_alerts(positions: DataFrame, max_value: float, sent: DataFrame | None = None) -> DataFrame:
-    """Positions above a value limit that have not been reported yet."""
-    a = positions.withColumn("exposure", F.abs(F.col("quantity") * F.col("avg_price")).cast("double")).where(F.col("exposure") > max_value)
-    return a if sent is None else a.join(sent.select("symbol"), "symbol", "left_anti")
+def breach_alerts(positions: DataFrame, max_value: float) -> DataFrame:
+    """Positions above a value limit; ``state.limit_alerts`` is the form that tells each breach once."""
+    return positions.withColumn("exposure", F.abs(F.col("quantity") * F.col("avg_price")).cast("double")).where(F.col("exposure") > max_value)
+
+
+def order_decisions(store: TableStore, held: Callable[[], DataFrame], max_order: float, max_exposure: float) -> Callable[[DataFrame, int], bool]:
+    """foreachBatch body of the pre-trade check: one decision per order, each batch decided once.
+
+    A batch starts from ``held()`` (book, exposure), which is read anew for it, plus what earlier batches have
+    approved; inside the batch the exposure runs on in ``seq`` order.
+    """
+
+    def body(orders: DataFrame, epoch: int) -> bool:
+        if store.is_published(epoch):
+            return False
+        start, past = held().select("book", "exposure"), store.read("decisions", before=epoch)
+        if past is not None:
+            start = start.unionByName(past.where("reason = 'approved'").select("book", (F.col("value_cents") / 100).alias("exposure")))
+        start = start.groupBy("book").agg(F.sum("exposure").alias("exposure"))
+        return store.commit(epoch, {"decisions": decide_orders(orders, start, max_order, max_exposure)})
+
+    return body
 
 
 def book_orders(events: DataFrame) -> DataFrame:
@@ -134,15 +158,15 @@ def book_orders(events: DataFrame) -> DataFrame:
 
 # ---- predictions ----------------------------------------------------------------------------
 
-def upsert_predictions(batch: DataFrame, store: str, version: int, bars: DataFrame | None = None) -> str:
-    """Replace (symbol, date) rows of the log and fill in realised returns; each call writes a new version."""
-    spark = batch.sparkSession
+def upsert_predictions(batch: DataFrame, store: TableStore, epoch: int, bars: DataFrame | None = None) -> bool:
+    """foreachBatch body of the prediction log: newest row per (symbol, date) wins, realised returns are filled in.
+
+    The log of an epoch is a whole table that replaces the one before; an epoch is taken once.
+    """
+    if store.is_published(epoch):
+        return False
     one = keep_one(batch, ["symbol", "date"], ["made_at"], last=True).drop("made_at")
-    if version:
-        old = spark.read.parquet(f"{store}/v{version - 1}").select(*one.columns)
-        one = replace_rows(old, one, ["symbol", "date"])
-    if bars is not None:
-        one = backfill_actuals(one, bars)
-    path = f"{store}/v{version}"
-    one.write.mode("overwrite").parquet(path)
-    return path
+    old = store.read("log", before=epoch)
+    if old is not None:
+        one = replace_rows(old.select(*one.columns), one, ["symbol", "date"])
+    return store.commit(epoch, {"log": one if bars is None else backfill_actuals(one, bars)}, replaces=True)
