@@ -292,17 +292,18 @@ def prediction_upsert(spark, d):
     return replace_rows(log, new, ["symbol", "date"]).withColumn("pred_1d", F.round("pred_1d", 6))
 
 
-@query("stream_prediction_log", "R8 J17 J10", f"""{LOG_SQL.split(', d0 AS')[0]}, f AS (SELECT symbol, date, log_return AS r1, CASE WHEN count(log_return) OVER q = 5 THEN sum(log_return) OVER q END AS r5 FROM ret WINDOW q AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-p AS (SELECT {v.STATUS_SYMBOL} AS symbol, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) / 1e7 AS pred_1d, arg_max(o_totalprice, o_orderkey) / -5e6 AS pred_5d FROM orders GROUP BY 1, 2)
-SELECT p.symbol, p.date, round(pred_1d, 6) + 0.0 AS pred_1d, round(pred_5d, 6) + 0.0 AS pred_5d, round(f.r1, 6) + 0.0 AS actual_1d, round(f.r5, 6) + 0.0 AS actual_5d FROM p ASOF LEFT JOIN f ON p.symbol = f.symbol AND p.date < f.date""")
+@query("stream_prediction_log", "R8 J17 J10", f"""WITH {v.BARS}, {v.RET}, f AS (SELECT symbol, date, log_return AS r1, CASE WHEN count(log_return) OVER q = 5 THEN sum(log_return) OVER q END AS r5 FROM ret WINDOW q AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+p AS (SELECT {v.STATUS_SYMBOL} AS symbol, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) / 1e5 AS pred_1d, arg_max(o_totalprice, o_orderkey) / -1e5 AS pred_5d FROM orders GROUP BY 1, 2)
+SELECT p.symbol, p.date, round(pred_1d, 7) + 0.0 AS pred_1d, round(pred_5d, 7) + 0.0 AS pred_5d, round(f.r1, 6) + 0.0 AS actual_1d, round(f.r5, 6) + 0.0 AS actual_5d FROM p ASOF LEFT JOIN f ON p.symbol = f.symbol AND p.date < f.date""")
 def stream_prediction_log(spark, d):
     """A stream of forecasts: the newest per symbol and day stays, realised returns are filled in, each batch is taken once."""
     made = jobs.file_stream(spark, d, "orders.parquet").select(
-        t.status_symbol().alias("symbol"), F.to_date("o_orderdate").alias("date"), (F.col("o_totalprice") / 1e7).alias("pred_1d"), (F.col("o_totalprice") / -5e6).alias("pred_5d"), F.col("o_orderkey").alias("made_at"))
+        t.status_symbol().alias("symbol"), F.to_date("o_orderdate").alias("date"), (F.col("o_totalprice") / 1e5).alias("pred_1d"), (F.col("o_totalprice") / -1e5).alias("pred_5d"), F.col("o_orderkey").alias("made_at"))
     where = f"{shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
     store = TableStore(spark, f"{where}/store")
     jobs.run_batches(made, f"{where}/state", lambda batch, epoch: jobs.upsert_predictions(batch, store, epoch, ind.add_returns(t.bars_daily(spark, d))))
-    return rounded(store.read("log"), ["symbol", "date"], ["pred_1d", "pred_5d", "actual_1d", "actual_5d"])
+    log = store.read("log").withColumns({c: F.round(c, 7) for c in ("pred_1d", "pred_5d")})
+    return rounded(log, ["symbol", "date", "pred_1d", "pred_5d"], ["actual_1d", "actual_5d"])
 
 
 @query("latest_scores", "M26 F14 O8")
