@@ -172,56 +172,132 @@ def spread_zscore(sp: DataFrame, window: int = 60, s: Series = PAIR) -> DataFram
 
 # ---- conditional volatility -----------------------------------------------------------------
 
-def _variance(e2: np.ndarray, alphas: Sequence[float], beta: float, omega: float, v0: float) -> np.ndarray:
-    out = np.empty(len(e2))
-    past = np.full(len(alphas), v0)
-    prev = v0
-    for i, e in enumerate(e2):
-        prev = v0 if i == 0 else omega + float(np.dot(alphas, past)) + beta * prev
-        out[i] = prev
-        past = np.concatenate(([e], past[:-1]))
-    return out
+def linear_recurrence(x: np.ndarray, keep: float, start: float, block: int = 64) -> np.ndarray:
+    """v[0] = start, v[t] = keep * v[t - 1] + x[t], a block of rows at a time.
+
+    Inside a block v is a product with a triangle of powers of ``keep``; only one value per block is carried on.
+    """
+    n = len(x)
+    rows = np.zeros(-(-n // block) * block)
+    rows[:n] = x
+    rows[0] = start
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    inside = rows.reshape(-1, block) @ np.where(lag >= 0, float(keep) ** np.maximum(lag, 0), 0.0).T
+    carried, powers = 0.0, float(keep) ** np.arange(1, block + 1)
+    for b in inside:
+        b += powers * carried
+        carried = b[-1]
+    return inside.ravel()[:n]
+
+
+def _gauss(e2: np.ndarray, h: np.ndarray) -> float:
+    return -0.5 * float(np.sum(np.log(2 * np.pi * h) + e2 / h))
+
+
+def _nonnegative(a: np.ndarray, b: np.ndarray, x: np.ndarray, sweeps: int = 500) -> np.ndarray:
+    """Minimum of x'ax / 2 - b'x over x >= 0 by coordinate descent from ``x``."""
+    x = x.copy()
+    for _ in range(sweeps):
+        before = x.copy()
+        for k in range(len(x)):
+            x[k] = max(0.0, x[k] + (b[k] - a[k] @ x) / a[k, k]) if a[k, k] > 0 else 0.0
+        if np.abs(x - before).max() <= 1e-12 * max(np.abs(x).max(), 1e-300):
+            break
+    return x
+
+
+def fit_arch(e2: np.ndarray, q: int, rounds: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, float]:
+    """omega and q free alphas of ARCH(q), the variances and the log-likelihood, by Fisher scoring.
+
+    The scoring step is a least-squares fit of squared shocks on their lags with weights 1 / variance^2,
+    kept at alphas >= 0; it is shortened until the likelihood rises. The start is the best of some equal
+    alphas, so the fit is never below them. Shocks before the first row are the mean square.
+    """
+    v0 = float(e2.mean())
+    past = np.concatenate([np.full(q, v0), e2])
+    z = np.stack([np.ones(len(e2)), *[past[q - k:q - k + len(e2)] for k in range(1, q + 1)]], 1)
+    z[:, 1:] /= v0  # one scale for omega and alphas
+    y, least = e2 / v0, 1e-8
+
+    def at(theta):
+        h = np.maximum(z @ theta, least)
+        return -0.5 * float(np.sum(np.log(h) + y / h)), h
+
+    starts = [np.concatenate([[1 - a], np.full(q, a / q)]) for a in (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)]
+    theta = max(starts, key=lambda t: at(t)[0])
+    best, h = at(theta)
+    for _ in range(rounds):
+        w = z / (h * h)[:, None]
+        goal = _nonnegative(z.T @ w, w.T @ y, theta)
+        goal[0] = max(goal[0], least)
+        if goal[1:].sum() > 0.9999:
+            goal[1:] *= 0.9999 / goal[1:].sum()
+        step, gained = 1.0, 0.0
+        while step > 1e-6:
+            new = theta + step * (goal - theta)
+            value, hv = at(new)
+            if value > best:
+                gained, theta, best, h = value - best, new, value, hv
+                break
+            step /= 2
+        if gained < tol:
+            break
+    theta = np.concatenate([[theta[0] * v0], theta[1:]])
+    return theta, h * v0, _gauss(e2, h * v0)
+
+
+def fit_garch(e2: np.ndarray, refine: int = 3) -> tuple[float, float, float, np.ndarray, float]:
+    """omega, alpha, beta, variances and log-likelihood of GARCH(1,1) with variance targeting, on a grid that narrows ``refine`` times.
+
+    The first grid spans alpha up to 0.38 and beta up to 0.95 in steps of 0.09 and 0.175; each next one is a third as wide.
+    """
+    v0 = float(e2.mean())
+    ga, gb, wa, wb, best = 0.2, 0.6, 0.18, 0.35, None
+    for _ in range(refine):
+        for a in np.linspace(max(ga - wa, 1e-4), min(ga + wa, 0.95), 5):
+            for b in np.linspace(max(gb - wb, 0.0), min(gb + wb, 0.9999), 5):
+                if a + b < 0.9999:
+                    om = (1 - a - b) * v0
+                    shock = np.concatenate([[v0], om + a * e2[:-1]])
+                    h = np.maximum(linear_recurrence(shock, b, v0), 1e-300)
+                    ll = _gauss(e2, h)
+                    if best is None or ll > best[0]:
+                        best = (ll, a, b, h)
+        _, ga, gb, _ = best
+        wa, wb = wa / 3, wb / 3
+    ll, a, b, h = best
+    return (1 - a - b) * v0, a, b, h, ll
 
 
 def fit_volatility(returns: DataFrame, specs: Sequence[tuple[str, int, bool]], s: Series = Series(), refine: int = 3) -> DataFrame:
-    """ARCH(q) and GARCH(1,1) by a coarse-to-fine grid with variance targeting, one row per series and spec.
+    """ARCH(q) with free alphas and GARCH(1,1), one row per series and spec; ``alpha`` is the sum of the alphas.
 
-    A series is the daily rows of one symbol; series run in parallel.
+    Information criteria count the mean, omega and every alpha and beta. A series is the daily rows of
+    one symbol; series run in parallel. A series without variation gives nothing.
     """
     kinds = dict(returns.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in s.keys], "spec string, omega double, alpha double, beta double, loglik double, aic double, bic double, "
-                        "persistence double, half_life double, long_run_vol double, next_sigma double, var_95 double, cvar_95 double"])
+                        "persistence double, half_life double, long_run_vol double, next_sigma double, var_95 double, cvar_95 double, alphas array<double>"])
     order = list(s.order)
+    names = ["spec", "omega", "alpha", "beta", "loglik", "aic", "bic", "persistence", "half_life", "long_run_vol", "next_sigma", "var_95", "cvar_95", "alphas"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values(order)["log_return"].dropna().to_numpy()
+        r = r if len(r) else np.zeros(1)
         e2, v0, n = (r - r.mean()) ** 2, float(np.var(r)), len(r)
         rows = []
-
-        def loglik(a, b, q):
-            al = np.full(q, a / q)
-            v = np.maximum(_variance(e2, al, b, (1 - a - b) * v0, v0), 1e-300)
-            return -0.5 * float(np.sum(np.log(2 * np.pi * v) + e2 / v)), v
-
-        for name, q, garch in specs:
-            ga, gb, wa, wb = 0.2, 0.6 if garch else 0.0, 0.18, 0.35 if garch else 0.0
-            best = None
-            for _ in range(refine):
-                for a in np.linspace(max(ga - wa, 1e-4), min(ga + wa, 0.95), 5):
-                    for b in (np.linspace(max(gb - wb, 0.0), min(gb + wb, 0.9999), 5) if garch else (0.0,)):
-                        if a + b < 0.9999:
-                            ll, v = loglik(a, b, q)
-                            if best is None or ll > best[0]:
-                                best = (ll, a, b, v)
-                _, ga, gb, _ = best
-                wa, wb = wa / 3, wb / 3
-            ll, a, b, v = best
-            k, p, om = (4 if garch else q + 2), a + b, (1 - a - b) * v0
-            tail = e2[::-1][:q]
-            sig = math.sqrt(om + a / q * float(tail.sum()) + b * v[-1])
-            rows.append((name, om, a, b, ll, 2 * k - 2 * ll, k * math.log(n) - 2 * ll, p, math.log(0.5) / math.log(p) if 0 < p < 1 else None,
-                         math.sqrt(v0 * 252), sig, 1.6448536269514722 * sig * 100, 0.10313564037537139 / 0.05 * sig * 100))
-        out = pd.DataFrame(rows, columns=["spec", "omega", "alpha", "beta", "loglik", "aic", "bic", "persistence", "half_life", "long_run_vol", "next_sigma", "var_95", "cvar_95"])
+        for name, q, garch in specs if v0 > 1e-18 * float(np.mean(r * r)) else ():
+            if garch:
+                om, a, b, h, ll = fit_garch(e2, refine)
+                alphas, k = np.array([a]), 4
+            else:
+                theta, h, ll = fit_arch(e2, q)
+                om, alphas, b, k = float(theta[0]), theta[1:], 0.0, q + 2
+            tail = np.concatenate([e2[::-1][:q], np.full(max(0, q - n), v0)])
+            p, sig = float(alphas.sum() + b), math.sqrt(om + float(alphas @ tail) + b * h[-1])
+            rows.append((name, om, float(alphas.sum()), b, ll, 2 * k - 2 * ll, k * math.log(n) - 2 * ll, p, math.log(0.5) / math.log(p) if 0 < p < 1 else None,
+                         math.sqrt(v0 * 252), sig, 1.6448536269514722 * sig * 100, 0.10313564037537139 / 0.05 * sig * 100, alphas.tolist()))
+        out = pd.DataFrame(rows, columns=names)
         for i, k in enumerate(s.keys):
             out.insert(i, k, pdf[k].iloc[0])
         return out
@@ -229,7 +305,7 @@ def fit_volatility(returns: DataFrame, specs: Sequence[tuple[str, int, bool]], s
     return returns.groupBy(*s.keys).applyInPandas(fit, schema)
 
 
-SPECS = (("arch_1", 1, False), ("arch_2", 2, False), ("arch_5", 5, False), ("garch_1_1", 1, True))
+SPECS = (("arch_1", 1, False), ("arch_2", 2, False), ("arch_5", 5, False), ("arch_10", 10, False), ("garch_1_1", 1, True))
 
 
 def garch_path(returns: DataFrame, params: DataFrame, s: Series = Series(), block: int = 64) -> DataFrame:
@@ -273,31 +349,37 @@ def ar_orders(df: DataFrame, x: str, max_p: int = 3, s: Series = Series()) -> Da
 
 @F.pandas_udf(T.DoubleType())
 def _predict(g: pd.Series, x: pd.Series, d: pd.Series) -> pd.Series:
+    """Least-squares forecasts of a whole batch: all cross-product matrices are solved together."""
     out = np.full(len(g), np.nan)
-    for i, (flat, row, k) in enumerate(zip(g, x, d)):
-        k = int(k)
-        if flat is None or row is None or any(v is None for v in row):
-            continue
-        m = np.zeros((k + 1, k + 1))
-        m[np.triu_indices(k + 1)] = flat
-        a = m[:k, :k] + np.triu(m[:k, :k], 1).T
-        out[i] = float(np.linalg.pinv(a) @ m[:k, k] @ np.concatenate(([1.0], row)))
+    able = np.array([a is not None and b is not None and not any(v is None for v in b) for a, b in zip(g, x)], bool)
+    if able.any():
+        k = int(d.iloc[0])
+        m = np.zeros((int(able.sum()), k + 1, k + 1))
+        rows, cols = np.triu_indices(k + 1)
+        m[:, rows, cols] = np.stack(g[able].to_list())
+        a = m[:, :k, :k] + np.triu(m[:, :k, :k], 1).transpose(0, 2, 1)
+        now = np.concatenate([np.ones((len(m), 1)), np.array(x[able].to_list(), float).reshape(len(m), k - 1)], 1)
+        scale = np.sqrt(np.maximum(np.einsum("nii->ni", a), 1e-300))  # unit diagonal, so columns of any size weigh alike
+        inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+        out[able] = np.einsum("ni,nij,nj->n", now / scale, inverse, m[:, :k, k] / scale)
     return pd.Series(out)
 
 
 def expanding_forecast(df: DataFrame, y: str, xs: Sequence[str], init: int = 120, s: Series = Series(), out: str = "pred") -> DataFrame:
     """One-step forecast of y from an OLS on all earlier rows, via running cross-product sums."""
-    cols = ["_one", *xs, y]
     ok = F.lit(True)
     for c in [*xs, y]:
         ok = ok & F.col(c).isNotNull()
     d = df.withColumn("_one", F.lit(1.0)).withColumn("_ok", ok)
+    every = s.rows(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({f"_x_{c}": F.col(c) - F.first(c, ignorenulls=True).over(every) for c in xs})  # a shift changes no forecast and keeps digits
+    cols = ["_one", *[f"_x_{c}" for c in xs], y]
     before = s.rows(Window.unboundedPreceding, -1)
     sums = {f"_g{i}_{j}": F.sum(F.when(F.col("_ok"), F.col(a) * F.col(b))).over(before) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i}
     d = d.withColumns({**sums, "_seen": F.coalesce(F.sum(F.col("_ok").cast("int")).over(before), F.lit(0))})
     ready = F.when(F.col("_seen") >= init, F.array(*sums))
-    d = d.withColumn("_p", _predict(ready, F.array(*[F.col(c).cast("double") for c in xs]) if xs else F.array().cast("array<double>"), F.lit(len(xs) + 1)))
-    return d.withColumn(out, F.when(F.col("_ok"), F.when(~F.isnan("_p"), F.col("_p")))).drop("_one", "_ok", "_seen", "_p", *sums)
+    d = d.withColumn("_p", _predict(ready, F.array(*[F.col(f"_x_{c}").cast("double") for c in xs]) if xs else F.array().cast("array<double>"), F.lit(len(xs) + 1)))
+    return d.withColumn(out, F.when(F.col("_ok"), F.when(~F.isnan("_p"), F.col("_p")))).drop("_one", "_ok", "_seen", "_p", *sums, *[f"_x_{c}" for c in xs])
 
 
 def var_orders(wide: DataFrame, cols: Sequence[str], max_p: int = 3, s: Series = Series((), ("date",))) -> DataFrame:
@@ -370,19 +452,61 @@ def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_survival(a, b, c) for a, b, c in zip(x, d1, d2)])
 
 
-def granger(wide: DataFrame, effect: str, causes: Sequence[str], p: int = 1) -> DataFrame:
-    """F test per cause: the effect on its own and all lags, against leaving one cause out."""
-    cols = [effect, *causes]
-    w = Window.partitionBy(F.lit(0)).orderBy("date")
-    d = wide.withColumns({f"{c}_l{i}": F.lag(c, i).over(w) for c in cols for i in range(1, p + 1)}).dropna().withColumn("_k", F.lit(0))
-    every = [f"{c}_l{i}" for c in cols for i in range(1, p + 1)]
-    full = ols(d, ["_k"], effect, every).select("_k", F.col("fit.rss").alias("rss1"), F.col("fit.n").alias("n"))
-    out = None
-    for c in causes:
-        less = ols(d, ["_k"], effect, [x for x in every if not x.startswith(f"{c}_l")]).select("_k", F.col("fit.rss").alias("rss0"))
-        free = F.col("n") - len(every) - 1
-        f = (F.col("rss0") - F.col("rss1")) / p / (F.col("rss1") / free)
-        o = full.join(less, "_k").select(F.lit(effect).alias("effect"), F.lit(c).alias("cause"), f.alias("f_stat"),
-                                         f_sf(f, F.lit(float(p)), free.cast("double")).alias("p_value"))
-        out = o if out is None else out.unionByName(o)
-    return out
+def swept(m: np.ndarray, at: Sequence[int]) -> np.ndarray:
+    """The sweep operator on the given rows, one after the other; sweeping a row again undoes it up to sign."""
+    m = m.copy()
+    for k in at:
+        d = m[k, k]
+        row, col = m[k] / d, m[:, k].copy()
+        m -= np.outer(col, row)
+        m[k], m[:, k] = row, -col / d
+        m[k, k] = 1 / d
+    return m
+
+
+def var_granger(wide: DataFrame, cols: Sequence[str], max_p: int = 10, order: str = "date") -> DataFrame:
+    """F tests of every ordered pair in the vector autoregression whose lag count has the least BIC.
+
+    One pass sums cross-products of all series and lags, by how many lags a row has; the BIC compares lag
+    counts on the rows that have all, the chosen model uses every row that has its lags. Models with and
+    without a cause's lags come from the same matrix by sweeping. The second degree of freedom is
+    series x residual rows. One aligned series: one row per day.
+    """
+    cols, k = list(cols), len(cols)
+    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    lags = [F.coalesce(F.lag(c, p).over(w), F.lit(0.0)).alias(f"_l{p}_{i}") for p in range(1, max_p + 1) for i, c in enumerate(cols)]
+    d = wide.dropna(subset=cols).select(F.least(F.row_number().over(w) - 1, F.lit(max_p)).alias("has"), F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(cols)], *lags)
+    size = 1 + k + k * max_p
+    v = F.array("_one", *[f"_y{i}" for i in range(k)], *[f"_l{p}_{i}" for p in range(1, max_p + 1) for i in range(k)])
+    d = d.select("has", v.alias("v"))
+    triangle = F.flatten(F.transform("v", lambda x, a: F.transform(F.slice(F.col("v"), a + 1, F.lit(size) - a), lambda y: x * y)))
+    sums = d.select("has", F.posexplode(triangle).alias("at", "x")).groupBy("has", "at").agg(F.sum("x").alias("x"))
+
+    def tests(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = np.zeros((max_p + 1, size * (size + 1) // 2))
+        grams[pdf["has"], pdf["at"]] = pdf["x"]
+
+        def square(flat):
+            g = np.zeros((size, size))
+            g[np.triu_indices(size)] = flat
+            return g + np.triu(g, 1).T
+
+        full, y, bic = square(grams[max_p]), list(range(1, k + 1)), []
+        n = full[0, 0]
+        for p in range(1, max_p + 1):
+            e = swept(full, [0, *range(k + 1, k + 1 + k * p)])[np.ix_(y, y)] / n
+            bic.append(np.linalg.slogdet(e)[1] + math.log(n) * k * (1 + k * p) / n)
+        p = int(np.argmin(bic)) + 1
+        g = square(grams[p:].sum(0))
+        n, xs = int(g[0, 0]), [0, *range(k + 1, k + 1 + k * p)]
+        every, free, rows = swept(g, xs), n - 1 - k * p, []
+        for j, cause in enumerate(cols):
+            less = swept(every, [k + 1 + k * (lag - 1) + j for lag in range(1, p + 1)])  # takes the cause's lags out again
+            for i, effect in enumerate(cols):
+                if i != j:
+                    f = (less[i + 1, i + 1] - every[i + 1, i + 1]) / p / (every[i + 1, i + 1] / free)
+                    prob = f_survival(f, p, k * free)
+                    rows.append((effect, cause, p, n, f, prob, prob < 0.05))
+        return pd.DataFrame(rows, columns=["effect", "cause", "p", "n", "f_stat", "p_value", "causes"])
+
+    return sums.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(tests, "effect string, cause string, p int, n long, f_stat double, p_value double, causes boolean")

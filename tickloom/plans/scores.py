@@ -44,6 +44,6 @@ def tuned_ridge(spark, d):
 @query("garch_vs_realized", "E12")
 def garch_vs_realized(spark, d):
     r = base(spark, d).select("symbol", "date", "log_return", "realized_vol_20d")
-    par = ec.fit_volatility(r.select("symbol", "date", "log_return"), (("garch_1_1", 1, True),), refine=2)
+    par = ec.fit_volatility(r.select("symbol", "date", "log_return"), (("garch_1_1", 1, True),))
     p = ec.garch_path(r, par).withColumn("garch_vol", F.sqrt(F.col("sigma2") * 252))
     return p.groupBy("symbol").agg(F.round(pair_corr(F.col("garch_vol"), F.col("realized_vol_20d")), 5).alias("corr"), F.count(F.lit(1)).alias("n"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import econometrics as ec, indicators as ind, matrix as mx, stats as st
+from tickloom.operators import econometrics as ec, indicators as ind, learning as ml, matrix as mx, stats as st
 from tickloom.operators.frames import Series
 from tickloom.plans import views_sql as v
 from tickloom.plans.features import A
 from tickloom.plans.registry import query, rounded, sql_rounded
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as t
 
 KEY = ["symbol", "date"]
@@ -229,8 +231,9 @@ def aligned_prices(spark, d):
 
 @query("garch_models", "E10 E11")
 def garch_models(spark, d):
+    """ARCH(1, 2, 5, 10) with free alphas and GARCH(1,1) for every symbol."""
     f = ec.fit_volatility(rets(spark, d).select("symbol", "date", "log_return"), ec.SPECS)
-    return rounded(f, ["symbol", "spec"], [c for c in f.columns if c not in ("symbol", "spec")], 6)
+    return rounded(f.drop("alphas"), ["symbol", "spec"], [c for c in f.columns if c not in ("symbol", "spec", "alphas")], 6)
 
 
 @query("ar_order_selection", "E14")
@@ -240,26 +243,45 @@ def ar_order_selection(spark, d):
 
 @query("expanding_ar_forecast", "E13")
 def expanding_ar_forecast(spark, d):
-    """Walk-forward one-step forecasts: past mean against AR(2), scored per symbol."""
-    x, names = ec.lagged(rets(spark, d).where("log_return is not null"), "log_return", 2)
-    x = ec.expanding_forecast(x, "log_return", names, out="ar")
-    s = Series()
-    x = x.withColumn("naive", F.avg("log_return").over(s.rows(-(1 << 30), -1))).where("ar is not null")
-    one = lambda m: x.select("symbol", F.lit(m).alias("model"), (F.col(m) - F.col("log_return")).alias("e"), (F.signum(m) == F.signum("log_return")).alias("hit"))
-    g = one("naive").unionByName(one("ar")).groupBy("symbol", "model").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg(F.col("hit").cast("double")).alias("dir_acc"))
-    return rounded(g, ["symbol", "model"], ["rmse", "mae", "dir_acc"], 5)
-
+    """Walk-forward one-step forecasts per symbol: past mean, AR, AR + index change, AR + index change + benchmark return.
 
-def wide_returns(spark, d):
+    The order, 1 to 3, is the one with the least AIC on the first 120 rows of the symbol.
+    """
+    s = Series()
+    b = t.bars_benchmark(spark, d)
+    w = Window.orderBy("date")  # one row per calendar day
+    b = b.select("date", (F.col("close") / 1000 - F.lag("close").over(w) / 1000).alias("d_index"), F.log(F.col("close") / F.lag("close").over(w)).alias("bench"))
+    x = rets(spark, d).where("log_return is not null").join(b, "date").where("d_index is not null").select("symbol", "date", "log_return", "d_index", "bench")
+    x = cut_lineage(ml.number(x))
+    first = ec.ar_orders(x.where(F.col("rn") < ml.INIT_TRAIN), "log_return").groupBy("symbol").agg(F.min_by("p", "aic").alias("order"))
+    x, names = ec.lagged(x, "log_return", 3)
+    x = x.join(first, "symbol").withColumns({n: F.when(F.col("order") >= k, F.col(n)).otherwise(0.0) for k, n in enumerate(names, 1)})
+    models = {"ar": names, "ar_index": [*names, "d_index"], "ar_index_bench": [*names, "d_index", "bench"]}
+    for m, xs in models.items():
+        x = ec.expanding_forecast(x, "log_return", xs, out=m)
+    x = x.withColumn("naive", F.avg("log_return").over(s.rows(-(1 << 30), -1))).where("ar is not null and ar_index is not null and ar_index_bench is not null")
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("naive", *models)]))
+    long = x.select("symbol", "order", "log_return", one.alias("m")).select("symbol", "order", F.col("m.model").alias("model"), "log_return", F.col("m.p").alias("p"))
+    g = ml.regression_metrics(long, "log_return", "p", ["symbol", "order", "model"])
+    return rounded(g, ["symbol", "order", "model", "n"], ["rmse", "mae", "dir_acc", "ic"], 5)
+
+
+def wide_returns(spark, d, most: int = 12):
+    """Percent returns with a column per symbol of the table, days with all of them; a joint model takes ``most`` symbols at most."""
     r = rets(spark, d).where("log_return is not null").withColumn("log_return", F.col("log_return") * 100)
-    return r.groupBy("date").pivot("symbol", ["A", "N", "R"]).agg(F.first("log_return")).dropna()
+    names = sorted(x["symbol"] for x in r.select("symbol").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} symbols for one joint model")
+    return r.groupBy("date").pivot("symbol", names).agg(F.first("log_return")).dropna()
 
 
 @query("var_lag_table", "E15")
 def var_lag_table(spark, d):
-    return rounded(ec.var_orders(wide_returns(spark, d), ["A", "N", "R"], 10), ["p", "n"], ["aic", "bic", "hqic", "fpe"], 5)
+    return rounded(ec.var_orders(w := wide_returns(spark, d), [c for c in w.columns if c != "date"], 10), ["p", "n"], ["aic", "bic", "hqic", "fpe"], 5)
 
 
-@query("granger_causality", "E16")
+@query("granger_causality", "E15 E16")
 def granger_causality(spark, d):
-    return rounded(ec.granger(wide_returns(spark, d), "A", ["N", "R"]), ["effect", "cause"], ["f_stat", "p_value"], 5)
+    """F tests of every ordered pair of symbols at the lag count with the least BIC."""
+    w = wide_returns(spark, d)
+    return rounded(ec.var_granger(w, [c for c in w.columns if c != "date"]), ["effect", "cause", "p", "n", "causes"], ["f_stat", "p_value"], 5)
