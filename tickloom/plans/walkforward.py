@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import foldfits as ff, indicators as ind, learning as ml, matrix as mx, stats as st
+from tickloom.operators import calibration as cb, foldfits as ff, indicators as ind, learning as ml, matrix as mx, stats as st
 from tickloom.plans import views_sql as v
 from tickloom.plans.registry import query, rounded
 from tickloom.plans.statistics import TARGET_SQL, labelled
@@ -72,3 +72,23 @@ def one_vs_rest_auc(spark, d):
     x = labelled(spark, d).where("log_return is not null").withColumn("r", F.round("log_return", 3))
     x = x.withColumns({"up": F.col("r"), "down": -F.col("r"), "flat": -F.abs("r")})
     return rounded(ff.one_vs_rest_auc(x, "target_dir_1d", {1: "up", 0: "flat", -1: "down"}, ["symbol"]), ["symbol", "classes"], ["roc_auc_ovr"])
+
+
+@query("calibrated_classifiers", "M15 M13 M9")
+def calibrated_classifiers(spark, d):
+    """Class probabilities of balanced, calibrated margin classifiers on the holdout days: Brier score, log loss and areas per symbol and target."""
+    x, features = daily_features(spark, d)
+    x = cut_lineage(ml.number_dates(x))
+    cut = F.col("n_rows") - ml.HOLDOUT
+    out = None
+    for target, classes in (("target_large_move", (0, 1)), ("target_dir_1d", (-1, 0, 1))):
+        p = cut_lineage(cb.calibrated_svc(x.where(F.col("rn") < cut - ml.embargo_of(target)), x.where(F.col("rn") >= cut), features, target, classes))
+        p = p.where(F.col(target).isNotNull())
+        brier = sum((F.pow(F.col(f"p_{i}") - (F.col(target) == c).cast("double"), 2) for i, c in enumerate(classes)), F.lit(0.0))
+        true = sum((F.when(F.col(target) == c, F.col(f"p_{i}")).otherwise(0.0) for i, c in enumerate(classes)), F.lit(0.0))
+        g = p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(brier).alias("brier"), F.avg(-F.log(F.greatest(true, F.lit(1e-15)))).alias("log_loss"))
+        auc = ff.one_vs_rest_auc(p, target, {c: f"p_{i}" for i, c in enumerate(classes)}, ["symbol"]).select("symbol", "roc_auc_ovr")
+        ap = ff.ranking_areas(p, target, f"p_{len(classes) - 1}", ["symbol"]).select("symbol", "pr_auc")
+        g = g.join(auc, "symbol", "left").join(ap, "symbol", "left").withColumn("target", F.lit(target))
+        out = g if out is None else out.unionByName(g)
+    return rounded(out, ["symbol", "target", "n"], ["brier", "log_loss", "roc_auc_ovr", "pr_auc"])
