@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from tickloom.plans import views_sql as v
 from tickloom.plans.features import index_returns
 from tickloom.plans.inputs import _daily, _fund
 from tickloom.plans.registry import query, rounded, sql_rounded
-from tickloom.session import cut_lineage
-from tickloom.sources import tables as t
+from tickloom.session import cut_lineage, shared_dir
+from tickloom.sources import history as hs, tables as t
 
 A = math.sqrt(252.0)
 
@@ -153,3 +154,17 @@ def clean_matrix(spark, d):
     """The matrix with dead and constant columns dropped, slow columns carried and medians filled."""
     x = cut_lineage(feature_matrix_frame(spark, d))
     return mx.clean(x, [c for c in x.columns if c.startswith(("fund_", "news_", "insdr_")) and c != "fund_quarter_end"])
+
+
+@query("stage_store", "S15 S19 S3", f"""WITH {v.BARS}, b AS (SELECT symbol, date, CASE WHEN symbol = 'A' AND date_trunc('month', date) = DATE '1998-03-01' THEN close + 1 ELSE close END AS close FROM bars),
+l AS (SELECT symbol, max(date) AS last FROM b GROUP BY 1) SELECT symbol, date, round(close, 4) AS close FROM b JOIN l USING (symbol) WHERE date BETWEEN last - 30 - 400 AND last""")
+def stage_store(spark, d):
+    """A stage in partitions per symbol and month; one month of one symbol is replaced; the last 30 days are read with their warm-up."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    bars = t.bars_daily(spark, d).select("symbol", "date", "close")
+    hs.export(bars, path)
+    fixed = bars.where("symbol = 'A' and trunc(date, 'month') = date'1998-03-01'").withColumn("close", F.col("close") + 1)
+    hs.export(fixed, path)
+    stored = hs.read_export(spark, path, "symbol string, date date, close double, month date")
+    wanted = cut_lineage(bars.groupBy("symbol").agg(F.date_sub(F.max("date"), 30).alias("first"), F.max("date").alias("last")))
+    return hs.warm_rows(stored, wanted).select("symbol", "date", F.round("close", 4).alias("close"))
