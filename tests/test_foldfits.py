@@ -83,6 +83,19 @@ def test_walk_forward_table_and_frequency(spark):
     assert {r["symbol"] for r in out} == {"A"}
 
 
+def test_latest_forecasts_equal_direct_fits(spark):
+    x, y = sample(5, 150, 11)
+    names = [f"f{i}" for i in range(11)]
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), *[None if np.isnan(v) else float(v) for v in x[i]], None if i > 144 else float(y[i])) for i in range(150)]
+    rows += [("B", r[1], *r[2:]) for r in rows[:5]]
+    df = spark.createDataFrame(rows, "symbol string, date date, " + ", ".join(f"{n} double" for n in names) + ", target_5d double").repartition(2)
+    got = {r["model"]: r for r in ff.latest_forecasts(df, names, ["target_5d"]).collect()}
+    both = np.concatenate([x[:145], x[149:]])
+    _, _, ridge, net = direct(both, y[:145], 145, 145, 146)
+    assert set(got) == {"ridge", "elasticnet"} and got["ridge"]["symbol"] == "A" and got["ridge"]["date"] == rows[149][1] and got["ridge"]["n_train"] == 145
+    assert got["ridge"]["value"] == pytest.approx(ridge[0], abs=1e-8) and got["elasticnet"]["value"] == pytest.approx(net[0], abs=1e-6)
+
+
 def ff_schema(spark, df):
     return f"symbol string, {ff.ROWS}"
 

@@ -183,6 +183,34 @@ def linear_walk_forward(df: DataFrame, features: Sequence[str], targets: Sequenc
     return df.select(key, "date", *features, *targets).groupBy(key).applyInArrow(run, f"{key} {kind}, {ROWS}")
 
 
+def latest_forecasts(df: DataFrame, features: Sequence[str], targets: Sequence[str], key: str = "symbol") -> DataFrame:
+    """(key, date, target, model, n_train, value) of every series' newest row, from all its rows that have the target.
+
+    Screening and fits are those of the walk-forward, on one fold that ends with the last labelled row. A series with fewer labelled rows
+    than FALLBACK has no forecast for that target.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("date")
+        x = np.stack([np.asarray(t[c].cast(pa.float64()).fill_null(float("nan"))) for c in features], 1)
+        x, out = np.where(np.isfinite(x), x, np.nan), []
+        for target in targets:
+            y = np.asarray(t[target].cast(pa.float64()).fill_null(float("nan")))
+            at = np.flatnonzero(~np.isnan(y))
+            if len(at) < FALLBACK:
+                continue
+            both = np.concatenate([x[at], x[-1:]])  # the newest row is the one validation row
+            _, _, preds = fit_series(both, np.append(y[at], 0.0), [(0, len(at), len(at), len(at) + 1)])
+            out += [(target, m, len(at), float(v[0][0])) for m, v in preds.items()]
+        names, models, n, values = zip(*out) if out else ((), (), (), ())
+        size = len(out)
+        return pa.table({key: pa.array([t[key][0].as_py()] * size, t.schema.field(key).type), "date": pa.array([t["date"][-1].as_py()] * size, pa.date32()), "target": pa.array(names, pa.string()),
+                         "model": pa.array(models, pa.string()), "n_train": pa.array(n, pa.int64()), "value": pa.array(values, pa.float64())})
+
+    return df.select(key, "date", *features, *targets).groupBy(key).applyInArrow(run, f"{key} {kind}, date date, target string, model string, n_train long, value double")
+
+
 def selection_frequency(rows: DataFrame, keys: Sequence[str] = ("symbol", "target")) -> DataFrame:
     """In how many folds (holdout not counted) each feature was selected, and its share of the folds."""
     cv = rows.where("fold >= 0")

@@ -52,6 +52,16 @@ def linear_cv_summary(spark, d):
     return rounded(g.join(best, ["symbol", "target"]), ["symbol", "target", "model", "folds", "best_model"], [f"{c}_{k}" for c in names for k in ("mean", "std")])
 
 
+@query("latest_linear_scores", "M26 F14")
+def latest_linear_scores(spark, d):
+    """Forecasts of all six targets on the newest row of every symbol, with the signal of the five-day forecast."""
+    x, features = daily_features(spark, d)
+    f = ff.latest_forecasts(x, features, mx.TARGETS).where("model = 'ridge'")
+    g = f.groupBy("symbol", "date").agg(*[F.max(F.when(F.col("target") == tg, F.col("value"))).alias(f"pred_{tg[7:]}") for tg in mx.TARGETS])
+    sig, conf = ml.signal_of(F.col("pred_5d"), F.col("pred_vol_5d"))
+    return rounded(g.withColumns({"signal": sig, "confidence": conf}), ["symbol", "date", "signal", "confidence"], [f"pred_{tg[7:]}" for tg in mx.TARGETS])
+
+
 @query("ranking_areas", "M9", f"""WITH {TARGET_SQL}, p AS (SELECT symbol, target_large_move AS y, round(abs(log_return), 2) AS s FROM targets WHERE log_return IS NOT NULL),
 g AS (SELECT symbol, s, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM p GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY symbol ORDER BY s DESC))
