@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import calibration as cb, foldfits as ff, indicators as ind, learning as ml, matrix as mx, stats as st
+from tickloom.operators import calibration as cb, factors as fa, foldfits as ff, indicators as ind, learning as ml, matrix as mx, stats as st
 from tickloom.plans import views_sql as v
 from tickloom.plans.registry import query, rounded
 from tickloom.plans.statistics import TARGET_SQL, labelled
@@ -62,6 +62,14 @@ def latest_linear_scores(spark, d):
     return rounded(g.withColumns({"signal": sig, "confidence": conf}), ["symbol", "date", "signal", "confidence"], [f"pred_{tg[7:]}" for tg in mx.TARGETS])
 
 
+@query("pca_table", "M7")
+def pca_table(spark, d):
+    """Variance shares, the numbers of components for 90 and 95 %, and all loadings, from the days before the holdout."""
+    x, features = daily_features(spark, d)
+    train = ml.number_dates(x).where(F.col("rn") < F.col("n_rows") - ml.HOLDOUT)
+    return rounded(fa.pca_report(x, features, cut_lineage(train)), ["component", "n_90", "n_95", "feature"], ["variance_share", "cumulative", "loading"], 5)
+
+
 @query("ranking_areas", "M9", f"""WITH {TARGET_SQL}, p AS (SELECT symbol, target_large_move AS y, round(abs(log_return), 2) AS s FROM targets WHERE log_return IS NOT NULL),
 g AS (SELECT symbol, s, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM p GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY symbol ORDER BY s DESC))
