@@ -51,6 +51,10 @@ class Node:
         self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
 
+#: Marked sections that the parser reads to their own end; any other is a comment up to the next >.
+_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
+
+
 class TreeBuilder(HTMLParser):
     """Builds a tree of Nodes and strings; end tags without a start are passed over, open elements end with the page."""
 
@@ -124,6 +128,11 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i) and not _SECTION.match(self.rawdata, i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def unknown_decl(self, data: str) -> None:
         if data.startswith("CDATA[") and self._in_foreign():
             self.handle_data(data[6:])
@@ -315,7 +324,7 @@ def _table(node: Node, seen: bool) -> list[str]:
             while held.get(col, 0) > 0:
                 col += 1
             row[col] = _cell(x, shown)
-            across, down = (min(max(_number(x.attrs.get(k), 1), 1), 1000) for k in ("colspan", "rowspan"))
+            across, down = (min(max(_number(x.attrs.get(k), 1), 1), most) for k, most in (("colspan", 1000), ("rowspan", 65534)))
             for c in range(col, col + across):
                 held[c] = max(held.get(c, 0), down)
             col += across
