@@ -31,9 +31,3 @@ def market_open(ts: Column) -> Column:
     local = F.from_utc_timestamp(ts, "America/New_York")
     minute = F.hour(local) * 60 + F.minute(local)
     return F.dayofweek(local).between(2, 6) & (minute >= 570) & (minute < 960)
-
-
-def parse_compact(text: Column) -> Column:
-    """``YYYYMMDDTHHMMSS`` text to a zone-free timestamp; bad text is null."""
-    return F.expr("try_to_timestamp({}, \"yyyyMMdd'T'HHmmss\")".format(text)) if isinstance(text, str) else \
-        F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")

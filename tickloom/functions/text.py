@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import clip, col
+from tickloom.functions.numeric import col
 
 # Score of each sentiment word.
 LABEL_SCORES = {"positive": 1.0, "negative": -1.0, "neutral": 0.0, "bullish": 1.0, "bearish": -1.0}
@@ -28,10 +28,6 @@ def score_0_100(score) -> Column:
     return (col(score) + 1) * 50
 
 
-def insider_score_0_100(ratio) -> Column:
-    return clip(50 + col(ratio) * 50, 0, 100)
-
-
 def is_buy(text) -> Column:
     return F.lower(F.coalesce(col(text), F.lit(""))).rlike(BUY_WORDS)
 
@@ -44,10 +40,6 @@ def headline_key(headline, n: int = 80) -> Column:
     return F.lower(F.substring(col(headline), 1, n))
 
 
-def pad2(x) -> Column:
-    return F.lpad(col(x).cast("string"), 2, "0")
-
-
 NO_VALUE = "\u2014"
 
 
@@ -68,11 +60,6 @@ def money_text(x) -> Column:
     return _scaled(x, "$", "", F.format_string("$%,.0f", x))
 
 
-def number_text(x, suffix: str = "") -> Column:
-    x = col(x)
-    return _scaled(x, "", suffix, F.format_string(f"%.0f{suffix}", x))
-
-
 def percent_text(x, decimals: int = 1) -> Column:
     """Percent text; values below 1 are taken as fractions."""
     x = col(x)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import calibration as cb, factors as fa, foldfits as ff, indicators as ind, learning as ml, matrix as mx, stats as st
-from tickloom.plans import views_sql as v
 from tickloom.plans.registry import query, rounded
 from tickloom.plans.statistics import TARGET_SQL, labelled
 from tickloom.session import cut_lineage
