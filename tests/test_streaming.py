@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.plans.live import stream_news_feed
 from tickloom.streaming import jobs, state
 from tickloom.streaming.store import TableStore, exactly_once
 
@@ -42,6 +43,21 @@ def landed(spark, rows, schema, folder, parts, key="seq"):
     return jobs.file_stream(spark, folder, "*.parquet", schema=spark.createDataFrame([], schema).schema, per_batch=1)
 
 
+def test_stream_of_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    for part in ((0, 25), (25, 50)):
+        spark.range(*part).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.range(5).selectExpr("cast(id AS int) AS r_regionkey").coalesce(1).write.parquet(f"{tmp_path}/region.parquet")
+    got = [tuple(r) for r in stream_news_feed(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(i, "AN"[i % 3]) for i in range(50) if i % 5 and i % 3 < 2]
+    only_one = jobs.file_stream(spark, str(tmp_path), "region.parquet", per_batch=1)
+    assert jobs.drain(only_one, "append").count() == 5
+
+
+def test_stream_without_files_gives_no_rows(spark, tmp_path):
+    got = jobs.drain(jobs.file_stream(spark, str(tmp_path), "*.parquet", schema="a int, b string"), "append")
+    assert got.columns == ["a", "b"] and got.count() == 0
+
+
 def test_running_position_equals_loop():
     rng = np.random.default_rng(1)
     for _ in range(200):

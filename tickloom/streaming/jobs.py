@@ -24,10 +24,22 @@ from tickloom.streaming.store import TableStore
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema=None, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
-    """Stream over landed files matching ``name``; the schema comes from the files when not given."""
-    schema = schema or spark.read.format(fmt).load(f"{folder.rstrip('/')}/{name}").schema
-    r = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", name)
-    return (r.option("maxFilesPerTrigger", per_batch) if per_batch else r).load(folder)
+    """Stream over landed files matching ``name``, or over all files of the table folder ``name``; the schema comes from the files when not given."""
+    at = f"{folder.rstrip('/')}/{name}"
+    schema = schema or spark.read.format(fmt).load(at).schema
+    r = spark.readStream.schema(schema).format(fmt)
+    r = r.option("maxFilesPerTrigger", per_batch) if per_batch else r
+    return r.load(at) if _is_folder(spark, at) else r.option("pathGlobFilter", name).load(folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
 
 
 @contextmanager
@@ -53,7 +65,7 @@ def run_batches(stream: DataFrame, state: str, body: Callable[[DataFrame, int],
 def drain(stream: DataFrame, mode: str, out: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
-    In update mode the last written row per ``keep`` key is the current state.
+    In update mode the last written row per ``keep`` key is the current state. A stream without any file gives no rows.
     """
     spark = stream.sparkSession
     out = out or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -62,6 +74,8 @@ def drain(stream: DataFrame, mode: str, out: str | None = None, keep: Sequence[s
         batch.write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
 
     run_batches(stream, f"{out}/state", write, mode)
+    if not _is_folder(spark, f"{out}/data"):
+        return spark.createDataFrame([], stream.schema)
     got = spark.read.schema(f"{_ddl(stream)}, epoch bigint").parquet(f"{out}/data")
     return keep_one(got, list(keep), ["epoch"], last=True).drop("epoch") if keep else got.drop("epoch")
 
