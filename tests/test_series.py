@@ -11,6 +11,8 @@ from tickloom.functions.numeric import clip, norm_cdf, safe_div
 from tickloom.operators import indicators as ind
 from tickloom.operators.asof import align_to_spine, asof_join, asof_nearest, event_distance
 from tickloom.operators.frames import Ewm, Series, add_ewm, average_rank, number_rows, with_halo
+from tickloom.plans import features
+from tickloom.sources import tables
 
 S = Series()
 
@@ -139,3 +141,18 @@ def test_scalars(spark):
         assert abs(g[0] - 0.5 * math.erfc(-x / math.sqrt(2))) < 1e-14
     r = spark.createDataFrame([("s", v) for v in (3.0, 1.0, 3.0, None)], "k string, v double").withColumn("r", average_rank("v", ["k"])).orderBy("v").collect()
     assert [x["r"] for x in r] == [None, 1.0, 2.5, 2.5]
+
+
+def test_universe_is_dealt_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    items = spark.range(4000).selectExpr(
+        "id AS l_orderkey", "cast(1 AS int) AS l_linenumber", "id % 200 AS l_suppkey", "double(1 + id % 7) AS l_quantity",
+        "double(100 + id % 13) AS l_extendedprice", "cast(date_add(date'2024-01-01', cast(id div 200 AS int)) AS timestamp) AS l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = tables.series_universe(spark, str(tmp_path))
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(parts) > 20 and max(r["n"] for r in parts) <= 250 and sum(r["n"] for r in parts) == 4000
+    assert dealt.select("symbol", F.spark_partition_id()).distinct().count() == 200
+    got = sorted(map(tuple, features.universe_technicals(spark, str(tmp_path)).collect()), key=str)
+    monkeypatch.setattr(tables, "PART_ROWS", 250_000)
+    assert got == sorted(map(tuple, features.universe_technicals(spark, str(tmp_path)).collect()), key=str) and len(got) == 4000

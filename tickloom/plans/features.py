@@ -99,7 +99,7 @@ def latest_snapshot(spark, d):
 x AS (SELECT *, {v.gate('avg(close)', 'close', 20)} AS sma_20 FROM smooth)
 SELECT {sql_rounded(KEY, ['sma_20', 'ema_20', 'rsi_14', 'macd_hist'], 4)} FROM x""")
 def universe_technicals(spark, d):
-    return rounded(ind.technicals(t.bars_universe(spark, d)), KEY, ["sma_20", "ema_20", "rsi_14", "macd_hist"], 4)
+    return rounded(ind.technicals(t.series_universe(spark, d)), KEY, ["sma_20", "ema_20", "rsi_14", "macd_hist"], 4)
 
 
 _DER = ["price_to_sma20", "price_to_sma50", "price_to_sma200", "bb_pct", "volume_zscore", "high_low_range", "overnight_gap"]

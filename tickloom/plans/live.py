@@ -116,11 +116,15 @@ def stream_order_checks(spark, d):
 @query("stream_daily_build", "R3", f"WITH {v.UNIVERSE} SELECT symbol, date, round(close, 4) AS close, round(avg(close) OVER w, 6) + 0.0 AS sma_20 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def stream_daily_build(spark, d):
     """The daily build as a stream: landed line items to bars and features, each batch taken once."""
-    feat = lambda b: b.select("symbol", "date", "close", F.avg("close").over(Series().back(20)).alias("sma_20"))
+    def build(batch, epoch):
+        parts = t.parts_of(batch)
+        feat = lambda b: b.repartition(parts, "symbol").select("symbol", "date", "close", F.avg("close").over(Series().back(20)).alias("sma_20"))
+        return jobs.build_increment(t.line_bars(batch, t.supplier_symbol(), parts), store, feat, epoch=epoch)
+
     where = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     store = TableStore(spark, f"{where}/store")
     landed = jobs.file_stream(spark, d, "lineitem.parquet")
-    jobs.run_batches(landed, f"{where}/state", lambda batch, epoch: jobs.build_increment(t.line_bars(batch, t.supplier_symbol()), store, feat, epoch=epoch))
+    jobs.run_batches(landed, f"{where}/state", build)
     return store.read("features").select("symbol", "date", F.round("close", 4).alias("close"), F.round("sma_20", 6).alias("sma_20"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tickloom.operators.frames import fence
 
 MONEY = "decimal(18,2)"
+#: Rows of one part of a table with many symbols: what a task sorts stays the same when the table grows.
+PART_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +37,24 @@ def _bars(trades: DataFrame, *keys: str) -> DataFrame:
         F.max_by("px", "tick").alias("close"), exact_sum("qty").alias("volume"))
 
 
-def line_bars(items: DataFrame, symbol: Column) -> DataFrame:
-    """Daily bars of line items, which may be a batch of a stream."""
+def parts_of(rows: DataFrame) -> int:
+    """Parts of at most about ``PART_ROWS`` rows, and no fewer than a shuffle has."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+
+
+def line_bars(items: DataFrame, symbol: Column, parts: int | None = None) -> DataFrame:
+    """Daily bars of line items, which may be a batch of a stream.
+
+    With few symbols the bars combine before the shuffle. With many there is little to combine, and
+    ``parts`` deals the items by symbol and day so that the groups of a task stay bounded.
+    """
     px = cents(F.col("l_extendedprice") / F.col("l_quantity"))
     seq = F.col("l_orderkey").cast("decimal(20,0)") * 10 + F.col("l_linenumber").cast("decimal(20,0)")
     tick = seq.cast("decimal(26,0)") * F.lit(10**12).cast("decimal(14,0)") + F.round(px * 100).cast("decimal(14,0)")
     trades = items.where("l_quantity > 0").select(
         symbol.alias("symbol"), F.to_date("l_shipdate").alias("date"), px.alias("px"),
         F.col("l_quantity").alias("qty"), tick.cast("decimal(38,0)").alias("tick"))
-    return _bars(trades, "symbol", "date")
+    return _bars(trades.repartition(parts, "symbol", "date") if parts else trades, "symbol", "date")
 
 
 def supplier_symbol() -> Column:
@@ -57,7 +68,15 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with one symbol per supplier: a wide universe that grows with the data."""
-    return line_bars(table(spark, sf_dir, "lineitem"), supplier_symbol())
+    items = table(spark, sf_dir, "lineitem")
+    return line_bars(items, supplier_symbol(), parts_of(items))
+
+
+def series_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe dealt by symbol, for windows over whole series; a part holds a bounded number of rows."""
+    items = table(spark, sf_dir, "lineitem")
+    parts = parts_of(items)
+    return line_bars(items, supplier_symbol(), parts).repartition(parts, "symbol")
 
 
 def bars_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
