@@ -6,7 +6,7 @@ import public_tokenizers
 import sentencepiece
 
 from tickloom.llm import segment
-from tickloom.llm.lattice import log_inclusion, units_of
+from tickloom.llm.lattice import Lattices, log_inclusion, top_k, units_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SP = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -71,3 +71,21 @@ def test_round_trip_and_independence_of_partitions(make_docs, odd_docs, odd_rows
     assert one == sorted((r.doc_id, r.sample, r.ids) for r in segment.encode(make_docs(rows).coalesce(1), k=3).collect())
     assert segment.encode(no_docs).collect() == []
     assert "".join(units_of("a  b\n▁c")) == " a  b\n▁c" and units_of("") == []
+
+
+def test_reused_units_outlive_a_full_store():
+    vocabulary = segment._model(PATH, 1.0)[0].vocabulary
+    small, large = Lattices(vocabulary, limit=60), Lattices(vocabulary)
+    made = []
+    add = small._add
+    small._add = lambda units: (made.extend(units), add(units))
+    often = units_of("these few words come again and again")
+    for turn in range(20):
+        texts = [often, units_of(" ".join(f"once{turn}x{i} é{i}" for i in range(10)))]
+        keys = np.array([turn, 1000 + turn], np.uint64)
+        got, want = (top_k(x, texts, keys, 3) for x in (small, large))
+        for (a, rest_a), (b, rest_b) in zip(got, want):
+            assert rest_a == rest_b and [s.value for s in a] == [s.value for s in b]
+            for s, t in zip(a, b):
+                assert small.ids(s.edges)[0].tolist() == large.ids(t.edges)[0].tolist()
+    assert len(small.slot) < 120 and all(made.count(u) == 1 for u in often)

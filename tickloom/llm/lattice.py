@@ -25,17 +25,25 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) that the key and the parts fix."""
+def mixed(key: np.ndarray, *parts) -> np.ndarray:
+    """The key with parts mixed in: ``uniform(mixed(key, a), b)`` equals ``uniform(key, a, b)``."""
     x = key
     for p in parts:
         x = _mix(x + np.asarray(p).astype(np.uint64) * np.uint64(_P) + np.uint64(1))
-    return ((_mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return x
+
+
+def uniform(key: np.ndarray, *parts) -> np.ndarray:
+    """Numbers in (0, 1) that the key and the parts fix."""
+    return ((_mix(mixed(key, *parts)) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
@@ -52,6 +60,9 @@ class Vocabulary:
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece, and this says so at once
         self.maybe[self.hashes >> np.uint64(44)] = True
+        self.begins = self.maybe.copy()  # the same for the fronts of pieces; a substring that is none cannot grow to a piece
+        fronts = {p[:k] for p in names for k in range(1, len(p))}
+        self.begins[np.concatenate([self._hash(np.array([ord(c) for c in p], np.uint64), len(p)) for p in fronts] or [self.hashes[:0]]) >> np.uint64(44)] = True
         self.weights = np.array([weights[i] for i in self.ids], np.float64)
         self.unknown = float(self.weights.min()) - 10.0
         self.byte_ids = np.array(byte_ids, np.int64)
@@ -83,13 +94,13 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of units, kept for reuse up to ``limit`` units.
+    """Lattices of units, kept for reuse up to ``limit`` units; beyond it those not met again are dropped.
 
     States are places inside a unit; the edges of a state carry the share of all segmentations from
     there on that begin with them, so walking by these shares samples a segmentation exactly.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 80_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 120_000):
         self.vocabulary, self.limit = vocabulary, limit
         self._clear()
 
@@ -99,6 +110,31 @@ class Lattices:
         self.unit_state, self.first_edge = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.upto, self.logp = np.zeros(0), np.zeros(0)
         self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)  # units met in a later call than their first
+
+    def _trim(self) -> None:
+        """Drop the units that no later call has asked for; all of them if that leaves too many."""
+        keep = np.flatnonzero(self.again[:len(self.slot)])
+        if 4 * len(keep) > 3 * self.limit:
+            self._clear()
+            return
+        units = list(self.slot)
+        state0 = self.unit_state[:len(units)]
+        per_unit = np.diff(np.append(state0, self.n_states))[keep]
+        states = ragged_take(np.arange(self.n_states), state0[keep], per_unit)
+        first = self.first_edge[:self.n_states + 1]
+        per_state = np.diff(first)[states]
+        edges = ragged_take(np.arange(self.n_edges), first[states], per_state)
+        new_state = np.full(self.n_states, -1, np.int64)
+        new_state[states] = np.arange(len(states))
+        to = self.next[edges]
+        self.slot = dict(zip([units[i] for i in keep.tolist()], range(len(keep))))
+        self.upto, self.logp, self.piece = self.upto[edges], self.logp[edges], self.piece[edges]
+        self.next = np.where(to < 0, -1, new_state[to]).astype(np.int32)
+        self.first_edge = np.concatenate([[0], np.cumsum(per_state)])
+        self.unit_state = np.cumsum(per_unit) - per_unit
+        self.again = np.zeros(len(keep), bool)
+        self.n_states, self.n_edges = len(states), len(edges)
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         """Write values into an array that doubles when it is full."""
@@ -110,14 +146,16 @@ class Lattices:
 
     def slots(self, units: list[str]) -> np.ndarray:
         if len(self.slot) > self.limit:
-            self._clear()
+            self._trim()
         out = np.fromiter(map(self.slot.get, units, [-1] * len(units)), np.int64, len(units))
         gaps = np.flatnonzero(out < 0)
+        self.again[out[out >= 0]] = True
         if len(gaps):
-            new = list(dict.fromkeys([units[i] for i in gaps]))
+            missing = [units[i] for i in gaps.tolist()]
+            new = list(dict.fromkeys(missing))
             for i in range(0, len(new), 16000):
                 self._add(new[i:i + 16000])
-            out[gaps] = [self.slot[units[i]] for i in gaps]
+            out[gaps] = np.fromiter(map(self.slot.get, missing), np.int64, len(missing))
         return out
 
     def _add(self, units: list[str]) -> None:
@@ -139,7 +177,10 @@ class Lattices:
             if not len(at):
                 break
             h = _mix((sums[at + size] - sums[at]) * v.inv[within[at]] + np.uint64(size))
-            likely = np.flatnonzero(v.maybe[h >> np.uint64(44)])
+            top = h >> np.uint64(44)
+            begins = v.begins[top]
+            at, h, top = at[begins], h[begins], top[begins]
+            likely = np.flatnonzero(v.maybe[top])
             h = h[likely]
             j = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
             hit = v.hashes[j] == h
@@ -155,23 +196,24 @@ class Lattices:
                 piece.append(-points[lone].astype(np.int64) - 1)
                 weight.append(np.full(len(lone), v.unknown))
         where, length, piece, weight = (np.concatenate(x) for x in (where, length, piece, weight))
-        order = np.lexsort((length, where, end_of[where] - where))
+        order = np.argsort(where * (v.longest + 1) + length)
         where, length, piece, weight = (x[order] for x in (where, length, piece, weight))
         to, last = where + length, end_of[where]
-        away = last - where
+        away = (last - where).astype(np.int16 if lengths.max() < 1 << 15 else np.int64)
         below = np.zeros(n + 1)
         value = np.empty(len(where))
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(away)) + 1, [len(away)]])
+        level = np.argsort(away, kind="stable")
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(away[level])) + 1, [len(away)]])
         for a, b in zip(bounds[:-1], bounds[1:]):  # from the ends of the units to their fronts
-            val = weight[a:b] + np.where(to[a:b] == last[a:b], 0.0, below[to[a:b]])
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(where[a:b])) + 1])
+            edges = level[a:b]
+            here, target = where[edges], to[edges]
+            val = weight[edges] + np.where(target == last[edges], 0.0, below[target])
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(here)) + 1])
             top = np.maximum.reduceat(val, heads)
             per = np.diff(np.concatenate([heads, [b - a]]))
             total = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, per)), heads))
-            below[where[a:b][heads]] = total
-            value[a:b] = val - np.repeat(total, per)
-        order = np.lexsort((length, where))
-        where, to, last, piece, value = (x[order] for x in (where, to, last, piece, value))
+            below[here[heads]] = total
+            value[edges] = val - np.repeat(total, per)
         count = np.bincount(where, minlength=n)
         first = np.cumsum(count) - count
         run = np.cumsum(np.exp(value))
@@ -186,6 +228,7 @@ class Lattices:
         self._put("piece", edge0, piece)
         self._put("first_edge", state0 + 1, edge0 + np.cumsum(count))
         self._put("unit_state", slot0, state0 + ends - lengths)
+        self._put("again", slot0, np.zeros(len(units), bool))
         self.n_states, self.n_edges = state0 + n, edge0 + len(where)
         self.slot.update(zip(units, range(slot0, slot0 + len(units))))
 
@@ -193,8 +236,9 @@ class Lattices:
         """Edges of one segmentation of each unit from ``state`` on, drawn by (key, sample, unit): row, step and edge, rows in order."""
         rows, edges, steps = [], [], []
         live, step = np.arange(len(state)), 0
+        key = mixed(key, 2 * sample, unit)
         while len(live):
-            u = uniform(key[live], 2 * sample, unit[live], step)
+            u = uniform(key[live], step)
             e = self.first_edge[state]
             on = np.flatnonzero(self.upto[e] <= u)
             while len(on):
@@ -273,7 +317,7 @@ def top_k(lattices: Lattices, docs: list[list[str]], keys: np.ndarray, k: int) -
         order = np.arange(len(edges)) - first[doc]
         with np.errstate(divide="ignore"):
             location = prefix + np.log(-np.expm1(logp))
-        beside = truncated_gumbel(location, most[doc], uniform(keys[which][doc], 2 * sample + 1, order, 7))
+        beside = truncated_gumbel(location, most[doc], uniform(mixed(keys[which], 2 * sample + 1)[doc], order, 7))
         beside[logp == 0.0] = -np.inf
         u = unit_of_row[rows]
         return [(edges[a:b], u[a:b], prefix[a:b], beside[a:b], float(logp[a:b].sum())) for a, b in zip(first.tolist(), (first + count).tolist())]

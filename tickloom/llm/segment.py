@@ -59,7 +59,7 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, vocab
         for b in batches:
             ids_of, crc, keys = b.column(0), b.column(1), b.column(2).to_numpy().view(np.uint64)
             done = 0
-            for texts in by_size((t.as_py() for t in b.column(3)), 1 << 18):
+            for texts in by_size(b.column(3).to_pylist(), 1 << 18):
                 row, sample, logp, value, inclusion, ids, sizes = encode_run(texts, keys[done:done + len(texts)], k, path, alpha)
                 take = pa.array(row + done)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
