@@ -69,3 +69,18 @@ def test_files_read_back(spark, make_docs, odd_docs, odd_rows, no_docs):
             at += n
         back = tokenbin.decode_blocks(spark, path).collect()
         assert sorted((r.doc_id or -1, r.ids) for r in back) == sorted((d or -1, x) for d, xs in ids.items() for x in xs)
+
+
+def test_words_of_latin_letters_with_closing_signs_go_to_the_merges(monkeypatch):
+    path = public_tokenizers.path(tokenbin.VOCABULARY)
+    table = tokenbin.WordTable(tokenbin._words(path).encode)
+    seen = []
+    monkeypatch.setattr(tokenbin.np, "searchsorted", lambda *a, f=np.searchsorted: (seen.append(1), f(*a))[1])
+    tok = Tokenizer.from_file(path)
+    words = "ÉTÉ naïve, Straße*** plain.&&& ñandú!! Œuvre d'été x<|endoftext|> it's a1 ½ *** İx ﬁn éte çA̧ ǆ µm ªb".split()
+    want = [tok.encode(w, add_special_tokens=False).ids for w in words]
+    assert table.encode([w.encode() for w in words]) == want
+    table.encode([w.encode() for w in words[:5]])  # their signs are known by now
+    del seen[:]
+    assert table.encode([w.encode() for w in ["Çà***", *words[:5]]]) == [tok.encode(w, add_special_tokens=False).ids for w in ["Çà***", *words[:5]]]
+    assert not seen

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,17 +32,27 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` " + (f"array<{names[str(f.type.value_type)]}>" if pa.types.is_list(f.type) else names[str(f.type)]) for f in schema)
 
 
+#: What may close a word and is then split from it in one run; no apostrophe (it starts contractions), no angle bracket (special ids).
+SIGNS = b'.,;:!?#*$%&)"'
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # ASCII and Latin-1 letters in UTF-8
+_UNPRINTED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+#: The characters by which a byte-level vocabulary writes the bytes.
+BYTE_NAMES = "".join(chr(256 + _UNPRINTED.index(c)) if c in _UNPRINTED else chr(c) for c in range(256))
+
+
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordTable:
     """Words between ASCII white space; the vocabulary's own splitting also breaks there, so ids of words add up to ids of texts.
 
-    A word of ASCII letters, with or without a closing stop or comma, goes straight to the library's
-    merges, provided that trial words show the vocabulary to fold case and to part letters from stops.
+    A word of Latin-1 letters, with or without closing signs, goes straight to the library's merges,
+    provided that trial words show the vocabulary to fold case, to part letters from signs and to write bytes.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    merge, known = tok.model.tokenize, {}
+    merge = tok.model.tokenize
+    known: dict[bytes, list[int]] = {}
+    signs: dict[bytes, list[int]] = {}
 
     def whole(words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -55,32 +67,37 @@ def _words(path: str) -> WordTable:
             out += [ids[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def core(word: bytes) -> list[int]:
-        low = word.lower()
-        if low not in known:
-            if len(known) > 200_000:
-                known.clear()
-            known[low] = [t.id for t in merge(low.decode())]
-        return known[low]
-
-    stops = {w: whole([w])[0] for w in (b".", b",")}
-
-    def plain(word: bytes) -> list[int] | None:
-        stop = stops.get(word[-1:])
-        letters = word[:-1] if stop is not None else word
-        return None if not letters.isalpha() else core(letters) + stop if stop is not None else core(letters)
-
-    trial = [b"Thing.", b"INGS,", b"zqXjw", b"a.", b"Of", b"untitled,"]
-    if [plain(w) for w in trial] != whole(trial):
-        return WordTable(whole)
-
     def encode(words: list[bytes]) -> list[list[int]]:
-        out = [plain(w) for w in words]
+        out: list[list[int] | None] = []
+        for cache, most in ((known, 200_000), (signs, 20_000)):
+            if len(cache) > most:
+                cache.clear()
+        for word in words:
+            core = word.rstrip(SIGNS)
+            if core.isalpha():
+                low = core.lower()
+            elif LATIN.fullmatch(core):
+                low = core.decode().lower().encode()
+            else:
+                out.append(None)
+                continue
+            ids = known.get(low)
+            if ids is None:
+                ids = known[low] = [t.id for t in merge(charmap_decode(low, "strict", BYTE_NAMES)[0])]
+            if len(core) < len(word):
+                close = word[len(core):]
+                if close not in signs:
+                    signs[close] = whole([close])[0]
+                ids = ids + signs[close]
+            out.append(ids)
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, whole([words[i] for i in rest])):
             out[i] = ids
         return out
 
+    trial = [b"Thing.", b"INGS,", b"zqXjw", b"a.", b"Of", b"untitled,", *"Él\"! Straße.,*** ÇÀÿ&&& Ñandú) Þórðr$%# œuvre?! naïve;:".encode().split(), *(b"at" + SIGNS[k:k + 1] for k in range(len(SIGNS)))]
+    if encode(trial) != whole(trial):
+        return WordTable(whole)
     return WordTable(encode, 550_000)
 
 

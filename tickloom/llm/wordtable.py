@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -39,9 +40,9 @@ class WordTable:
         out = np.fromiter(map(self.slot.get, words, [-1] * len(words)), np.int64, len(words))
         gaps = np.flatnonzero(out < 0)
         if len(gaps):
-            new = list(dict.fromkeys([words[i] for i in gaps]))
-            self._add(new)
-            out[gaps] = [self.slot[words[i]] for i in gaps]
+            missing = [words[i] for i in gaps.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            out[gaps] = np.fromiter(map(self.slot.get, missing), np.int64, len(missing))
         return out
 
     def _add(self, words: list) -> None:
@@ -53,7 +54,7 @@ class WordTable:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + n > len(self.start):
             self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used:self.used + total] = [x for row in ids for x in row]
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
         self.start[first:first + n] = self.used + np.cumsum(lengths) - lengths
         self.length[first:first + n] = lengths
         self.used += total
